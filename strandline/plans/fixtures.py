@@ -257,6 +257,14 @@ class Tables:
             return self(name)
         raise AttributeError(name)
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a stream of its files."""
+        if name in GIVEN:
+            reader = self.spark.readStream.schema(self(name).schema).option("pathGlobFilter", f"{name}.parquet")
+            return reader.parquet(self.sf_dir)
+        inner = set(re.findall(r"\{(\w+)\}", FIXTURES[name]))
+        return self.spark.sql(spark_text(name), **{table: self.stream(table) for table in inner})
+
     def __call__(self, name: str) -> DataFrame:
         if name in GIVEN:
             return self.spark.read.parquet(self.path(name))

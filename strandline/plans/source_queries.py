@@ -1,0 +1,216 @@
+"""Registered queries of the scans and sinks.
+
+Where a scan needs another format or a folder of many files, Spark writes it from
+the given tables into the shared scratch folder first.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandline.operators.packing import plan_bundles
+from strandline.plans.registry import query
+from strandline.session import scratch_path
+from strandline.sources import files, sinks
+from strandline.streaming.journal import read_fs_journal
+from strandline.streaming.tables import appended
+
+
+@query(
+    "S01_preview_total",
+    "SELECT count(*) AS total, least(count(*), 100) AS returned, count(*) > 100 AS truncated FROM lineitem",
+)
+def preview_total(t):
+    return files.preview_summary(t.lineitem)
+
+
+@query("S01_preview_columnar")
+def preview_columnar(t):
+    return files.preview_columnar(t.spark, t.path("lineitem"))
+
+
+@query(
+    "S02_parquet_file_stats",
+    "SELECT l_returnflag AS folder, count(*) AS rows, true AS has_columns FROM lineitem GROUP BY l_returnflag",
+)
+def parquet_file_stats(t):
+    root = scratch_path(t.spark, "stats")
+    t.lineitem.write.partitionBy("l_returnflag").parquet(root)
+    stats = files.parquet_file_stats(files.parquet_files(t.spark, root))
+    folder = F.regexp_extract("path", "l_returnflag=([^/]+)", 1)
+    return stats.groupBy(folder.alias("folder")).agg(
+        F.sum("rows").alias("rows"), F.min(F.col("columns").contains("l_orderkey:INT64")).alias("has_columns")
+    )
+
+
+@query(
+    "S03_orc_text",
+    """SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) AS price, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
+       CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS done, o_orderpriority AS raw FROM orders""",
+)
+def orc_text(t):
+    root = scratch_path(t.spark, "orc")
+    t.orders.select(
+        "o_orderkey", F.col("o_totalprice").cast("decimal(15,2)").alias("price"), F.to_date("o_orderdate").alias("day"),
+        (F.col("o_orderstatus") == "F").alias("done"), F.encode("o_orderpriority", "UTF-8").alias("raw"),
+    ).write.orc(root)
+    return files.orc_text(t.spark.read.orc(root))
+
+
+@query(
+    "S04_read_delimited",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', ' || c_mktsegment AS label, CAST(c_acctbal AS VARCHAR) AS c_acctbal FROM customer""",
+)
+def read_delimited(t):
+    root = scratch_path(t.spark, "csv")
+    label = F.concat("c_name", F.lit(", "), "c_mktsegment")
+    rows = t.customer.select("c_custkey", label.alias("label"), F.concat(F.lit("  "), F.col("c_acctbal"), F.lit(" ")).alias("c_acctbal"))
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
+    return files.read_delimited(t.spark, root)
+
+
+@query(
+    "S05_preview_text",
+    """SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY source""",
+)
+def preview_text(t):
+    root = scratch_path(t.spark, "text")
+    t.documents.select("source", "text").write.partitionBy("source").text(root)
+    shown = files.preview_text(t.spark, root, 1 << 30)
+    return shown.groupBy(F.regexp_extract("path", "source=([^/]+)", 1).alias("source")).agg(
+        F.sum("length").alias("bytes"), F.sum(F.length("text")).cast("long").alias("chars")
+    )
+
+
+@query(
+    "S06_file_type",
+    r"""WITH e AS (SELECT doc_id, path, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS extension FROM paths)
+        SELECT doc_id, path, extension, CASE WHEN extension IN ('csv', 'tsv', 'orc') THEN extension WHEN extension IN ('parquet', 'parq') THEN 'parquet'
+          WHEN extension IN ('txt', 'log', 'json', 'xml', 'yaml', 'yml', 'md', 'sql', 'sh', 'py', 'java', 'properties', 'conf', 'config', 'env', 'ini', 'toml') OR length(extension) <= 4 THEN 'text' ELSE 'binary' END AS file_type FROM e""",
+)
+def file_type(t):
+    return files.with_file_type(t.paths.select("doc_id", "path"))
+
+
+@query("S07_scan_manifest", "SELECT DISTINCT source AS folder, true AS has_files FROM documents")
+def scan_manifest(t):
+    root = scratch_path(t.spark, "manifest")
+    t.documents.select("source", "doc_id").write.partitionBy("source").parquet(root)
+    manifest = files.scan_manifest(t.spark, root)
+    return manifest.groupBy(F.regexp_extract("rel_path", "^source=([^/]+)/", 1).alias("folder")).agg(
+        ((F.sum("size") > 0) & (F.min("mtime_s") > 0)).alias("has_files")
+    )
+
+
+@query("S07_list_tree", "SELECT DISTINCT source || '/' || lang AS folder, true AS has_files FROM documents UNION ALL SELECT '_SUCCESS' AS folder, false AS has_files")
+def list_tree(t):
+    root = scratch_path(t.spark, "tree")
+    t.documents.select("source", "lang", "doc_id").write.partitionBy("source", "lang").parquet(root)
+    tree = files.list_tree(t.spark, root)
+    folder = F.regexp_replace(F.regexp_replace("rel_path", "(source|lang)=", ""), "/part-[^/]*$", "")
+    return tree.groupBy(folder.alias("folder")).agg((F.sum("size") > 0).alias("has_files"))
+
+
+@query(
+    "S11_read_event_log",
+    "SELECT event_id, event_type FROM catalog_events WHERE event_id > 500 ORDER BY event_id LIMIT 1000",
+)
+def read_event_log(t):
+    return files.read_event_log(t.catalog_events.select("event_id", "event_type"), 500)
+
+
+@query("S13_read_fs_journal", "SELECT op, path, src, dst, size, txid FROM fs_journal")
+def fs_journal(t):
+    root = scratch_path(t.spark, "journal")
+    t.fs_journal.write.json(root)
+    return appended(read_fs_journal(t.spark, root), "journal-rows")
+
+
+@query(
+    "S14_read_table",
+    "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment",
+)
+def read_table(t):
+    t.customer.createOrReplaceTempView("strandline_customers")
+    return t.spark.table("strandline_customers").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query(
+    "K01_save_table",
+    "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS orders, round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY 1",
+)
+def save_table(t):
+    path = scratch_path(t.spark, "daily_sales")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    daily = t.orders.groupBy(F.to_date("o_orderdate").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("amount")
+    )
+    sinks.save_table(daily, name, path=path)
+    return t.spark.table(name)
+
+
+_CELL = "'\"' || replace(CASE WHEN regexp_matches({0}, '^[=+@-]') THEN '''' || {0} ELSE {0} END, '\"', '\"\"') || '\"'"
+
+
+@query(
+    "K02_export_csv",
+    f"""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_acctbal < 0 THEN '=SUM("' || c_name || '")' WHEN c_acctbal < 3000 THEN '' ELSE c_name || ',x' END AS label, CAST(c_acctbal AS VARCHAR) AS b FROM customer)
+        SELECT {_CELL.format('k')} || ',' || {_CELL.format('label')} || ',' || {_CELL.format('b')} AS line FROM c""",
+)
+def export_csv(t):
+    path = scratch_path(t.spark, "export-csv")
+    label = (
+        F.when(F.col("c_acctbal") < 0, F.concat(F.lit('=SUM("'), "c_name", F.lit('")')))
+        .when(F.col("c_acctbal") < 3000, None)
+        .otherwise(F.concat("c_name", F.lit(",x")))
+    )
+    sinks.export_csv(t.customer.select("c_custkey", label.alias("label"), "c_acctbal"), path, header=False)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(
+    "K03_export_json",
+    """SELECT '{"id":' || id || ',"status":"' || status || '","sync_mode":' || CASE WHEN sync_mode IS NULL THEN 'null' ELSE '"' || sync_mode || '"' END || '}' AS line FROM jobs""",
+)
+def export_json(t):
+    path = scratch_path(t.spark, "export-json")
+    sinks.export_json(t.jobs.select("id", "status", "sync_mode"), path)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(
+    "K05_overwrite_partitions",
+    """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, -1.0e0, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000""",
+)
+def overwrite_partitions(t):
+    path = scratch_path(t.spark, "overwrite")
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    sinks.overwrite_table_atomically(rows, path, ["o_orderstatus"])
+    again = rows.filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000))
+    sinks.overwrite_table_atomically(again.withColumn("o_totalprice", F.lit(-1.0)), path, ["o_orderstatus"])
+    return t.spark.read.schema(rows.schema).parquet(path)
+
+
+@query(
+    "K06_upsert_by_key",
+    """WITH u AS (SELECT db, table_name, part_name, 'new' AS state FROM partitions_src WHERE location LIKE '%1')
+       SELECT * FROM u UNION ALL SELECT t.db, t.table_name, t.part_name, 'old' AS state FROM partitions_tgt t
+       WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.db = t.db AND u.table_name = t.table_name AND u.part_name = t.part_name)""",
+)
+def upsert_by_key(t):
+    keys = ["db", "table_name", "part_name"]
+    updates = t.partitions_src.filter(F.col("location").endswith("1")).select(*keys, F.lit("new").alias("state"))
+    return sinks.upsert_partitions(t.partitions_tgt.withColumn("state", F.lit("old")), updates, keys)
+
+
+@query("K07_compact_small_files", "SELECT doc_id, n_chars, source FROM documents")
+def compact_small_files(t):
+    root, out = scratch_path(t.spark, "small"), scratch_path(t.spark, "compacted")
+    t.documents.select("doc_id", "n_chars", "source").repartition(16).write.parquet(root)
+    listing = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root).select(
+        "path", F.col("length").alias("size"), F.lit("all").alias("folder"),
+        F.regexp_extract("path", "part-([0-9]+)", 1).cast("long").alias("no"),
+    )
+    plan = plan_bundles(listing, ["folder"], "no", 1 << 30, 64 << 20, 5)
+    sinks.compact_small_files(t.spark, root, plan, out)
+    return t.spark.read.parquet(out).select("doc_id", "n_chars", "source")

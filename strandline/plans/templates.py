@@ -109,7 +109,7 @@ def array_vocabulary(records: DataFrame) -> DataFrame:
         F.size(parts).alias("cardinality"),
         F.size(F.flatten(F.array(parts, parts))).alias("flat"),
         F.explode(zipped).alias("z"),
-    ).select("doc_id", "cardinality", "flat", F.col("z")["0"].alias("piece"), F.col("z")["1"].alias("position"))
+    ).select("doc_id", "cardinality", "flat", F.col("z.p").alias("piece"), F.col("z.n").alias("position"))
 
 
 def date_vocabulary(orders: DataFrame) -> DataFrame:

@@ -56,10 +56,10 @@ def page(t):
 
 @query(
     "W05_limit_with_flag",
-    "SELECT n_nationkey, n_name, count(*) OVER () > 1000 AS truncated FROM nation LIMIT 1000",
+    "SELECT c_custkey, c_name, (SELECT count(*) FROM customer) > 100 AS truncated FROM customer ORDER BY c_custkey LIMIT 100",
 )
 def limit_with_flag(t):
-    return win.limit_with_flag(t.nation.select("n_nationkey", "n_name"), 1000)
+    return win.limit_with_flag(t.customer.select("c_custkey", "c_name").orderBy("c_custkey"), 100)
 
 
 @query(

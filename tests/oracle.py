@@ -87,7 +87,10 @@ def main() -> int:
     from strandline import get_session
 
     spark = get_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
+    import logging
+
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     con = connect(args.d)
     failed = 0
     for name, entry in load_all().items():
