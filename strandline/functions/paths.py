@@ -83,10 +83,8 @@ def normalize_path(c: Column) -> Column:
 
 def path_of(c: Column) -> Column:
     """Absolute path without scheme and authority, no slash at the end."""
-    bare = F.regexp_replace(F.trim(c), r"^[^/]+?://[^/]*", "")
-    rooted = F.when(F.startswith(bare, F.lit("/")), bare).otherwise(F.concat(F.lit("/"), bare))
-    cut = F.regexp_replace(rooted, r"/+$", "")
-    return F.coalesce(F.when(cut == "", F.lit("/")).otherwise(cut), F.lit("/"))
+    cut = F.regexp_replace(F.trim(c), r"^[^/]+?://[^/]*|/+$", "")
+    return F.coalesce(F.regexp_replace(cut, r"^(?=[^/]|$)", "/"), F.lit("/"))
 
 
 def ignored_folder(name: Column) -> Column:
@@ -141,33 +139,38 @@ def is_staged_path(c: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def is_below(p: Column, r: Column) -> Column:
+    """``under_path`` of two paths that are in ``path_of`` form already."""
+    return F.coalesce((p == r) | (r == "/") | F.startswith(p, F.concat(r, F.lit("/"))), F.lit(False))
+
+
 def under_path(c: Column, root: Column) -> Column:
     """Path equal to a root or below it; ``/db.db`` does not take ``/db.dbx``."""
-    p, r = path_of(c), path_of(root)
-    below = (p == r) | (r == "/") | F.startswith(p, F.concat(r, F.lit("/")))
-    return F.coalesce(c.isNotNull() & root.isNotNull() & below, F.lit(False))
+    return c.isNotNull() & root.isNotNull() & is_below(path_of(c), path_of(root))
 
 
-def depth_under(c: Column, root: Column) -> Column:
-    """Number of path parts under a root, -1 outside it."""
-    p, r = path_of(c), path_of(root)
+def depth_below(p: Column, r: Column) -> Column:
+    """``depth_under`` of two paths that are in ``path_of`` form already."""
     rest = F.when(r == "/", p).otherwise(F.substring(p, F.length(r) + 1, F.length(p)))
     parts = F.filter(F.split(rest, "/"), lambda x: x != "")
-    return F.when(under_path(c, root), F.size(parts)).otherwise(F.lit(-1))
+    return F.when(is_below(p, r), F.size(parts)).otherwise(F.lit(-1))
+
+
+def depth_under(c: Column, root: Column) -> Column:
+    """Number of path parts under a root, -1 outside it."""
+    return F.when(c.isNull() | root.isNull(), F.lit(-1)).otherwise(depth_below(path_of(c), path_of(root)))
 
 
 def ancestors(c: Column) -> Column:
-    """The path itself and every folder above it, of a path in ``path_of`` form."""
-    parts = F.filter(F.split(c, "/"), lambda x: x != "")
-    steps = F.sequence(F.lit(1), F.size(parts))
-    above = F.transform(steps, lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
-    return F.when(F.size(parts) > 0, above).otherwise(F.array(F.lit("/")))
+    """The path itself and every folder above it but the root, of a path in ``path_of`` form."""
+    slashes = F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
+    return F.transform(F.sequence(F.lit(1), slashes), lambda n: F.call_function("substring_index", c, F.lit("/"), n + 1))
 
 
 def dotted_ancestors(c: Column) -> Column:
     """A dotted path itself and every parent of it."""
-    parts = F.split(c, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    dots = F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
+    return F.transform(F.sequence(F.lit(1), dots + 1), lambda n: F.call_function("substring_index", c, F.lit("."), n))
 
 
 def parent_of(c: Column) -> Column:
@@ -175,21 +178,25 @@ def parent_of(c: Column) -> Column:
     return F.regexp_replace(c, r"/?[^/]*$", "")
 
 
-def target_path(c: Column, source_root: Column, target_root: Column) -> Column:
-    """Where a file below a source root lies below a target root."""
-    f, s = path_of(c), path_of(source_root)
-    trimmed = F.trim(target_root)
-    rooted = F.when(trimmed.contains("://") | trimmed.startswith("/"), trimmed).otherwise(
-        F.concat(F.lit("/"), trimmed)
-    )
-    root = F.when(rooted.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(rooted, r"(?<!:/|:)/+$", ""))
-    rest = F.regexp_replace(F.substring(f, F.length(s) + 1, F.length(f)), "^/", "")
-    rest = F.when(s == "/", F.substring(f, F.lit(2), F.length(f))).otherwise(rest)
-    joined = F.concat(F.regexp_replace(root, "/$", ""), F.lit("/"), rest)
-    return (
-        F.when(under_path(c, source_root), F.when(rest == "", root).otherwise(joined))
-        .otherwise(F.concat(root, F.lit("/"), F.substring_index(F.regexp_replace(c, "/+$", ""), "/", -1)))
+def root_of(target: Column) -> Column:
+    """Target root with a leading slash unless it has a scheme, and none at the end."""
+    cut = F.regexp_replace(F.trim(target), r"(?<!:/|:)/+$", "")
+    return F.when(cut.contains("://"), cut).otherwise(F.regexp_replace(cut, r"^(?=[^/]|$)", "/"))
+
+
+def moved_path(p: Column, r: Column, target: Column) -> Column:
+    """``target_path`` of paths in ``path_of`` and ``root_of`` form already."""
+    rest = F.when(r == "/", F.substring(p, F.lit(2), F.length(p))).otherwise(
+        F.substring(p, F.length(r) + 2, F.length(p))
     )
+    slash = F.when(target.endswith("/"), F.lit("")).otherwise(F.lit("/"))
+    inside = F.when((p == r) | (p == "/"), target).otherwise(F.concat(target, slash, rest))
+    return F.when(is_below(p, r), inside).otherwise(F.concat(target, F.lit("/"), F.substring_index(p, "/", -1)))
+
+
+def target_path(c: Column, source_root: Column, target_root: Column) -> Column:
+    """Where a file below a source root lies below a target root; outside it, its name there."""
+    return moved_path(path_of(c), path_of(source_root), root_of(target_root))
 
 
 def within_table(part: Column, table: Column) -> Column:
@@ -260,9 +267,12 @@ def is_up_to_date(exists: Column, src_size: Column, src_mtime: Column, tgt_size:
     return F.coalesce(exists & (src_size > 0) & (src_size == tgt_size) & times, F.lit(False))
 
 
-def delete_allowed(path: Column, root: Column, sync: Column, companion: Column, dirs: Column, inside: Column) -> Column:
-    """Whether a delete is carried over, by the job's flags and the depth of the path."""
-    depth = depth_under(path, root)
+def delete_allowed(p: Column, r: Column, sync: Column, companion: Column, dirs: Column, inside: Column) -> Column:
+    """Whether a delete is carried over, by the job's flags and the depth of the path below its root.
+
+    Both paths are in ``path_of`` form.
+    """
+    depth = depth_below(p, r)
     return (
         F.when(~sync, F.lit(False))
         .when(~companion, F.lit(True))

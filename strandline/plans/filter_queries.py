@@ -250,11 +250,10 @@ def event_support(t):
 )
 def delete_allowed(t):
     jobs = t.stream_jobs.withColumn("root", paths.path_of(F.col("source_path")))
-    events = t.fs_journal.filter(F.col("op") == "UNLINK").withColumn(
-        "above", F.explode(paths.ancestors(paths.path_of(F.col("path"))))
-    )
+    clean = t.fs_journal.filter(F.col("op") == "UNLINK").withColumn("path", paths.path_of(F.col("path")))
+    events = clean.withColumn("above", F.explode(paths.ancestors(F.col("path"))))
     allowed = paths.delete_allowed(
-        F.col("path"), F.col("source_path"), F.col("sync_deletes"), F.col("companion"),
+        F.col("path"), F.col("root"), F.col("sync_deletes"), F.col("companion"),
         F.col("delete_table_dirs"), F.col("delete_inside_tables"),
     )
     return events.join(jobs, events["above"] == jobs["root"]).select("txid", "job_id", allowed.alias("allowed"))

@@ -271,10 +271,10 @@ def fmt_size(t):
 @query(
     "P20_fmt_memory",
     """WITH m AS (SELECT agent_id, load * 700 AS mb, load * 700 / 1048576.0e0 AS tb, load * 700 / 1024.0e0 AS gb FROM members)
-       SELECT agent_id, CASE WHEN abs(mb) >= 1048576 THEN CASE WHEN tb = floor(tb) THEN printf('%.0f TB', tb) WHEN abs(fmod(tb, 0.1e0)) < 0.01 THEN printf('%.1f TB', tb) ELSE printf('%.2f TB', tb) END
-         WHEN abs(mb) >= 1024 THEN CASE WHEN gb = floor(gb) THEN printf('%.0f GB', gb) WHEN abs(fmod(gb, 0.1e0)) < 0.01 THEN printf('%.1f GB', gb) ELSE printf('%.2f GB', gb) END
+       SELECT agent_id, CASE WHEN abs(mb) >= 1048576 THEN CASE WHEN tb = floor(tb) THEN printf('%.0f TB', tb) WHEN abs(abs(tb) % 0.1e0) < 0.01 THEN printf('%.1f TB', sign(tb) * floor(abs(tb) * 10 + 0.5) / 10) ELSE printf('%.2f TB', sign(tb) * floor(abs(tb) * 100 + 0.5) / 100) END
+         WHEN abs(mb) >= 1024 THEN CASE WHEN gb = floor(gb) THEN printf('%.0f GB', gb) WHEN abs(abs(gb) % 0.1e0) < 0.01 THEN printf('%.1f GB', sign(gb) * floor(abs(gb) * 10 + 0.5) / 10) ELSE printf('%.2f GB', sign(gb) * floor(abs(gb) * 100 + 0.5) / 100) END
          ELSE printf('%d MB', mb) END AS memory,
-         CASE WHEN load = 0 THEN '' ELSE CASE WHEN load > 0 THEN '+' ELSE '' END || CASE WHEN abs(load) >= 1024 THEN CASE WHEN load % 1024 = 0 THEN printf('%.0f GB', load / 1024.0e0) ELSE printf('%.2f GB', load / 1024.0e0) END ELSE printf('%d MB', load) END END AS delta FROM m JOIN members USING (agent_id)""",
+         CASE WHEN load = 0 THEN '' ELSE CASE WHEN load > 0 THEN '+' ELSE '' END || CASE WHEN abs(load) >= 1024 THEN CASE WHEN load % 1024 = 0 THEN printf('%.0f GB', load / 1024.0e0) ELSE printf('%.2f GB', sign(load / 1024.0e0) * floor(abs(load / 1024.0e0) * 100 + 0.5) / 100) END ELSE printf('%d MB', load) END END AS delta FROM m JOIN members USING (agent_id)""",
 )
 def fmt_memory(t):
     mb = F.col("load") * 700

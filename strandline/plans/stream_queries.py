@@ -254,12 +254,12 @@ def sustained(t):
 
 @query(
     "T17_starvation",
-    """WITH w AS (SELECT CAST(floor(ts_s / 7200) * 7200 AS BIGINT) AS window_start_s, count(*) FILTER (WHERE kind = 'view' AND value > 60) AS workers, count(*) FILTER (WHERE kind <> 'view') AS queued FROM samples GROUP BY 1)
+    """WITH w AS (SELECT CAST(floor(ts_s / 300) * 300 AS BIGINT) AS window_start_s, count(*) FILTER (WHERE kind = 'view' AND value > 60) AS workers, count(*) FILTER (WHERE kind <> 'view') AS queued FROM samples GROUP BY 1)
        SELECT * FROM w WHERE workers = 0 AND queued > 0""",
 )
 def starvation(t):
     working = (F.col("kind") == "view") & (F.col("value") > 60)
-    return alerts.starvation(t.samples, F.col("ts_s"), 7200, working, F.col("kind") != "view")
+    return alerts.starvation(t.samples, F.col("ts_s"), 300, working, F.col("kind") != "view")
 
 
 @query(

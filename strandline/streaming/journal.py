@@ -22,45 +22,50 @@ def journal_to_plan(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """Copies and deletes of each job for each journal event.
 
     An event meets a job through the folders above its paths, an equi join; the
-    root folder is one of them, so a job on ``/`` sees everything.
+    root folder is one of them, so a job on ``/`` sees everything.  Paths are brought
+    into one form and tested for staging once per event, before the join.
     """
-    folders = lambda c: F.coalesce(paths.ancestors(paths.path_of(F.col(c))), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    sides = ("path", "src", "dst")
+    clean = events.select(
+        "txid", "op", "size", *[F.when(F.col(c).isNotNull(), paths.path_of(F.col(c))).alias(c) for c in sides],
+        *[paths.is_staged_path(F.col(c)).alias(f"{c}_staged") for c in sides],
+    )
     above = F.array_distinct(
-        F.concat(
-            F.array(F.lit("/")),
-            *[F.when(F.col(c).isNotNull(), folders(c)).otherwise(F.array().cast("array<string>")) for c in ("path", "src", "dst")],
-        )
+        F.concat(F.array(F.lit("/")), *[F.coalesce(paths.ancestors(F.col(c)), none) for c in sides])
     )
-    roots = jobs.withColumn("__root", paths.path_of(F.col("source_path")))
-    met = events.withColumn("__root", F.explode(above)).join(roots, "__root")
-
-    root = F.col("source_path")
-    under = {c: paths.under_path(F.col(c), root) for c in ("path", "src", "dst")}
-    staged = {c: paths.is_staged_path(F.col(c)) for c in ("path", "src", "dst")}
-    flags = [F.col(c) for c in ("sync_deletes", "companion", "delete_table_dirs", "delete_inside_tables")]
-
-    def action(name: str, c: str):
-        size = F.col("size") if name == "COPY" else F.lit(None).cast("long")
-        return F.struct(F.lit(name).alias("action"), F.col(c).alias("file"), size.alias("bytes"))
-
-    def delete(c: str, when):
-        return F.when(when & paths.delete_allowed(F.col(c), root, *flags), action("DELETE", c))
+    roots = jobs.select(
+        "job_id", "sync_deletes", "companion", "delete_table_dirs", "delete_inside_tables",
+        paths.path_of(F.col("source_path")).alias("root"), paths.root_of(F.col("target_path")).alias("target_root"),
+    )
+    met = clean.select("*", F.explode(above).alias("root")).join(roots, "root")
 
+    root = F.col("root")
+    under = {
+        c: F.col(c).isNotNull() & paths.is_below(F.col(c), root) for c in sides
+    }
+    staged = {c: F.col(f"{c}_staged") for c in sides}
     is_op = lambda op: F.col("op") == op
+    action = lambda name, c, when: F.when(
+        when, F.struct(F.lit(name).alias("action"), F.col(c).alias("file"))
+    )
     arrived = is_op("RENAME") & under["dst"] & ~staged["dst"]
     left = is_op("RENAME") & under["src"] & ~staged["src"] & (~under["dst"] | ~staged["dst"])
-    actions = F.array_compact(
+    wanted = F.array_compact(
         F.array(
-            F.when(is_op("CLOSE") & under["path"] & ~staged["path"], action("COPY", "path")),
-            F.when(arrived, action("COPY", "dst")),
-            delete("src", left),
-            delete("path", is_op("UNLINK") & under["path"] & ~staged["path"]),
+            action("COPY", "path", is_op("CLOSE") & under["path"] & ~staged["path"]),
+            action("COPY", "dst", arrived),
+            action("DELETE", "src", left),
+            action("DELETE", "path", is_op("UNLINK") & under["path"] & ~staged["path"]),
         )
     )
-    plan = met.withColumn("a", F.explode(actions))
-    return plan.select(
-        "txid", "job_id", "a.action", F.col("a.file").alias("file"),
-        paths.target_path(F.col("a.file"), root, F.col("target_path")).alias("target_file"), "a.bytes",
+    plan = met.select("*", F.explode(wanted).alias("a")).select("*", "a.action", "a.file")
+    flags = [F.col(c) for c in ("sync_deletes", "companion", "delete_table_dirs", "delete_inside_tables")]
+    allowed = (F.col("action") == "COPY") | paths.delete_allowed(F.col("file"), root, *flags)
+    return plan.filter(allowed).select(
+        "txid", "job_id", "action", "file",
+        paths.moved_path(F.col("file"), root, F.col("target_root")).alias("target_file"),
+        F.when(F.col("action") == "COPY", F.col("size")).alias("bytes"),
     )
 
 
