@@ -17,25 +17,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import scratch_root
+
 _BLOCK = "__block"
 
 
 def _inside(kind: str, value: Column, window) -> Column:
-    if kind == "sum":
-        return F.sum(value).over(window)
-    if kind == "count":
-        return F.count(value).over(window)
-    if kind == "min":
-        return F.min(value).over(window)
-    if kind == "max":
-        return F.max(value).over(window)
-    if kind == "last":
+    """The running value of a kind inside one window."""
+    if kind in ("last", "previous"):
         return F.last(value, ignorenulls=True).over(window)
-    raise ValueError(f"unknown running value: {kind}")
+    return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind](value).over(window)
 
 
 def _summary(kind: str, value: Column, order: Column, descending: bool) -> Column:
-    if kind == "last":
+    """What one block hands on to the blocks after it."""
+    if kind in ("last", "previous"):
         pick = F.min_by if descending else F.max_by
         return pick(value, F.when(value.isNotNull(), order))
     return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind](value)
@@ -48,6 +44,8 @@ def _combine(kind: str, here: Column, before: Column) -> Column:
         return F.least(here, before)
     if kind == "max":
         return F.greatest(here, before)
+    if kind == "previous":
+        return F.coalesce(here, before)["v"]
     return F.coalesce(here, before)
 
 
@@ -63,24 +61,31 @@ def running(
 ) -> DataFrame:
     """Add running values ``{name: (kind, column)}`` of each row along ``order``.
 
-    Kinds: sum, count, min, max, last (last non-null).  ``descending`` runs from
-    the greatest order value down, ``inclusive=False`` leaves the row itself out.
+    Kinds: sum, count, min, max, last (last non-null), previous (value of the row
+    before, missing or not).  ``descending`` runs from the greatest order value
+    down, ``inclusive=False`` leaves the row itself out.  Values wanted along the
+    same order belong in one call: they share the shuffle.
     """
     keys, order = list(keys), list(order)
+    values = {
+        name: (kind, F.struct(value.alias("v")) if kind == "previous" else value) for name, (kind, value) in values.items()
+    }
     direction = (lambda name: F.col(name).desc()) if descending else (lambda name: F.col(name).asc())
-    upto = 0 if inclusive else -1
     blocked = df.withColumn(_BLOCK, block)
-    inside = (
-        Window.partitionBy(*keys, _BLOCK)
-        .orderBy(*[direction(name) for name in order])
-        .rowsBetween(Window.unboundedPreceding, upto)
-    )
+    along = Window.partitionBy(*keys, _BLOCK).orderBy(*[direction(name) for name in order])
+    with_row = along.rowsBetween(Window.unboundedPreceding, 0)
+    before_row = along.rowsBetween(Window.unboundedPreceding, -1)
     across = (
-        Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ).orderBy(direction(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+        (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
+        .orderBy(direction(_BLOCK))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+    def frame(kind: str):
+        return with_row if inclusive and kind != "previous" else before_row
 
     local = blocked.select(
-        "*", *[_inside(kind, value, inside).alias(f"__in_{name}") for name, (kind, value) in values.items()]
+        "*", *[_inside(kind, value, frame(kind)).alias(f"__in_{name}") for name, (kind, value) in values.items()]
     )
     position = F.struct(*order)
     summaries = blocked.groupBy(*keys, _BLOCK).agg(
@@ -114,9 +119,19 @@ def neighbour(
     following: bool = False,
 ) -> DataFrame:
     """Value of the row just before (or ``following``) along ``order``: lag and lead."""
-    wrapped = {name: ("last", F.struct(value.alias("v"))) for name, value in values.items()}
-    out = running(df, keys, order, block, wrapped, descending=following, inclusive=False)
-    return out.select(*df.columns, *[F.col(name)["v"].alias(name) for name in values])
+    return running(
+        df, keys, order, block, {name: ("previous", value) for name, value in values.items()}, descending=following
+    )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder.
+
+    A running value reads its input twice, so one on top of another would compute
+    the lower one twice; this is put between the two.
+    """
+    scratch_root(df.sparkSession)
+    return df.checkpoint()
 
 
 def numbered(

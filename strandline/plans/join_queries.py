@@ -460,7 +460,8 @@ def barrier(t):
 def reconcile_deletes(t):
     rooted = F.concat(F.lit("/"), "rel_path").alias("path")
     folders = t.nation.select(F.concat(F.lit("/src"), "n_nationkey").alias("path"))
-    extra = t.benchmark.select(F.lit("/extra").alias("path"))
+    top = F.concat(F.lit("/"), F.substring_index("rel_path", "/", 1)).alias("path")
+    extra = t.target_files.filter(F.col("rel_path").startswith("extra/")).select(top).distinct()
     big = t.target_files.filter(F.col("size") > 2000).select(rooted)
     deletes = folders.union(extra).union(big)
     return joins.reconcile_deletes(deletes, t.source_files.select(rooted), t.target_files.select(rooted))

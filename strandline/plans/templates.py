@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.clock import epoch_s
-from strandline.operators.ordered import neighbour, numbered
+from strandline.operators.ordered import neighbour, running
 
 
 def in_year(ts: str, year: int) -> Column:
@@ -157,8 +157,8 @@ def window_vocabulary(events: DataFrame, block: Column) -> DataFrame:
     """ROW_NUMBER, LAG and LEAD per user along the event number."""
     keys, order = ["user_id"], ["event_id"]
     base = events.select("user_id", "event_id", "event_type")
-    out = numbered(base, keys, order, block, "rn")
-    out = neighbour(out, keys, order, block, {"before": F.col("event_type")})
+    wanted = {"rn": ("count", F.lit(1)), "before": ("previous", F.col("event_type"))}
+    out = running(base, keys, order, block, wanted)
     return neighbour(out, keys, order, block, {"after": F.col("event_type")}, following=True)
 
 

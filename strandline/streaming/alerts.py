@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ordered import neighbour, running
+from strandline.operators.ordered import neighbour, running, settled
 
 # Seconds of silence.
 SUSPECT_S = 30
@@ -97,6 +97,7 @@ def sustained(df: DataFrame, keys: Sequence[str], order: str, ts_s: Column, cond
     """Rows at which a condition has held without a break for ``hold_s`` seconds."""
     base = df.withColumn("__on", F.coalesce(condition, F.lit(False))).withColumn("__ts", ts_s)
     out = neighbour(base, keys, [order], block, {"__was": F.col("__on")})
+    out = settled(out)
     begins = F.when(F.col("__on") & ~F.coalesce("__was", F.lit(False)), F.col("__ts"))
     out = running(out, keys, [order], block, {"since_s": ("last", begins)})
     fires = F.col("__on") & (F.col("__ts") - F.col("since_s") >= hold_s)
@@ -132,6 +133,7 @@ def idle_sessions(seen: DataFrame, now_s: int, ttl_s: int) -> DataFrame:
 def activity_sessions(events: DataFrame, key: str, order: str, ts_s: str, ttl_s: int, block: Column) -> DataFrame:
     """Sessions split where a member was idle for ``ttl_s`` seconds or more: (key, session_no, start, end, rows)."""
     out = neighbour(events, [key], [order], block, {"__before": F.col(ts_s)})
+    out = settled(out)
     begins = F.when(F.col("__before").isNull() | (F.col(ts_s) - F.col("__before") >= ttl_s), 1).otherwise(0)
     out = running(out, [key], [order], block, {"session_no": ("sum", begins)})
     return out.groupBy(key, "session_no").agg(
