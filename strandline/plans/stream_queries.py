@@ -11,7 +11,7 @@ from strandline.plans.join_queries import last_positions
 from strandline.plans.registry import query
 from strandline.session import block_of, scratch_path
 from strandline.streaming import alerts, catalog_log, journal, positions, records
-from strandline.streaming.tables import StateTable, appended, fold_stream, keyed_result
+from strandline.streaming.tables import StateTable, appended, fold_stream, keyed_result, per_batch
 
 DAY = 86_400
 
@@ -89,8 +89,7 @@ def journal_to_plan(t):
 )
 def apply_plan(t):
     plan = journal.journal_to_plan(t.stream("fs_journal"), t.stream_jobs).select("job_id", "file", "txid", "action")
-    table = StateTable(t.spark, plan.schema, scratch_path(t.spark, "tasks"))
-    return fold_stream(plan, table, lambda state, batch, _: journal.last_state(state.unionByName(batch)))
+    return per_batch(plan, "tasks", journal.last_state).drop("epoch")
 
 
 @query("T06_positions", f"WITH {_plan_sql()} SELECT job_id, max(txid) AS txid FROM p GROUP BY job_id")
@@ -123,8 +122,7 @@ def expand_dirs(t):
 )
 def apply_catalog_events(t):
     events = t.stream("catalog_events").withColumn("part_name", F.lit("")).withColumn("payload", F.col("payload").cast("long"))
-    table = StateTable(t.spark, catalog_log.CATALOG_SCHEMA, scratch_path(t.spark, "catalog"))
-    return fold_stream(events, table, lambda state, batch, _: catalog_log.apply_catalog_events(state, batch))
+    return catalog_log.catalog_state(appended(catalog_log.object_changes(events), "catalog"))
 
 
 _LETTERS = """e AS (SELECT user_id AS job_id, event_id, value < 100 AS ok, CASE WHEN event_type = 'error' THEN 2 WHEN event_type = 'view' THEN 1 END AS before FROM events),
@@ -321,14 +319,7 @@ def accept_in_order(t):
     batches = t.stream("conversations").select(
         F.col("conv_id").alias("part"), turn.alias("seq"), prev.cast("long").alias("prev_max"), (turn * 10 + 9).alias("max_offset")
     )
-    schema = "part long, seq long, max_offset long, accepted boolean"
-    table = StateTable(t.spark, schema, scratch_path(t.spark, "accepted"))
-
-    def fold(state, batch, _):
-        before = state.filter("accepted").groupBy("part").agg(F.max_by("max_offset", "seq").alias("max_offset"))
-        return state.unionByName(records.accept_in_order(batch, before))
-
-    return fold_stream(batches, table, fold).select("part", "seq", "accepted")
+    return records.accept_stream(batches, "accepted").select("part", "seq", "accepted")
 
 
 @query(

@@ -39,16 +39,13 @@ def object_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def apply_catalog_events(state: DataFrame, events: DataFrame) -> DataFrame:
-    """State of tables and partitions after a micro-batch of events, folded by event id.
+def catalog_state(changes: DataFrame) -> DataFrame:
+    """Tables and partitions there are after a log of changes, folded by event id.
 
     Only the last change of an object counts.  Partitions go with a dropped table
-    unless they were changed after the drop.  Events at or below an object's own
-    event id have been applied before and change nothing.
+    unless they were changed after the drop.
     """
-    changes = object_changes(events)
-    known = state.withColumn("change", F.lit("upsert")).select(*changes.columns)
-    last = latest_per_key(changes.unionByName(known), ["table_name", "part_name"], ["event_id"])
+    last = latest_per_key(changes, ["table_name", "part_name"], ["event_id"])
     drops = (
         changes.filter((F.col("part_name") == "") & (F.col("change") == "delete"))
         .groupBy("table_name")
@@ -56,7 +53,18 @@ def apply_catalog_events(state: DataFrame, events: DataFrame) -> DataFrame:
     )
     kept = last.filter(F.col("change") == "upsert").join(drops, "table_name", "left")
     alive = (F.col("part_name") == "") | F.col("dropped_at").isNull() | (F.col("event_id") > F.col("dropped_at"))
-    return kept.filter(alive).select(*state.columns)
+    return kept.filter(alive).select("table_name", "part_name", "event_id", "payload")
+
+
+def apply_catalog_events(state: DataFrame, events: DataFrame) -> DataFrame:
+    """State after one more batch of events.
+
+    Events at or below an object's own event id have been applied before and
+    change nothing, so a batch may be repeated.
+    """
+    known = state.withColumn("change", F.lit("upsert"))
+    changes = object_changes(events)
+    return catalog_state(changes.unionByName(known.select(*changes.columns))).select(*state.columns)
 
 
 def split_dead_letters(events: DataFrame, attempts: DataFrame, max_attempts: int) -> DataFrame:

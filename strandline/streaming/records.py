@@ -7,9 +7,12 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import display, wire
 from strandline.operators.joins import map_schema_ids
+from strandline.session import scratch_path
+from strandline.streaming.tables import StateTable, append_once, batch_rows, drain
 
 
 def read_topic(spark: SparkSession, servers: str, topics: Sequence[str], start: str = "LATEST", **options) -> DataFrame:
@@ -113,3 +116,26 @@ def last_accepted(verdicts: DataFrame, before: DataFrame, key: str = "part") ->
     """Accepted position of every key after a micro-batch."""
     now = verdicts.filter("accepted").groupBy(key).agg(F.max_by("max_offset", "seq").alias("max_offset"))
     return now.unionByName(before.select(key, "max_offset").join(now, key, "left_anti"))
+
+
+def accept_stream(batches: DataFrame, label: str, key: str = "part") -> DataFrame:
+    """``accept_in_order`` over a stream: the verdict of every batch, with its epoch.
+
+    The verdicts of a micro-batch are written first and the positions after it are
+    taken from them, so both agree however often the micro-batch is run.
+    """
+    spark, path = batches.sparkSession, scratch_path(batches.sparkSession, label)
+    kind = dict(batches.dtypes)
+    positions = StateTable(spark, f"{key} {kind[key]}, max_offset {kind['max_offset']}", f"{path}/positions")
+    verdict_type = T.StructType.fromDDL(
+        f"{key} {kind[key]}, seq {kind['seq']}, max_offset {kind['max_offset']}, accepted boolean"
+    )
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        before = positions.before(epoch)
+        append_once(accept_in_order(batch, before, key), epoch, path)
+        verdicts = batch_rows(spark, verdict_type, path).filter(F.col("epoch") == epoch)
+        positions.write(epoch, last_accepted(verdicts, before, key))
+
+    drain(batches.writeStream.foreachBatch(step), path)
+    return batch_rows(spark, verdict_type, path)

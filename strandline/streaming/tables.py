@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.operators.ordered import first_per_key
 from strandline.session import scratch_path
 
 
@@ -16,7 +18,7 @@ def upsert_by_key(target: DataFrame, updates: DataFrame, keys: Sequence[str]) ->
 
 
 class StateTable:
-    """A table rewritten once per micro-batch, in two slots.
+    """A small table (positions, attempts) rewritten once per micro-batch, in two slots.
 
     Batch ``n`` reads the slot of ``n - 1`` and overwrites its own, so a batch that
     is run again after a failure starts from the same state and ends in the same one.
@@ -55,11 +57,41 @@ def fold_stream(stream: DataFrame, table: StateTable, fold: Callable[[DataFrame,
     return table.after(last["epoch"])
 
 
+def append_once(df: DataFrame, epoch: int, path: str) -> None:
+    """Append the rows of a micro-batch; running the batch again replaces them."""
+    df.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+
+
+def batch_rows(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """Everything ``append_once`` has written, with the ``epoch`` it came in."""
+    with_epoch = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
+    return spark.read.schema(with_epoch).parquet(f"{path}/rows")
+
+
+def per_batch(
+    stream: DataFrame, label: str, fn: Callable[[DataFrame], DataFrame] | None = None, *, mode: str = "append"
+) -> DataFrame:
+    """Rows of ``fn(batch)`` of every micro-batch, with their ``epoch``; each batch writes only its own rows."""
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, label)
+    shape = {"schema": stream.schema}
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        out = batch if fn is None else fn(batch)
+        shape["schema"] = out.schema
+        append_once(out, epoch, path)
+
+    drain(stream.writeStream.outputMode(mode).foreachBatch(step), path)
+    return batch_rows(spark, shape["schema"], path)
+
+
 def keyed_result(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Result of a keyed streaming aggregate: changed keys are upserted after every micro-batch."""
-    spark = stream.sparkSession
-    table = StateTable(spark, stream.schema, scratch_path(spark, label))
-    return fold_stream(stream, table, lambda state, batch, _: upsert_by_key(state, batch, keys), mode="update")
+    """Result of a keyed streaming aggregate.
+
+    A micro-batch appends the keys it changed and nothing else; the newest row of a
+    key is taken when the result is read.
+    """
+    changes = per_batch(stream, label, mode="update")
+    return first_per_key(changes, keys, [F.desc("epoch")]).drop("epoch")
 
 
 def appended(stream: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.session import block_of, scratch_path
 from strandline.streaming import alerts, catalog_log, journal, positions, records
-from strandline.streaming.tables import StateTable, fold_stream, keyed_result, upsert_by_key
+from strandline.streaming.tables import StateTable, appended, fold_stream, keyed_result, upsert_by_key
 
 
 def files_of(folder, batches):
@@ -56,13 +56,7 @@ def test_accept_in_order_over_batches(spark, tmp_path, rows):
         [[row(1, 5, 9), row(2, 9, 19)], [row(3, 9, 29), row(4, 19, 39), row(5, 1, 3, part=1)], [row(6, 29, 49), row(7, None, 59), row(8, 59, 69)]],
     )
     source = stream(spark, tmp_path / "in", "part int, seq long, prev_max long, max_offset long")
-    table = StateTable(spark, "part int, seq long, max_offset long, accepted boolean", scratch_path(spark, "acc"))
-
-    def fold(state, batch, _):
-        before = state.filter("accepted").groupBy("part").agg(F.max_by("max_offset", "seq").alias("max_offset"))
-        return state.unionByName(records.accept_in_order(batch, before))
-
-    got = dict(rows(fold_stream(source, table, fold), "seq", "accepted"))
+    got = dict(rows(records.accept_stream(source, "acc"), "seq", "accepted"))
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: True}
 
 
@@ -91,6 +85,8 @@ def test_catalog_changes_do_not_depend_on_batches(spark, tmp_path, rows, cut):
     table = StateTable(spark, catalog_log.CATALOG_SCHEMA, scratch_path(spark, "cat"))
     got = fold_stream(stream(spark, tmp_path / "in", EVENT), table, lambda s, b, _: catalog_log.apply_catalog_events(s, b))
     assert rows(got, "table_name", "part_name", "payload") == [("a", "", 5), ("c", "", 7)]
+    changes = appended(catalog_log.object_changes(stream(spark, tmp_path / "in", EVENT)), "changes")
+    assert rows(catalog_log.catalog_state(changes), "table_name", "part_name", "payload") == [("a", "", 5), ("c", "", 7)]
 
 
 def test_dead_letters(spark, rows):
