@@ -115,11 +115,13 @@ def column_drift(
 def drift_report(issues: DataFrame, limit: int = 2000) -> DataFrame:
     """One message per table, its issues in order joined by ``"; "`` and cut to ``limit``.
 
-    An issue takes at least 6 characters with its separator, so the first
-    ``limit / 6`` issues of a table always fill the message; only those are gathered.
+    An issue takes at least 8 characters with its separator, so the first
+    ``limit / 8`` issues of a table always fill the message; only those are
+    gathered, and map tasks send no more than that (up to a limit of 7,000
+    characters, where the optimizer stops limiting before the shuffle).
     """
     text = F.concat_ws(" ", "issue", "detail")
-    head = first_per_key(issues.withColumn("text", text), ["table_name"], [F.col("text")], n=limit // 6 + 1)
+    head = first_per_key(issues.withColumn("text", text), ["table_name"], [F.col("text")], n=limit // 8 + 1)
     joined = F.array_join(F.array_sort(F.collect_list("text")), "; ")
     counts = issues.groupBy("table_name").agg(F.count(F.lit(1)).alias("issues"))
     messages = head.groupBy("table_name").agg(joined.alias("full"))

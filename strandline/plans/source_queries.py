@@ -13,6 +13,7 @@ from strandline.plans.registry import query
 from strandline.session import scratch_path
 from strandline.sources import files, sinks
 from strandline.streaming.journal import read_fs_journal
+from strandline.streaming.records import from_topic, to_topic
 from strandline.streaming.tables import appended
 
 
@@ -214,3 +215,37 @@ def compact_small_files(t):
     plan = plan_bundles(listing, ["folder"], "no", 1 << 30, 64 << 20, 5)
     sinks.compact_small_files(t.spark, root, plan, out)
     return t.spark.read.parquet(out).select("doc_id", "n_chars", "source")
+
+
+def _raw_topic(t):
+    """Records in the shape the stream source gives them."""
+    from strandline.plans.filter_queries import with_headers
+
+    return with_headers(t.records).select(
+        "topic", F.col("part").alias("partition"), F.col("rec_offset").alias("offset"),
+        F.timestamp_millis("ts_ms").alias("timestamp"), F.encode("rec_key", "UTF-8").alias("key"), "value", "headers",
+    )
+
+
+@query(
+    "S10_topic_records",
+    "SELECT topic, part, rec_offset, ts_ms, rec_key, payload_hex IS NULL AS is_tombstone FROM records",
+)
+def topic_records(t):
+    return from_topic(_raw_topic(t)).select(
+        "topic", "part", "rec_offset", F.unix_millis("ts").alias("ts_ms"), F.decode("key", "UTF-8").alias("rec_key"),
+        F.col("value").isNull().alias("is_tombstone"),
+    )
+
+
+@query(
+    "K04_topic_rows",
+    """SELECT 'copy-' || topic AS topic, part AS "partition", rec_key AS key, payload_hex AS value_hex, concat_ws(';', 'trace=' || rec_key, 'X-Repl-Origin=' || origin, 'X-Repl-Hop=' || hop, 'X-Source-Timestamp=' || ts_ms) AS headers FROM records""",
+)
+def topic_rows(t):
+    rows = to_topic(from_topic(_raw_topic(t)).withColumn("topic", F.concat(F.lit("copy-"), "topic")))
+    shown = F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), F.decode(h["value"], "UTF-8")))
+    return rows.select(
+        "topic", "partition", F.decode("key", "UTF-8").alias("key"), F.hex("value").alias("value_hex"),
+        F.array_join(shown, ";").alias("headers"),
+    )

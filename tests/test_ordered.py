@@ -101,3 +101,18 @@ def test_packing_is_greedy(spark, monkeypatch, full_at, max_rows, max_bytes, wid
 def test_first_per_key(spark, rows):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 9)], "k string, v int")
     assert rows(ordered.first_per_key(df, ["k"], [F.desc("v")], 2)) == [("a", 2), ("a", 3), ("b", 9)]
+
+
+def test_a_hot_key_is_spread(spark):
+    """A third of the rows has one key; no task of the window gets more than its share of blocks."""
+    df = spark.range(60_000).select(
+        F.col("id").alias("at"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).alias("k")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ordered.running(df, ["k"], ["at"], block_of(F.col("at"), 500), {"n": ("count", F.lit(1))})
+        sizes = [r["c"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("n").alias("c")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 60_000 and max(sizes) < 60_000 / 8 * 1.6
+    assert out.filter("k = 0").agg(F.max("n")).first()[0] == 20_000 + 8
