@@ -225,13 +225,14 @@ def find_overlaps(jobs: DataFrame, active_only: bool = False) -> DataFrame:
     of a popular topic are formed.  ``jobs`` has an array column ``topics``.
     """
     base = jobs.select(
-        "id", "status", "topics", legs(F.col("source_dc"), F.col("target_dc"), F.col("direction")).alias("legs")
-    )
+        "id", "status", F.array_distinct("topics").alias("topics"),
+        legs(F.col("source_dc"), F.col("target_dc"), F.col("direction")).alias("legs"),
+    )
     cells = base.select("id", "status", F.explode("legs").alias("leg"), "topics").select(
         "id", "status", "leg", F.explode("topics").alias("topic")
     )
     others = cells.filter(F.upper("status") == "ACTIVE") if active_only else cells
-    two = first_per_key(others.select("id", "leg", "topic").distinct(), ["leg", "topic"], [F.col("id")], n=2)
+    two = first_per_key(others.select("id", "leg", "topic"), ["leg", "topic"], [F.col("id")], n=2)
     ends = two.groupBy("leg", "topic").agg(F.min("id").alias("first_id"), F.max("id").alias("second_id"))
     other = F.when(F.col("first_id") != F.col("id"), F.col("first_id")).when(
         F.col("second_id") != F.col("id"), F.col("second_id")

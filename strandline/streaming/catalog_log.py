@@ -6,27 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import names
+from strandline.operators.ordered import running, settled
 from strandline.operators.windows import latest_per_key
+from strandline.session import block_of
 
 CATALOG_SCHEMA = "table_name string, part_name string, event_id long, payload long"
 
 
 def object_changes(events: DataFrame) -> DataFrame:
-    """What each handled event does to which object: (table_name, part_name, event_id, change).
+    """What each handled event does to which object.
 
-    A partition name of '' stands for the table itself.  A rename is a delete of
-    the old name and an upsert of the new one.
+    Rows (table_name, part_name, change, moved_to, event_id, payload); a partition
+    name of '' stands for the table itself.  A rename is a delete of the old name,
+    which says where the table moved to, and an upsert of the new one.
     """
     kind = F.upper("event_type")
     renamed = (kind == "ALTER_TABLE") & F.col("renamed_to").isNotNull() & (
         F.lower("renamed_to") != F.lower("table_name")
     )
-    change = lambda table, part, what: F.struct(
-        table.alias("table_name"), part.alias("part_name"), F.lit(what).alias("change")
+    nowhere = F.lit(None).cast("string")
+    change = lambda table, part, what, to=nowhere: F.struct(
+        table.alias("table_name"), part.alias("part_name"), F.lit(what).alias("change"), to.alias("moved_to")
     )
     table, whole, part = F.col("table_name"), F.lit(""), F.coalesce("part_name", F.lit(""))
+    new = F.col("renamed_to")
     effects = (
-        F.when(renamed, F.array(change(table, whole, "delete"), change(F.col("renamed_to"), whole, "upsert")))
+        F.when(renamed, F.array(change(table, whole, "delete", new), change(new, whole, "upsert")))
         .when(kind.isin("CREATE_TABLE", "ALTER_TABLE"), F.array(change(table, whole, "upsert")))
         .when(kind == "DROP_TABLE", F.array(change(table, whole, "delete")))
         .when(kind == "DROP_PARTITION", F.array(change(table, part, "delete")))
@@ -39,21 +44,50 @@ def object_changes(events: DataFrame) -> DataFrame:
     )
 
 
+def _follow_tables(partitions: DataFrame, ends: DataFrame) -> DataFrame:
+    """Partition changes under the name their table has in the end; those of dropped tables are gone.
+
+    The first drop or rename of its table after a change decides: a drop removes it,
+    a rename carries it on under the new name, where the next one is looked for.
+    That lookup is a forward as-of join, repeated once per rename in a row.
+    """
+    stops = ends.select(
+        "table_name", F.col("event_id").alias("at"), F.struct("event_id", "moved_to").alias("stop"), F.lit(1).alias("side")
+    )
+    pending = partitions.withColumn("at", F.col("event_id"))
+    settled_rows = None
+    while True:
+        asked = pending.withColumn("side", F.lit(0)).unionByName(stops, allowMissingColumns=True)
+        found = running(
+            asked, ["table_name"], ["at", "side"], block_of(F.col("at")),
+            {"next": ("last", F.col("stop"))}, descending=True, inclusive=False,
+        )
+        found = settled(found.filter(F.col("side") == 0).drop("stop", "side"))
+        here = found.filter(F.col("next").isNull()).select(*partitions.columns)
+        settled_rows = here if settled_rows is None else settled_rows.unionByName(here)
+        moved = found.filter(F.col("next.moved_to").isNotNull())
+        if moved.isEmpty():
+            return settled_rows
+        pending = moved.select(
+            F.col("next.moved_to").alias("table_name"), *[c for c in partitions.columns if c != "table_name"],
+            F.col("next.event_id").alias("at"),
+        )
+
+
 def catalog_state(changes: DataFrame) -> DataFrame:
     """Tables and partitions there are after a log of changes, folded by event id.
 
-    Only the last change of an object counts.  Partitions go with a dropped table
-    unless they were changed after the drop.
+    Only the last change of an object counts.  Partitions go with a dropped table,
+    unless they were changed after the drop, and move with a renamed one.
     """
-    last = latest_per_key(changes, ["table_name", "part_name"], ["event_id"])
-    drops = (
-        changes.filter((F.col("part_name") == "") & (F.col("change") == "delete"))
-        .groupBy("table_name")
-        .agg(F.max("event_id").alias("dropped_at"))
-    )
-    kept = last.filter(F.col("change") == "upsert").join(drops, "table_name", "left")
-    alive = (F.col("part_name") == "") | F.col("dropped_at").isNull() | (F.col("event_id") > F.col("dropped_at"))
-    return kept.filter(alive).select("table_name", "part_name", "event_id", "payload")
+    kept = ["table_name", "part_name", "event_id", "payload", "change"]
+    whole = F.col("part_name") == ""
+    tables = latest_per_key(changes.filter(whole).select(*kept), ["table_name"], ["event_id"])
+    partitions = changes.filter(~whole).select(*kept)
+    if not partitions.isEmpty():
+        followed = _follow_tables(partitions, changes.filter(whole & (F.col("change") == "delete")))
+        tables = tables.unionByName(latest_per_key(followed, ["table_name", "part_name"], ["event_id"]))
+    return tables.filter(F.col("change") == "upsert").select("table_name", "part_name", "event_id", "payload")
 
 
 def apply_catalog_events(state: DataFrame, events: DataFrame) -> DataFrame:
@@ -62,7 +96,7 @@ def apply_catalog_events(state: DataFrame, events: DataFrame) -> DataFrame:
     Events at or below an object's own event id have been applied before and
     change nothing, so a batch may be repeated.
     """
-    known = state.withColumn("change", F.lit("upsert"))
+    known = state.withColumn("change", F.lit("upsert")).withColumn("moved_to", F.lit(None).cast("string"))
     changes = object_changes(events)
     return catalog_state(changes.unionByName(known.select(*changes.columns))).select(*state.columns)
 

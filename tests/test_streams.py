@@ -63,11 +63,14 @@ def test_accept_in_order_over_batches(spark, tmp_path, rows):
 EVENT = "event_id long, table_name string, part_name string, event_type string, renamed_to string, payload long"
 
 
+WANT = [("a", "", 5), ("c", "", 15), ("e", "", 14), ("e", "dt=5", 10), ("e", "dt=6", 13)]
+
+
 def event(i, kind, table, part=None, to=None, payload=0):
     return {"event_id": i, "event_type": kind, "table_name": table, "part_name": part, "renamed_to": to, "payload": payload}
 
 
-@pytest.mark.parametrize("cut", [[9], [1, 2, 3, 4, 5, 6, 7, 8], [3, 6], [5]])
+@pytest.mark.parametrize("cut", [[9], [1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14], [3, 6, 13], [12]])
 def test_catalog_changes_do_not_depend_on_batches(spark, tmp_path, rows, cut):
     log = [
         event(1, "CREATE_TABLE", "a", payload=1),
@@ -79,14 +82,20 @@ def test_catalog_changes_do_not_depend_on_batches(spark, tmp_path, rows, cut):
         event(7, "ALTER_TABLE", "b", to="c", payload=7),
         event(8, "DROP_PARTITION", "a", "dt=2"),
         event(9, "OPEN_TXN", "z"),
+        event(10, "ADD_PARTITION", "c", "dt=5", payload=10),
+        event(11, "ADD_PARTITION", "c", "dt=6", payload=11),
+        event(12, "ALTER_TABLE", "c", to="d", payload=12),
+        event(13, "ADD_PARTITION", "d", "dt=6", payload=13),
+        event(14, "ALTER_TABLE", "d", to="e", payload=14),
+        event(15, "CREATE_TABLE", "c", payload=15),
     ]
     edges = [0, *cut, len(log)]
     files_of(tmp_path / "in", [log[a:b] for a, b in zip(edges, edges[1:]) if log[a:b]])
     table = StateTable(spark, catalog_log.CATALOG_SCHEMA, scratch_path(spark, "cat"))
     got = fold_stream(stream(spark, tmp_path / "in", EVENT), table, lambda s, b, _: catalog_log.apply_catalog_events(s, b))
-    assert rows(got, "table_name", "part_name", "payload") == [("a", "", 5), ("c", "", 7)]
+    assert rows(got, "table_name", "part_name", "payload") == WANT
     changes = appended(catalog_log.object_changes(stream(spark, tmp_path / "in", EVENT)), "changes")
-    assert rows(catalog_log.catalog_state(changes), "table_name", "part_name", "payload") == [("a", "", 5), ("c", "", 7)]
+    assert rows(catalog_log.catalog_state(changes), "table_name", "part_name", "payload") == WANT
 
 
 def test_dead_letters(spark, rows):
