@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,58 +135,57 @@ def config_diff(draft: DataFrame, live: DataFrame, default_label: str = "DEFAULT
     """Draft against live at (path, label): created, deleted, modified or unchanged, with deltas.
 
     Only the drafted paths are reported.  A path whose labels are all equal gives
-    one row under the default label, modified when another property changed.
+    one row under the default label, modified when another property changed.  What
+    concerns a whole path is taken over its few labels by a window, so the two
+    tables are joined once.
     """
-    live_props = live.groupBy("path").agg(
-        F.min("state").alias("l_state"), F.min("policy").alias("l_policy"), F.min("node_labels").alias("l_labels")
-    )
-    props = draft.groupBy("path").agg(
-        F.min("action").alias("action"), F.min("state").alias("state"), F.min("policy").alias("policy"),
-        F.min("node_labels").alias("node_labels"),
-    ).join(live_props.withColumn("known", F.lit(True)), "path", "left")
+    props = ["capacity", "max_capacity", "state", "policy", "node_labels"]
+    d = draft.select("path", "label", F.lower("action").alias("action"), *[F.col(c).alias(f"d_{c}") for c in props])
+    lv = live.select("path", "label", F.lit(True).alias("on_live"), *[F.col(c).alias(f"l_{c}") for c in props])
+    cells = d.join(lv, ["path", "label"], "full")
+
+    delta = lambda c: F.col(f"d_{c}") - F.col(f"l_{c}")
+    one_side = F.col("action").isNull() != F.col("on_live").isNull()
+    moved = (F.abs(delta("capacity")) > 0.01) | (F.abs(delta("max_capacity")) > 0.01)
+    cells = cells.withColumn("changed", one_side | F.coalesce(moved, F.lit(False)))
+
+    path = Window.partitionBy("path")
+    at_default = F.col("label") == default_label
+    over_path = lambda c: F.max(c).over(path)
+    cells = cells.select(
+        "*",
+        over_path(F.col("action").isNotNull()).alias("drafted"),
+        over_path(F.coalesce(F.col("action") == "delete", F.lit(False))).alias("is_delete"),
+        over_path(F.col("on_live").isNotNull()).alias("known"),
+        over_path("changed").alias("any_changed"),
+        F.min("label").over(path).alias("first_label"),
+        *[F.min(f"{side}_{c}").over(path).alias(f"p_{side}_{c}") for side in "dl" for c in props[2:]],
+        *[over_path(F.when(at_default, F.col(f"{s}_{c}"))).alias(f"z_{s}_{c}") for s in "dl" for c in props[:2]],
+    ).filter("drafted")
+
     label_set = lambda c: F.array_sort(F.split(F.col(c), ","))
     props_changed = (
-        ~F.col("state").eqNullSafe(F.col("l_state"))
-        | F.coalesce(F.lower("policy") != F.lower("l_policy"), F.lit(False))
-        | F.coalesce(label_set("node_labels") != label_set("l_labels"), F.lit(False))
+        ~F.col("p_d_state").eqNullSafe(F.col("p_l_state"))
+        | F.coalesce(F.lower("p_d_policy") != F.lower("p_l_policy"), F.lit(False))
+        | F.coalesce(label_set("p_d_node_labels") != label_set("p_l_node_labels"), F.lit(False))
     )
-    props = props.select(
-        "path",
-        (F.lower("action") == "delete").alias("is_delete"),
-        F.coalesce("known", F.lit(False)).alias("known"),
-        props_changed.alias("props_changed"),
-    )
-    d = draft.select("path", "label", F.col("capacity").alias("dc"), F.col("max_capacity").alias("dm"))
-    lv = live.select("path", "label", F.col("capacity").alias("lc"), F.col("max_capacity").alias("lm"))
-    cells = d.join(lv.join(props.select("path"), "path", "left_semi"), ["path", "label"], "full")
-    one_side = F.col("dc").isNull() != F.col("lc").isNull()
-    moved = (F.abs(F.col("dc") - F.col("lc")) > 0.01) | (F.abs(F.col("dm") - F.col("lm")) > 0.01)
-    cells = cells.withColumn("changed", one_side | F.coalesce(moved, F.lit(False)))
-    any_change = cells.groupBy("path").agg(F.max("changed").alias("any_changed"))
-    facts = props.join(any_change, "path")
-
-    per_label = cells.join(
-        facts.filter(~F.col("is_delete") & (~F.col("known") | F.col("any_changed"))), "path"
-    ).filter(~F.col("known") | F.col("changed"))
-    action = F.when(F.col("known"), F.lit("modified")).otherwise(F.lit("created"))
-    numbers = [
-        F.col("lc").alias("live_capacity"),
-        F.col("dc").alias("draft_capacity"),
-        F.round(F.col("dc") - F.col("lc"), 2).alias("delta_capacity"),
-        F.round(F.col("dm") - F.col("lm"), 2).alias("delta_max_capacity"),
-    ]
-    detailed = per_label.select("path", "label", action.alias("action"), *numbers)
-    whole = facts.filter(F.col("is_delete") | (F.col("known") & ~F.col("any_changed")))
-    shown = (
+    whole = F.col("is_delete") | (F.col("known") & ~F.col("any_changed"))
+    whole_action = (
         F.when(F.col("is_delete"), F.lit("deleted"))
-        .when(F.col("props_changed"), F.lit("modified"))
+        .when(props_changed, F.lit("modified"))
         .otherwise(F.lit("unchanged"))
     )
-    at_default = cells.filter(F.col("label") == default_label).select("path", "lc", "dc", "lm", "dm")
-    summary = whole.join(at_default, "path", "left").select(
-        "path", F.lit(default_label).alias("label"), shown.alias("action"), *numbers
+    number = lambda c: F.when(whole, F.col(f"z_{c}")).otherwise(F.col(c))
+    shown = F.when(whole, F.col("label") == F.col("first_label")).otherwise(~F.col("known") | F.col("changed"))
+    return cells.filter(shown).select(
+        "path",
+        F.when(whole, F.lit(default_label)).otherwise(F.col("label")).alias("label"),
+        F.when(whole, whole_action).when(F.col("known"), F.lit("modified")).otherwise(F.lit("created")).alias("action"),
+        number("l_capacity").alias("live_capacity"),
+        number("d_capacity").alias("draft_capacity"),
+        F.round(number("d_capacity") - number("l_capacity"), 2).alias("delta_capacity"),
+        F.round(number("d_max_capacity") - number("l_max_capacity"), 2).alias("delta_max_capacity"),
     )
-    return detailed.unionByName(summary)
 
 
 def mirror_routes(jobs: DataFrame) -> DataFrame:
@@ -302,21 +301,19 @@ def with_counts(left: DataFrame, right: DataFrame, key: str, name: str = "n") ->
 
 
 def offsets_for_times(requests: DataFrame, log: DataFrame, block_ms: int = TIME_BLOCK_MS) -> DataFrame:
-    """Smallest target offset at or after a time, per (topic, part, ts_ms) request.
+    """Add ``target_offset``: the smallest one at or after the time of each (topic, part, ts_ms) request.
 
     A forward as-of join as a running minimum from the newest time back, in time
     blocks, so a hot partition is spread over many tasks.
     """
-    both = requests.select("topic", "part", "ts_ms", "request_id", F.lit(None).cast("long").alias("rec_offset"),
-                           F.lit(0).alias("side")).unionByName(
-        log.select("topic", "part", "ts_ms", F.lit(None).cast("long").alias("request_id"), "rec_offset",
-                   F.lit(1).alias("side")))
+    asked = requests.withColumn("__side", F.lit(0))
+    written = log.select("topic", "part", "ts_ms", F.col("rec_offset").alias("__offset"), F.lit(1).alias("__side"))
     block = F.floor(F.col("ts_ms") / block_ms).cast("long")
     out = running(
-        both, ["topic", "part"], ["ts_ms", "side"], block,
-        {"target_offset": ("min", F.col("rec_offset"))}, descending=True,
+        asked.unionByName(written, allowMissingColumns=True), ["topic", "part"], ["ts_ms", "__side"], block,
+        {"target_offset": ("min", F.col("__offset"))}, descending=True,
     )
-    return out.filter(F.col("side") == 0).select("topic", "part", "ts_ms", "request_id", "target_offset")
+    return out.filter(F.col("__side") == 0).select(*requests.columns, "target_offset")
 
 
 def translate_offsets(groups: DataFrame, exact: DataFrame, last: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def set_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys on one side only, with the side."""
-    ka, kb = a.select(*keys).distinct(), b.select(*keys).distinct()
-    only_a = ka.join(kb, list(keys), "left_anti").withColumn("side", F.lit("source"))
-    only_b = kb.join(ka, list(keys), "left_anti").withColumn("side", F.lit("target"))
-    return only_a.unionByName(only_b)
+    """Keys on one side only, with the side; both sides go through one aggregate."""
+    flag = lambda df, x, y: df.select(*keys, F.lit(x).alias("in_a"), F.lit(y).alias("in_b"))
+    both = flag(a, True, False).unionByName(flag(b, False, True))
+    sides = both.groupBy(*keys).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    side = F.when(F.col("in_a"), F.lit("source")).otherwise(F.lit("target"))
+    return sides.filter(F.col("in_a") != F.col("in_b")).select(*keys, side.alias("side"))
 
 
 def all_labels(draft: Column, live: Column) -> Column:
@@ -26,9 +27,7 @@ def all_labels(draft: Column, live: Column) -> Column:
 
 def logs_equal(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     """Record counts per partition on both sides, and whether they agree."""
-    ca = a.groupBy(*by).agg(F.count(F.lit(1)).alias("source_n"))
-    cb = b.groupBy(*by).agg(F.count(F.lit(1)).alias("target_n"))
-    n, m = F.coalesce("source_n", F.lit(0)), F.coalesce("target_n", F.lit(0))
-    return ca.join(cb, list(by), "full").select(
-        *by, n.alias("source_n"), m.alias("target_n"), (n == m).alias("equal")
-    )
+    flag = lambda df, x, y: df.select(*by, F.lit(x).alias("a"), F.lit(y).alias("b"))
+    both = flag(a, 1, 0).unionByName(flag(b, 0, 1))
+    counts = both.groupBy(*by).agg(F.sum("a").alias("source_n"), F.sum("b").alias("target_n"))
+    return counts.withColumn("equal", F.col("source_n") == F.col("target_n"))

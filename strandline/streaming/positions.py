@@ -28,13 +28,7 @@ def monotonic_position(stream: DataFrame, key: str, position: str) -> DataFrame:
 
 def sync_offsets(groups: DataFrame, exact: DataFrame, last: DataFrame, target_log: DataFrame, current: DataFrame,
                  live: DataFrame, block_ms: int = joins.TIME_BLOCK_MS) -> DataFrame:
-    """One pass of carrying group offsets over: allowed groups, time of the offset, target offset, guard.
-
-    A (topic, part) is asked once per group; the group is found again by its request id.
-    """
+    """One pass of carrying group offsets over: allowed groups, time of the offset, target offset, guard."""
     translated = joins.translate_offsets(filters.allowed_groups(groups), exact, last).filter(F.col("ts_ms") > 0)
-    points = translated.select("topic", "part", "ts_ms").distinct()
-    asked = points.withColumn("request_id", F.lit(0).cast("long"))
-    found = joins.offsets_for_times(asked, target_log, block_ms).filter(F.col("target_offset").isNotNull())
-    proposed = translated.join(found.drop("request_id"), ["topic", "part", "ts_ms"])
-    return joins.apply_offsets(current, proposed.select("group_id", "topic", "part", "target_offset"), live)
+    found = joins.offsets_for_times(translated, target_log, block_ms).filter(F.col("target_offset").isNotNull())
+    return joins.apply_offsets(current, found.select("group_id", "topic", "part", "target_offset"), live)
