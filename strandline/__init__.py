@@ -6,6 +6,14 @@ queries that run over them.  Every operator takes DataFrames and gives a
 DataFrame; nothing is collected on the driver.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from strandline.session import get_session, scratch_path
 
+# The few functions that run in Python workers travel with the job, so the
+# executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["get_session", "scratch_path"]

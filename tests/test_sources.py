@@ -131,3 +131,14 @@ def test_entry_points():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 200
+
+
+def test_worker_functions_need_no_package_on_the_executors():
+    from pyspark import cloudpickle
+
+    from strandline.operators import joins, packing
+
+    assert "strandline" in cloudpickle.list_registry_pickle_by_value()
+    for fn in (joins._weight, packing._next_start):
+        # code by value is far longer than a reference to the module
+        assert len(cloudpickle.dumps(fn)) > 400
