@@ -34,9 +34,11 @@ _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _bytes = np.arange(256)
-#: Bytes outside words: ASCII white space; or all ASCII but digits and a-z.
+#: Bytes outside words: ASCII white space; or all ASCII but digits and letters.
 SPACE = (_bytes == 32) | ((_bytes >= 9) & (_bytes <= 13))
-NOT_ALNUM = (_bytes < 128) & ~(((_bytes >= 48) & (_bytes <= 57)) | ((_bytes >= 97) & (_bytes <= 122)))
+NOT_ALNUM = (_bytes < 128) & ~(
+    ((_bytes >= 48) & (_bytes <= 57)) | ((_bytes >= 97) & (_bytes <= 122)) | ((_bytes >= 65) & (_bytes <= 90))
+)
 del _bytes
 
 _powers: dict[str, np.ndarray] = {}
