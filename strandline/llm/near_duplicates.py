@@ -270,3 +270,12 @@ def _open_pairs(shared: DataFrame, signed: DataFrame, groups: DataFrame, share:
         .select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"))
         .distinct()
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
+    """The documents less all but the smallest id of each near-duplicate group, columns as they were.
+
+    Rows with a null id stay. Rows that repeat an id stay or go together.
+    """
+    gone = near_duplicates(docs, width, share).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
