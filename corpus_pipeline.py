@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, line_dedup, mixing, near_duplicates, toxicity
 from strandline.llm.tables import read, settled
@@ -14,8 +15,9 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line are cut out of their documents."""
-    return line_dedup.without_repeated_lines(docs, share=0.8)
+    """Lines that repeat an earlier line are cut out of their documents; ``n_chars`` follows the text."""
+    cut = line_dedup.without_repeated_lines(docs, share=0.8)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
