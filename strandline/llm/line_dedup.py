@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import tokens
-from strandline.llm.near_duplicates import MAP_BITS, _marked
+from strandline.llm.near_duplicates import MAP_BITS
 from strandline.llm.tables import settled
 
 #: Lines with fewer distinct words say too little to be called copies; they stay.
@@ -18,145 +18,227 @@ MIN_WORDS = 5
 #: Counters of the hashed word counts that define rarity; 4 MB as int32 on every executor.
 #: Two words may share a counter: their order is then less sharp, but still one order.
 COUNTERS = 1 << 20
-#: Minima per line that find most copies before the join; the join does not rely on them.
-LEADERS = 4
+SLICE = 1 << 10
+#: Keys of two minima each that find most copies before the join; the join does not rely
+#: on them.
+KEYS = 3
 
-_MUL = tokens.mix(np.arange(77, 77 + LEADERS, dtype=np.uint64)) | np.uint64(1)
+_MUL = tokens.mix(np.arange(77, 77 + 2 * KEYS, dtype=np.uint64)) | np.uint64(1)
+_FOUND = "doc_id long, line_no int, print long, slice int, counts binary"
+_LINE = "doc_id long, line_no int, size int, parity long, again boolean, keys array<long>, prefix array<int>"
 
 
 def _line_blocks(values: pa.Array):
-    """Per block of texts: word hashes, global line number of each word, lines per text."""
+    """Per block of texts: words, line number over the block of each word, first line of each text."""
     for i, j, block in tokens.blocks(values, tokens.SPACE):
         breaks = np.flatnonzero(np.frombuffer(block.data, np.uint8) == 10)
         # a text starts a line of its own, whatever the byte before it
-        line = np.searchsorted(breaks, block.start)
-        base = np.searchsorted(breaks, block.offset)
-        yield i, j, block, line + block.doc, base
+        line = np.searchsorted(breaks, block.start) + block.doc
+        base = np.searchsorted(breaks, block.offset[:-1]) + np.arange(j - i)
+        yield i, j, block, line, base
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of this task's words by counter; one row per counter that is not zero."""
+def _edges(line: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line by a fingerprint of its words in order; at the end the task's word counts."""
     total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        for _, _, block in tokens.blocks(batch.column(0), tokens.SPACE):
-            np.add.at(total, (block.hash >> np.uint64(44)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+        for i, j, block, line, base in _line_blocks(batch.column(1)):
+            total += np.bincount((block.hash >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            edge = _edges(line)
+            size = np.diff(np.r_[edge, len(line)])
+            some = size >= MIN_WORDS
+            if not some.any():
+                continue
+            place = (np.arange(len(line)) - np.repeat(edge, size)).astype(np.uint64)
+            print_ = tokens.mix(np.add.reduceat(tokens.mix(block.hash + place * np.uint64(0x9E3779B97F4A7C15)), edge))[some]
+            doc = block.doc[edge][some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(i, j - i).take(pa.array(doc)),
+                    pa.array(line[edge][some] - base[doc], pa.int32()),
+                    pa.array(print_.view(np.int64)),
+                    pa.nulls(len(doc), pa.int32()),
+                    pa.nulls(len(doc), pa.binary()),
+                ],
+                names=["doc_id", "line_no", "print", "slice", "counts"],
+            )
+    parts = total.reshape(-1, SLICE)
+    some = np.flatnonzero(parts.any(axis=1))
+    n = len(some)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
+            pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary()),
+        ],
+        names=["doc_id", "line_no", "print", "slice", "counts"],
+    )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of count slices; a slice is in one task only, which reads its parts one by one."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got = np.frombuffer(part, np.int64)
+            sums[k] = sums[k] + got if k in sums else got
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"]
+    )
 
 
-def word_counts(texts: DataFrame, partial: DataFrame | None = None) -> bytes:
+def word_counts(found: DataFrame) -> bytes:
     """Hashed counts of every word of every text, as int32 (larger counts stay at its top)."""
-    rows = texts.select("text").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(COUNTERS, np.int32)
-    for batch in [rows.toArrow()]:
-        out[batch.column("slot").to_numpy()] = np.minimum(batch.column("n").to_numpy(), 0x7FFFFFFF)
+    sums = found.where("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(_added, "slice int, counts binary")
+    out = np.zeros((COUNTERS // SLICE, SLICE), np.int32)
+    for r in sums.toLocalIterator():
+        out[r["slice"]] = np.minimum(np.frombuffer(r["counts"], np.int64), 0x7FFFFFFF)
     return out.tobytes()
 
 
+def _slot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return (np.mod(doc, 16777213) * 7919 + line) % MAP_BITS
+
+
+def _marks_of(lines: DataFrame) -> bytes:
+    """A bit map of fixed size of hashed lines (``doc_id, line_no``), by partial bit_or."""
+    slot = F.pmod(F.pmod("doc_id", F.lit(16777213).cast("long")) * 7919 + F.col("line_no"), F.lit(MAP_BITS).cast("long"))
+    rows = (
+        lines.select(slot.alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    words = np.zeros(MAP_BITS // 64, np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return words.tobytes()
+
+
+def _is_marked(marks: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    slot = _slot(doc.astype(np.int64), line.astype(np.int64))
+    return ((marks[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _distinct_words(block: tokens.Block, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (line, word) in the order of line, level (8 bits), hash: hashes, lines, texts."""
+    h = block.hash
+    if int(line[-1] if len(line) else 0) < 1 << 20:
+        key = (line.astype(np.uint64) << np.uint64(44)) | (level.astype(np.uint64) << np.uint64(36)) | (h >> np.uint64(28))
+        order = np.argsort(key)
+        key, h_ = key[order], h[order]
+        clash = (key[1:] == key[:-1]) & (h_[1:] != h_[:-1])
+    if int(line[-1] if len(line) else 0) >= 1 << 20 or clash.any():
+        order = np.lexsort((h, level, line))
+        h_ = h[order]
+    line_ = line[order]
+    new = np.ones(len(h_), bool)
+    new[1:] = (h_[1:] != h_[:-1]) | (line_[1:] != line_[:-1])
+    return h_[new], line_[new], block.doc[order][new]
+
+
 def _prefix(size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Words of a probing prefix: two sets of this similarity share one of them."""
+    """Words of a prefix: two sets of this similarity share one of them."""
     return size - (-(-size * num // den)) + 1
 
 
-def _lines(counts, num: int, den: int):
-    """One row per line of at least MIN_WORDS distinct words."""
+def _describe(counts, copies, num: int, den: int):
+    """One row per line of at least MIN_WORDS distinct words; ``again`` if it may be a copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = np.frombuffer(counts.value, np.int32)
+        n = np.frombuffer(counts.value, np.int32).astype(np.float32)
+        marks = np.frombuffer(copies.value, np.uint64)
+        # rarity in eighths of a doubling, so that it fits the sorting key
+        level = np.minimum(np.floor(8 * np.log2(n + 1)), 255).astype(np.uint8)
         for batch in batches:
             for i, j, block, line, base in _line_blocks(batch.column(1)):
-                h = block.hash
-                n = rarity[(h >> np.uint64(44)).astype(np.int64)]
-                # by line, then rarity, then hash: counts are cut to 24 bits for one key
-                key = (line.astype(np.uint64) << np.uint64(24)) | np.minimum(n, (1 << 24) - 1).astype(np.uint64)
-                order = np.lexsort((h, key))
-                h, line_ = h[order], line[order]
-                new = np.ones(len(h), bool)
-                if len(h):
-                    new[1:] = (h[1:] != h[:-1]) | (line_[1:] != line_[:-1])
-                h, line_ = h[new], line_[new]
-                edge = np.flatnonzero(np.r_[True, line_[1:] != line_[:-1]]) if len(h) else np.zeros(0, np.int64)
+                if not len(line):
+                    continue
+                h, line_, doc = _distinct_words(block, line, level[(block.hash >> np.uint64(44)).astype(np.int64)])
+                edge = _edges(line_)
                 size = np.diff(np.r_[edge, len(h)])
-                doc = block.doc[order][new][edge] if len(h) else np.zeros(0, np.int64)
-                number = line_[edge] - base[doc] - doc if len(h) else edge
-                if not len(edge):
+                some = np.flatnonzero(size >= MIN_WORDS)
+                if not len(some):
                     continue
-                print_ = tokens.mix(np.add.reduceat(tokens.mix(h), edge) + size.astype(np.uint64))
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), edge)
-                minima = [np.minimum.reduceat(tokens.mix(h * m), edge) for m in _MUL]
-                long_enough = size >= MIN_WORDS
-                some = np.flatnonzero(long_enough)
-                take = _prefix(size, num, den)[some]
-                prefix = [h[a : a + k] for a, k in zip(edge[some].tolist(), take.tolist())]
-                minima = np.stack(minima, axis=1)[some]
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), edge)[some]
+                low = [np.minimum.reduceat(h * m, edge)[some] for m in _MUL]
+                keys = np.stack([tokens.mix(low[2 * k] * np.uint64(KEYS) + low[2 * k + 1] + np.uint64(k)) for k in range(KEYS)], axis=1)
+                word = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                take = _prefix(size[some], num, den)
+                doc = doc[edge[some]]
+                ids = batch.column(0).slice(i, j - i).take(pa.array(doc))
+                number = line_[edge[some]] - base[doc]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, j - i).take(pa.array(doc[some])),
-                        pa.array(number[some], pa.int32()),
+                        ids,
+                        pa.array(number, pa.int32()),
                         pa.array(size[some], pa.int32()),
-                        pa.array(print_[some].view(np.int64)),
-                        pa.array(parity[some].view(np.int64)),
-                        tokens.list_column(list(minima), pa.int64()),
-                        tokens.list_column(prefix, pa.int64()),
+                        pa.array(parity.view(np.int64)),
+                        pa.array(_is_marked(marks, ids.to_numpy(), number)),
+                        tokens.list_column(list(keys), pa.int64()),
+                        tokens.list_column([word[a : a + k] for a, k in zip(edge[some].tolist(), take.tolist())], pa.int32()),
                     ],
-                    names=["doc_id", "line_no", "size", "print", "parity", "minima", "prefix"],
+                    names=["doc_id", "line_no", "size", "parity", "again", "keys", "prefix"],
                 )
 
     return run
 
 
-def _sets_of_marked(marks):
-    """Word sets of the lines of the marked documents."""
+def _flag(marks):
+    """The rows, and whether their line is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(marks.value, np.uint64)
         for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (words[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch.filter(pa.array(hit.astype(bool)))
+            maybe = _is_marked(words, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], names=[*batch.schema.names, "maybe"])
+
+    return run
+
+
+def _sets_of_marked(wanted):
+    """Word sets of the marked lines; texts without one are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(wanted.value, np.uint64)
+        for batch in batches:
             for i, j, block, line, base in _line_blocks(batch.column(1)):
                 if not len(line):
                     continue
-                order = np.lexsort((block.hash, line))
-                h, line_ = block.hash[order], line[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (line_[1:] != line_[:-1])]
-                h, line_, doc = h[new], line_[new], block.doc[order][new]
-                edge = np.flatnonzero(np.r_[True, line_[1:] != line_[:-1]])
-                size = np.diff(np.r_[edge, len(h)])
-                some = np.flatnonzero(size >= MIN_WORDS)
-                parts = [h[a : a + k] for a, k in zip(edge[some].tolist(), size[some].tolist())]
-                doc = doc[edge[some]]
+                edge = _edges(line)
+                doc = block.doc[edge]
+                ids = batch.column(0).slice(i, j - i).take(pa.array(doc))
+                number = line[edge] - base[doc]
+                some = np.flatnonzero(_is_marked(marks, ids.to_numpy(), number))
+                end = np.r_[edge, len(line)]
+                parts = [tokens.distinct_sorted(block.hash[end[k] : end[k + 1]]) for k in some.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i).take(pa.array(doc)),
-                        pa.array(line_[edge[some]] - base[doc] - doc, pa.int32()),
-                        tokens.list_column(parts, pa.int64()),
-                    ],
+                    [ids.take(pa.array(some)), pa.array(number[some], pa.int32()), tokens.list_column(parts, pa.int64())],
                     names=["doc_id", "line_no", "words"],
                 )
 
     return run
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """``(p, q)`` pairs of fingerprints whose full word sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("p", "q")).alias("print")).distinct()
-    where = settled(lines.join(wanted, "print", "left_semi").select("print", "doc_id", "line_no"), "wanted-lines")
-    marks = rows.sparkSession.sparkContext.broadcast(_marked(where.select("doc_id"), MAP_BITS))
-    slot = F.expr(f"pmod(xxhash64(doc_id), {MAP_BITS}L)").alias("slot")
+def _similar(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``(later, earlier)`` pairs of lines whose full word sets reach the similarity."""
+    ends = pairs.select(F.explode(F.array("later", "earlier")).alias("x")).select("x.*").distinct()
+    ends = settled(ends, "wanted-lines")
+    wanted = rows.sparkSession.sparkContext.broadcast(_marks_of(ends))
     sets = (
-        rows.select("doc_id", "text", slot)
-        .mapInArrow(_sets_of_marked(marks), "doc_id long, line_no int, words array<long>")
-        .join(where, ["doc_id", "line_no"])
-        .select("print", "words")
+        rows.mapInArrow(_sets_of_marked(wanted), "doc_id long, line_no int, words array<long>")
+        .join(ends, ["doc_id", "line_no"], "left_semi")
+        .select(F.struct("doc_id", "line_no").alias("place"), "words")
     )
     sets = settled(sets, "line-sets")
     common = F.size(F.array_intersect("a", "b"))
     return (
-        pairs.join(sets.select(F.col("print").alias("p"), F.col("words").alias("a")), "p")
-        .join(sets.select(F.col("print").alias("q"), F.col("words").alias("b")), "q")
+        pairs.join(sets.select(F.col("place").alias("later"), F.col("words").alias("a")), "later")
+        .join(sets.select(F.col("place").alias("earlier"), F.col("words").alias("b")), "earlier")
         .where(common * (num + den) >= (F.size("a") + F.size("b")) * num)
-        .select("p", "q")
+        .select("later", "earlier")
     )
 
 
@@ -169,14 +251,16 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
     hundredths). Earlier means a smaller doc_id, then a smaller line number; the earlier
     line counts even if it is itself a repeat, so the result depends on no order of work.
 
-    1. Every word of every text is counted (hashed counters of fixed size): rarity.
-    2. A line becomes one row: size, fingerprint of its set, its rarest words (prefix).
-       Lines of one set meet by fingerprint; only the first goes on.
-    3. Lines that share a minimum of a universal hash are compared with the first of them,
-       which settles most copies with a number of pairs that is linear in the lines.
+    1. Every word of every text is counted (hashed counters of fixed size): rarity. Lines of
+       the same words in the same order meet by fingerprint; only the first goes on.
+    2. A line becomes one row: size, parity map of its set, its rarest words (prefix). A bit
+       map of fixed size tells lines that are no copy for certain; the others are looked
+       up in a join.
+    3. Lines that share a key of two minima are compared with the first of them,
+       which settles most near copies with pairs that are linear in the lines.
     4. Lines not settled yet are joined with all lines on a shared prefix word, under
-       the length and positional filters and the parity map of the set (which rules
-       out pairs for certain), and confirmed on the full word sets.
+       the length and positional filters and the parity map (which rules out pairs for
+       certain), and confirmed on the full word sets.
 
     Null and empty texts have no lines to judge. Rows with a null id are left alone.
     Rows of a repeated id count as one document: their equal line numbers go together.
@@ -187,66 +271,68 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
         "doc_id IS NOT NULL"
     )
-    counts = spark.sparkContext.broadcast(word_counts(rows))
-    schema = "doc_id long, line_no int, size int, print long, parity long, minima array<long>, prefix array<long>"
-    every = settled(rows.mapInArrow(_lines(counts, num, den), schema), "lines")
+    found = settled(rows.mapInArrow(_read, _FOUND), "lines")
+    counts = spark.sparkContext.broadcast(word_counts(found))
     place = F.struct("doc_id", "line_no").alias("place")
-    firsts = every.groupBy("print").agg(
-        F.min(place).alias("place"), F.count("*").alias("n"),
-        F.first("size").alias("size"), F.first("parity").alias("parity"),
-    )
-    lines = settled(firsts.select("print", "place.*", "n", "size", "parity"), "distinct-lines")
-    first = every.join(lines.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
-
-    # step 3: the first line of each minimum
-    drawn = first.select("print", "doc_id", "line_no", "size", "parity", F.posexplode("minima").alias("k", "low"))
-    key = F.xxhash64("k", "low").alias("key")
-    drawn = drawn.select(key, "print", place, "size", "parity")
-    heads = (
-        drawn.groupBy("key")
-        .agg(F.min(F.struct("place", "print", "size", "parity")).alias("head"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
+    read = found.where("slice IS NULL").select("doc_id", "line_no", "print")
+    several = read.groupBy("print").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select("print", "place")
+    copies = settled(
+        read.join(several, "print").where(F.struct("doc_id", "line_no") > F.col("place")).select("doc_id", "line_no", F.col("place").alias("of")),
+        "copies",
     )
-    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    may = lambda s, t, x, y: (F.least(s, t) * den >= F.greatest(s, t) * num) & (
-        apart(x, y) * (den + num) <= (F.col(s) + F.col(t)) * (den - num)
+    marks = spark.sparkContext.broadcast(_marks_of(copies))
+    every = settled(rows.mapInArrow(_describe(counts, marks, num, den), _LINE), "described-lines")
+    gone = copies.select("doc_id", "line_no")
+    unsure = every.where("again").join(gone, ["doc_id", "line_no"], "left_anti")
+    first = every.where("NOT again").union(unsure.select(every.columns))
+
+    # step 3: the first line of each key
+    may = lambda s, t, a, b: (F.least(s, t) * den >= F.greatest(s, t) * num) & (
+        F.bit_count(F.col(a).bitwiseXOR(F.col(b))) * (den + num) <= (F.col(s) + F.col(t)) * (den - num)
     )
+    drawn = first.select(F.struct("doc_id", "line_no", "size", "parity").alias("x"), F.explode("keys").alias("key"))
+    heads = drawn.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
     quick = (
         drawn.join(heads, "key")
-        .where(F.col("print") != F.col("head.print"))
-        .where(may("size", "head.size", "parity", "head.parity"))
-        .select(F.col("print").alias("p"), F.col("head.print").alias("q"))
+        .where((F.col("x") != F.col("y")) & may("x.size", "y.size", "x.parity", "y.parity"))
+        .select(F.struct("x.doc_id", "x.line_no").alias("later"), F.struct("y.doc_id", "y.line_no").alias("earlier"))
         .distinct()
     )
-    settled_lines = settled(_similar(settled(quick, "quick-pairs"), lines, rows, num, den).select("p").distinct(), "settled")
-
-    # step 4: all lines by their prefix words; the shorter set of a pair has the shorter prefix
-    member = first.select("print", "doc_id", "line_no", "size", "parity", F.posexplode("prefix").alias("at", "word"))
-    probe = member.join(settled_lines.withColumnRenamed("p", "print"), "print", "left_anti")
-    x, y = probe.alias("x"), member.alias("y")
+    done = settled(_similar(settled(quick, "quick-pairs"), rows, num, den).select("later.*").distinct(), "settled-lines")
+
+    # step 4: all lines by their prefix words, as one table that both sides of the join read
+    marks = spark.sparkContext.broadcast(_marks_of(done))
+    columns = ["doc_id", "line_no", "size", "parity", "prefix"]
+    flagged = first.select(columns).mapInArrow(_flag(marks), "doc_id long, line_no int, size int, parity long, prefix array<int>, maybe boolean")
+    looked_up = flagged.where("maybe").join(done.withColumn("done", F.lit(True)), ["doc_id", "line_no"], "left")
+    marked = flagged.where("NOT maybe").select(*columns, F.lit(False).alias("done")).union(
+        looked_up.select(*columns, F.coalesce("done", F.lit(False)))
+    )
+    member = marked.select("doc_id", "line_no", "size", "parity", "done", F.posexplode("prefix").alias("at", "word"))
+    x, y = member.alias("x"), member.alias("y")
     overlap = F.ceil((F.col("x.size") + F.col("y.size")) * num / (num + den))
-    bound = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | (
+        (F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no"))
+    )
+    # the condition on x alone names y too, or it would be pushed below the shared exchange
+    open_ = ~F.col("x.done") | (F.col("y.size") < 0)
     pairs = (
         x.join(
             y,
             (F.col("x.word") == F.col("y.word"))
-            & ((F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no"))))
+            & open_
+            & earlier
             & may("x.size", "y.size", "x.parity", "y.parity")
-            & (bound >= overlap),
+            & (left >= overlap),
         )
-        .select(F.col("x.print").alias("p"), F.col("y.print").alias("q"))
+        .select(F.struct("x.doc_id", "x.line_no").alias("later"), F.struct("y.doc_id", "y.line_no").alias("earlier"))
         .distinct()
     )
-    later = _similar(settled(pairs, "line-pairs"), lines, rows, num, den).select("p")
-    gone = settled_lines.union(later).distinct().withColumnRenamed("p", "print")
-    copies = (
-        every.select("print", "doc_id", "line_no")
-        .join(lines.where("n > 1").select("print", F.struct("doc_id", "line_no").alias("place")), "print")
-        .where(F.struct("doc_id", "line_no") > F.col("place"))
-        .select("doc_id", "line_no")
-    )
-    return copies.union(lines.join(gone, "print", "left_semi").select("doc_id", "line_no")).distinct()
+    later = settled(_similar(settled(pairs, "line-pairs"), rows, num, den).select("later.*"), "later-lines")
+    # a copy goes if its line has enough distinct words, which its first has too
+    judged = every.select("doc_id", "line_no")
+    return copies.join(judged, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no").union(done).union(later).distinct()
 
 
 def line_report(docs: DataFrame, share: float = 0.8) -> DataFrame:
