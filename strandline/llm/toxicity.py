@@ -23,6 +23,8 @@ PREFIXES = (4, 5, 6, 7)
 #: Weight of the Dirichlet prior, in documents; least z of an entry; what a word without
 #: an entry costs a passage.
 PRIOR, LEAST_Z, DROP = 1.0, 3.5, 0.3
+#: A prior share stays this far from 0 and 1, so that no word is certain before it is seen.
+LEAST_SHARE = 1e-3
 #: Passages are significant if chance gives at most this many as good in a clean text.
 SIGNIFICANT = 0.05
 
@@ -63,10 +65,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _log_odds(toxic: Column, clean: Column, prior: Column | float, base: float) -> tuple[Column, Column, Column]:
+def _log_odds(toxic: Column, clean: Column, prior: Column, base: float) -> tuple[Column, Column, Column]:
     """Smoothed toxic share, its log-odds against the base share, and its standard error."""
-    share = (toxic + PRIOR * prior) / (toxic + clean + PRIOR)
-    odds = F.log(share / (1 - share)) - float(np.log(base / (1 - base)))
+    toxic_part, clean_part = toxic + PRIOR * prior, clean + PRIOR * (1 - prior)
+    share = F.least(F.greatest(toxic_part / (toxic_part + clean_part), F.lit(LEAST_SHARE)), F.lit(1 - LEAST_SHARE))
+    odds = F.log(toxic_part) - F.log(clean_part) - float(np.log(base / (1 - base)))
     error = F.sqrt(1 / (toxic + PRIOR) + 1 / (clean + PRIOR))
     return share, odds, error
 
@@ -109,10 +112,10 @@ def lexicon(counts: DataFrame) -> dict[str, float]:
 
 def _with_prior(level: DataFrame, above: DataFrame | None, most: int, base: float) -> DataFrame:
     if above is None:
-        return level.withColumn("prior", F.lit(base))
+        return level.withColumn("prior", F.lit(min(max(base, LEAST_SHARE), 1 - LEAST_SHARE)))
     parent = F.substring("part", 1, F.least(F.length("part") - 1, F.lit(most)))
     parents = above.select(F.col("part").alias("parent"), F.col("share").alias("prior"))
-    return level.withColumn("parent", parent).join(parents, "parent", "left").withColumn("prior", F.coalesce("prior", F.lit(base))).drop("parent")
+    return level.withColumn("parent", parent).join(parents, "parent", "left").withColumn("prior", F.coalesce("prior", F.lit(min(max(base, LEAST_SHARE), 1 - LEAST_SHARE)))).drop("parent")
 
 
 class _Scores(dict):
