@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Consumer groups that are never carried over.
@@ -48,9 +48,11 @@ def bounded_label(c: Column, known: Sequence[str]) -> Column:
 
 
 def _usable(pattern: str) -> bool:
+    """Whether the engine that will run the pattern accepts it, found out by running it once."""
+    spark = SparkSession.active()
     try:
-        re.compile(pattern)
-    except re.error:
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+    except PySparkException:
         return False
     return True
 

@@ -170,11 +170,11 @@ def compression_ratio(t):
     return agg.compression_ratio(t.members)
 
 
-_ASSIGNED = "g AS (SELECT DISTINCT event_type AS topic, CAST(user_id AS INT) AS part, 'a' || (event_id % 2) AS agent FROM events WHERE value > 150)"
+_ASSIGNED = "g AS (SELECT DISTINCT event_type AS topic, CAST(user_id AS INT) AS part, 'a' || (event_id % 2) AS agent FROM events)"
 
 
 def _assigned(t):
-    return t.events.filter(F.col("value") > 150).select(
+    return t.events.select(
         F.col("event_type").alias("topic"), F.col("user_id").cast("int").alias("part"),
         F.concat(F.lit("a"), F.col("event_id") % 2).alias("agent"),
     )

@@ -160,10 +160,11 @@ def match_names(t):
 
 @query(
     "F14_match_table",
-    """SELECT table_name, table_type FROM source_tables WHERE regexp_full_match(lower(table_name), 't1*0|t1.*0')""",
+    """SELECT table_name, table_type FROM source_tables WHERE regexp_full_match(lower(table_name), 't1*0|t1.*0|[a-z]+1.*2')""",
 )
 def match_table(t):
-    return t.source_tables.filter(names.match_table(F.col("table_name"), "T1*0")).select("table_name", "table_type")
+    known = names.match_table(F.col("table_name"), "T1*0") | names.match_table(F.col("table_name"), r"\p{Alpha}+1.*2")
+    return t.source_tables.filter(known).select("table_name", "table_type")
 
 
 _EXCLUDED = "group_id IS NULL OR trim(group_id) = '' OR regexp_full_match(trim(group_id), '(connect-.*|schema-registry-.*|console-consumer-.*|kafka-exporter-.*|__.*)')"

@@ -93,13 +93,18 @@ def file_type(t):
     return files.with_file_type(t.paths.select("doc_id", "path"))
 
 
-@query("S07_scan_manifest", "SELECT DISTINCT source AS folder, true AS has_files FROM documents")
+@query(
+    "S07_scan_manifest",
+    """SELECT DISTINCT 'source=' || source || '/part' AS file, true AS has_rows FROM documents
+       UNION ALL SELECT * FROM (VALUES ('_SUCCESS', false), ('_delta_log/_SUCCESS', false), ('_delta_log/part', true)) AS v (file, has_rows)""",
+)
 def scan_manifest(t):
     root = scratch_path(t.spark, "manifest")
     t.documents.select("source", "doc_id").write.partitionBy("source").parquet(root)
+    t.documents.select(F.max("doc_id").alias("version")).write.json(f"{root}/_delta_log")
     manifest = files.scan_manifest(t.spark, root)
-    return manifest.groupBy(F.regexp_extract("rel_path", "^source=([^/]+)/", 1).alias("folder")).agg(
-        ((F.sum("size") > 0) & (F.min("mtime_s") > 0)).alias("has_files")
+    return manifest.groupBy(F.regexp_replace("rel_path", "part-[^/]*$", "part").alias("file")).agg(
+        ((F.sum("size") > 0) & (F.min("mtime_s") > 0)).alias("has_rows")
     )
 
 
@@ -201,18 +206,25 @@ def overwrite_partitions(t):
 def upsert_by_key(t):
     keys = ["db", "table_name", "part_name"]
     updates = t.partitions_src.filter(F.col("location").endswith("1")).select(*keys, F.lit("new").alias("state"))
-    return sinks.upsert_partitions(t.partitions_tgt.withColumn("state", F.lit("old")), updates, keys)
+    stale = updates.withColumn("state", F.lit("stale"))
+    return sinks.upsert_partitions(
+        t.partitions_tgt.withColumn("state", F.lit("old")), updates.unionByName(stale), keys, [F.asc("state")]
+    )
 
 
 @query("K07_compact_small_files", "SELECT doc_id, n_chars, source FROM documents")
 def compact_small_files(t):
     root, out = scratch_path(t.spark, "small"), scratch_path(t.spark, "compacted")
-    t.documents.select("doc_id", "n_chars", "source").repartition(16).write.parquet(root)
-    listing = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root).select(
+    rows = t.documents.select("doc_id", "n_chars", "source")
+    rows.filter("doc_id % 5 <> 0").coalesce(1).write.parquet(f"{root}/large part%1")
+    rows.filter("doc_id % 5 = 0").repartition(16).write.parquet(f"{root}/small +1")
+    reader = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    listing = reader.load(root).select(
         "path", F.col("length").alias("size"), F.lit("all").alias("folder"),
         F.regexp_extract("path", "part-([0-9]+)", 1).cast("long").alias("no"),
     )
-    plan = plan_bundles(listing, ["folder"], "no", 1 << 30, 64 << 20, 5)
+    largest = listing.agg(F.max("size")).first()[0]
+    plan = plan_bundles(listing, ["folder"], "no", largest, 64 << 20, 5)
     sinks.compact_small_files(t.spark, root, plan, out)
     return t.spark.read.parquet(out).select("doc_id", "n_chars", "source")
 

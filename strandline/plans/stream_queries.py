@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import aggregates
+from strandline.operators.ordered import first_per_key
 from strandline.plans.filter_queries import with_headers
 from strandline.plans.fixtures import NOW_S
 from strandline.plans.join_queries import last_positions
@@ -89,7 +90,9 @@ def journal_to_plan(t):
 )
 def apply_plan(t):
     plan = journal.journal_to_plan(t.stream("fs_journal"), t.stream_jobs).select("job_id", "file", "txid", "action")
-    return per_batch(plan, "tasks", journal.last_state).drop("epoch")
+    # a job's file may come again in a later micro-batch: the last action over all of them counts
+    every = per_batch(plan, "tasks", journal.last_state).drop("epoch")
+    return first_per_key(every, ["job_id", "file"], [F.desc("txid")])
 
 
 @query("T06_positions", f"WITH {_plan_sql()} SELECT job_id, max(txid) AS txid FROM p GROUP BY job_id")

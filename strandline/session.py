@@ -52,8 +52,9 @@ def block_of(col: Column, width: int | None = None) -> Column:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (tests on one
-    machine) a temporary folder is made and set as the checkpoint folder.
+    Where neither that setting nor a checkpoint folder exists, a temporary folder is made
+    and set as the checkpoint folder on one machine; on a cluster, whose executors
+    could not see it, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
@@ -61,6 +62,9 @@ def scratch_root(spark: SparkSession) -> str:
     if root is None:
         root = spark.sparkContext.getCheckpointDir()
     if root is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandline-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

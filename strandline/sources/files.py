@@ -85,24 +85,11 @@ def with_file_type(df: DataFrame, column: str = "path") -> DataFrame:
 def scan_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Relative path, full path, size and time of every file below a root that is not ignored.
 
-    The file index of Spark itself leaves out names that start with ``_`` or ``.``;
-    ``list_tree`` sees those as well.
+    Markers and table logs (``_SUCCESS``, ``_delta_log``) are part of it: a copy without
+    them is no table.  Spark's own file index would leave out every name that starts
+    with ``_`` or ``.`` and hold the list on the driver.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select("path", "length", "modificationTime")
-    )
-    return _as_manifest(files, root)
-
-
-def _as_manifest(files: DataFrame, root: str) -> DataFrame:
-    full = paths.path_of(F.regexp_replace("path", "^file:/+", "/"))
-    base = paths.path_of(F.lit(root.removeprefix("file:")))
-    rel = F.regexp_replace(F.substring(full, F.length(base) + 1, F.length(full)), "^/", "")
-    return files.select(
-        rel.alias("rel_path"), F.col("path").alias("full_path"), F.col("length").alias("size"),
-        F.unix_seconds("modificationTime").alias("mtime_s"),
-    ).filter(~paths.is_ignored_path(F.col("rel_path")))
+    return list_tree(spark, root)
 
 
 _LISTING = "path string, is_dir boolean, length long, mtime_s long"
@@ -114,19 +101,21 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["path"]:
             system, where = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-            found = system.get_file_info(fs.FileSelector(where))
-            yield pd.DataFrame(
-                {
-                    "path": [i.path for i in found],
-                    "is_dir": [i.type == fs.FileType.Directory for i in found],
-                    "length": [int(i.size or 0) for i in found],
-                    "mtime_s": [int(i.mtime.timestamp()) if i.mtime else 0 for i in found],
-                }
-            )
+            listed = system.get_file_info(fs.FileSelector(where))
+            for at in range(0, len(listed), 10_000):
+                found = listed[at : at + 10_000]
+                yield pd.DataFrame(
+                    {
+                        "path": [i.path for i in found],
+                        "is_dir": [i.type == fs.FileType.Directory for i in found],
+                        "length": [int(i.size or 0) for i in found],
+                        "mtime_s": [int(i.mtime.timestamp()) if i.mtime else 0 for i in found],
+                    }
+                )
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Like ``scan_manifest``, but with marker and table-log files.
+    """Files below a root, level by level, with marker and table-log files.
 
     One Spark job per level of the tree lists all folders of that level in
     parallel; ignored folders are not entered.  Each level is checkpointed, so
@@ -145,7 +134,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     files = levels[0]
     for level in levels[1:]:
         files = files.unionByName(level)
-    base = paths.path_of(F.lit(root))
+    base = paths.path_of(F.lit(root.removeprefix("file://").removeprefix("file:")))
     rel = F.regexp_replace(F.substring("path", F.length(base) + 1, F.length("path")), "^/", "")
     return files.select(
         rel.alias("rel_path"), F.col("path").alias("full_path"), F.col("length").alias("size"), "mtime_s"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators.ordered import first_per_key
 from strandline.streaming.tables import upsert_by_key
 
 # First characters a spreadsheet would read as a formula.
@@ -53,24 +54,38 @@ def overwrite_table_atomically(df: DataFrame, path: str, partition_by: Sequence[
     writer.parquet(path)
 
 
-def upsert_partitions(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add partitions that are new, replace those that are there; repeating it changes nothing."""
-    newest = updates.dropDuplicates(list(keys))
-    return upsert_by_key(target, newest, keys)
+def upsert_partitions(target: DataFrame, updates: DataFrame, keys: Sequence[str], newest: Sequence[Column]) -> DataFrame:
+    """Add partitions that are new, replace those that are there; repeating it changes nothing.
 
+    Of several updates of a key the first in the order ``newest`` counts. NULL is a key like others.
+    """
+    return upsert_by_key(target, first_per_key(updates, keys, newest), keys)
 
-def compact_small_files(spark: SparkSession, root: str, plan: DataFrame, out: str, key: str = "folder") -> None:
-    """Rewrite the files of every bundle as one file.
 
-    ``plan`` has (path, folder, bundle_no).  One job reads all planned files, sends
-    the rows of a bundle to one task and writes them there; a bundle is bounded by
-    the plan, so no task gets more than that.
+def compact_small_files(spark: SparkSession, root: str, plan: DataFrame, out: str, key: str = "folder") -> None:
+    """Rewrite the files of every bundle as one file, and carry all other files along.
+
+    ``plan`` has (path, folder, bundle_no).  The rows of a bundle go to one task and
+    are written there; a bundle is bounded by the plan, so no task gets more than
+    that.  Files without a bundle, too large for one or not in the plan, are written as
+    they are read, without a shuffle, under ``bundle_no`` -1 (no folder: empty).
+    Spark percent-encodes the path of a row's file and a listing does not, so rows are
+    matched on the decoded path without scheme.
     """
-    rows = spark.read.option("recursiveFileLookup", True).parquet(root).withColumn("__path", F.col("_metadata.file_path"))
-    bundled = plan.filter(F.col("bundle_no").isNotNull())
-    placed = rows.join(bundled.select(F.col("path").alias("__path"), F.col(key).alias("__folder"), "bundle_no"), "__path")
-    placed.drop("__path").repartition("__folder", "bundle_no").write.mode("overwrite").partitionBy(
-        "__folder", "bundle_no"
-    ).parquet(out)
+    encoded = F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")
+    rows = spark.read.option("recursiveFileLookup", True).parquet(root).withColumn("__path", _bare(F.url_decode(encoded)))
+    placed = rows.join(
+        plan.select(_bare(F.col("path")).alias("__path"), F.col(key).alias("__folder"), "bundle_no"), "__path", "left"
+    ).drop("__path")
+    bundled = placed.filter(F.col("bundle_no").isNotNull())
+    bundled.repartition("__folder", "bundle_no").write.mode("overwrite").partitionBy("__folder", "bundle_no").parquet(out)
+    alone = placed.filter(F.col("bundle_no").isNull())
+    alone = alone.withColumn("bundle_no", F.lit(-1).cast(placed.schema["bundle_no"].dataType))
+    alone.write.mode("append").partitionBy("__folder", "bundle_no").parquet(out)
+
+
+def _bare(path: Column) -> Column:
+    """A local path in one form, whether or not it comes with the scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 

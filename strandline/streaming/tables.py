@@ -13,8 +13,13 @@ from strandline.session import scratch_path
 
 
 def upsert_by_key(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Target rows with the updated keys replaced and the new ones added; safe to repeat."""
-    return updates.select(*target.columns).unionByName(target.join(updates.select(*keys), list(keys), "left_anti"))
+    """Target rows with the updated keys replaced and the new ones added; safe to repeat.
+
+    NULL keys match each other.
+    """
+    old, new = target.alias("old"), updates.select(*keys).alias("new")
+    same = [F.col(f"old.`{k}`").eqNullSafe(F.col(f"new.`{k}`")) for k in keys]
+    return updates.select(*target.columns).unionByName(old.join(new, same, "left_anti"))
 
 
 class StateTable:

@@ -64,14 +64,6 @@ def test_orders_are_summed_before_the_join(tables):
     assert plan.index("Join") < plan.index("partial_sum(o_totalprice")
 
 
-def test_manifest_counts_do_not_read_content(spark, tmp_path, tables):
-    from strandline.sources.files import scan_manifest
-
-    tables.part.write.parquet(str(tmp_path / "t"))
-    plan = plan_of(scan_manifest(spark, str(tmp_path / "t")))
-    assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
-
-
 def test_overlaps_do_not_join_a_topic_with_itself(tables):
     jobs = tables.topic_jobs.withColumn("topics", F.split("topics", ","))
     plan = plan_of(joins.find_overlaps(jobs))

@@ -47,7 +47,7 @@ def test_tree_keeps_markers_and_skips_staging(spark, tmp_path, rows):
     for name in ("t/_SUCCESS", "t/dt=1/p.parquet", "t/_delta_log/0.json", "t/_temporary/0/x", "t/.hid", "t/f.tmp", "t/.staging/y"):
         write(f"{tmp_path}/{name}", "x")
     assert rows(files.list_tree(spark, str(tmp_path)), "rel_path") == [("t/_SUCCESS",), ("t/_delta_log/0.json",), ("t/dt=1/p.parquet",)]
-    assert rows(files.scan_manifest(spark, str(tmp_path)), "rel_path") == [("t/dt=1/p.parquet",)]
+    assert rows(files.scan_manifest(spark, str(tmp_path)), "rel_path") == [("t/_SUCCESS",), ("t/_delta_log/0.json",), ("t/dt=1/p.parquet",)]
 
 
 def test_checksums(spark, tmp_path, rows):
@@ -103,6 +103,26 @@ def test_compaction_writes_one_file_per_bundle(spark, tmp_path, rows):
     assert len(found) == 2
 
 
+def test_compaction_loses_no_row(spark, tmp_path):
+    root = f"{tmp_path}/in"
+    for k, name in enumerate(["a b", "c%20d", "e+f", "big"]):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.parquet(f"{root}/{name}")
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(root)
+    bundle = F.when(~F.col("path").contains("/big/"), F.lit(0).cast("long"))
+    plan = listing.select("path", F.lit("f").alias("folder"), bundle.alias("bundle_no"))
+    sinks.compact_small_files(spark, root, plan, f"{tmp_path}/out")
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r[0] for r in found.select("id").collect()) == list(range(40))
+    assert found.filter("bundle_no = 0").count() == 30
+
+
+def test_upsert_takes_the_newest_and_null_keys(spark, rows):
+    target = spark.createDataFrame([(None, "old"), ("a", "old"), ("b", "old")], "k string, v string")
+    updates = spark.createDataFrame([(None, "1", 1), ("a", "1", 1), ("a", "2", 2)], "k string, v string, n int")
+    got = sinks.upsert_partitions(target, updates, ["k"], [F.desc("n")])
+    assert rows(got.select("k", "v")) == sorted([("a", "2"), ("b", "old"), (None, "1")], key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
 def test_step_graph(spark, rows):
     base = step("base", lambda: spark.range(4))
     even = step("even", lambda base: base.filter("id % 2 = 0"))
