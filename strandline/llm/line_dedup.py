@@ -25,7 +25,7 @@ KEYS = 3
 
 _MUL = tokens.mix(np.arange(77, 77 + 2 * KEYS, dtype=np.uint64)) | np.uint64(1)
 _FOUND = "doc_id long, line_no int, print long, slice int, counts binary"
-_LINE = "doc_id long, line_no int, size int, parity long, again boolean, keys array<long>, prefix array<int>"
+_LINE = "doc_id long, line_no int, size int, parity long, parity2 long, again boolean, keys array<long>, prefix array<int>"
 
 
 def _line_blocks(values: pa.Array):
@@ -162,7 +162,9 @@ def _describe(counts, copies, num: int, den: int):
                 some = np.flatnonzero(size >= MIN_WORDS)
                 if not len(some):
                     continue
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), edge)[some]
+                half = (h >> np.uint64(6)) & np.uint64(1)
+                bit = np.uint64(1) << (h & np.uint64(63))
+                parity, parity2 = (np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), edge)[some] for k in (0, 1))
                 low = [np.minimum.reduceat(h * m, edge)[some] for m in _MUL]
                 keys = np.stack([tokens.mix(low[2 * k] * np.uint64(KEYS) + low[2 * k + 1] + np.uint64(k)) for k in range(KEYS)], axis=1)
                 word = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -176,11 +178,12 @@ def _describe(counts, copies, num: int, den: int):
                         pa.array(number, pa.int32()),
                         pa.array(size[some], pa.int32()),
                         pa.array(parity.view(np.int64)),
+                        pa.array(parity2.view(np.int64)),
                         pa.array(_is_marked(marks, ids.to_numpy(), number)),
                         tokens.list_column(list(keys), pa.int64()),
                         tokens.list_column([word[a : a + k] for a, k in zip(edge[some].tolist(), take.tolist())], pa.int32()),
                     ],
-                    names=["doc_id", "line_no", "size", "parity", "again", "keys", "prefix"],
+                    names=["doc_id", "line_no", "size", "parity", "parity2", "again", "keys", "prefix"],
                 )
 
     return run
@@ -253,7 +256,7 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
 
     1. Every word of every text is counted (hashed counters of fixed size): rarity. Lines of
        the same words in the same order meet by fingerprint; only the first goes on.
-    2. A line becomes one row: size, parity map of its set, its rarest words (prefix). A bit
+    2. A line becomes one row: size, parity map of its set (128 bits), its rarest words (prefix). A bit
        map of fixed size tells lines that are no copy for certain; the others are looked
        up in a join.
     3. Lines that share a key of two minima are compared with the first of them,
@@ -287,14 +290,14 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
     first = every.where("NOT again").union(unsure.select(every.columns))
 
     # step 3: the first line of each key
-    may = lambda s, t, a, b: (F.least(s, t) * den >= F.greatest(s, t) * num) & (
-        F.bit_count(F.col(a).bitwiseXOR(F.col(b))) * (den + num) <= (F.col(s) + F.col(t)) * (den - num)
-    )
-    drawn = first.select(F.struct("doc_id", "line_no", "size", "parity").alias("x"), F.explode("keys").alias("key"))
+    apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in ("parity", "parity2")), F.lit(0))
+    total = F.col("x.size") + F.col("y.size")
+    may = (F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num) & (apart * (den + num) <= total * (den - num))
+    drawn = first.select(F.struct("doc_id", "line_no", "size", "parity", "parity2").alias("x"), F.explode("keys").alias("key"))
     heads = drawn.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
     quick = (
         drawn.join(heads, "key")
-        .where((F.col("x") != F.col("y")) & may("x.size", "y.size", "x.parity", "y.parity"))
+        .where((F.col("x") != F.col("y")) & may)
         .select(F.struct("x.doc_id", "x.line_no").alias("later"), F.struct("y.doc_id", "y.line_no").alias("earlier"))
         .distinct()
     )
@@ -302,13 +305,15 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
 
     # step 4: all lines by their prefix words, as one table that both sides of the join read
     marks = spark.sparkContext.broadcast(_marks_of(done))
-    columns = ["doc_id", "line_no", "size", "parity", "prefix"]
-    flagged = first.select(columns).mapInArrow(_flag(marks), "doc_id long, line_no int, size int, parity long, prefix array<int>, maybe boolean")
+    columns = ["doc_id", "line_no", "size", "parity", "parity2", "prefix"]
+    flagged = first.select(columns).mapInArrow(
+        _flag(marks), "doc_id long, line_no int, size int, parity long, parity2 long, prefix array<int>, maybe boolean"
+    )
     looked_up = flagged.where("maybe").join(done.withColumn("done", F.lit(True)), ["doc_id", "line_no"], "left")
     marked = flagged.where("NOT maybe").select(*columns, F.lit(False).alias("done")).union(
         looked_up.select(*columns, F.coalesce("done", F.lit(False)))
     )
-    member = marked.select("doc_id", "line_no", "size", "parity", "done", F.posexplode("prefix").alias("at", "word"))
+    member = marked.select("doc_id", "line_no", "size", "parity", "parity2", "done", F.posexplode("prefix").alias("at", "word"))
     x, y = member.alias("x"), member.alias("y")
     overlap = F.ceil((F.col("x.size") + F.col("y.size")) * num / (num + den))
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
@@ -323,7 +328,7 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
             (F.col("x.word") == F.col("y.word"))
             & open_
             & earlier
-            & may("x.size", "y.size", "x.parity", "y.parity")
+            & may
             & (left >= overlap),
         )
         .select(F.struct("x.doc_id", "x.line_no").alias("later"), F.struct("y.doc_id", "y.line_no").alias("earlier"))
