@@ -3,7 +3,7 @@
 Manifest and schema comparison, change-log application, record filtering and
 re-encoding, offset translation, and the progress, histogram, ranking and alert
 queries that run over them.  Every operator takes DataFrames and gives a
-DataFrame; nothing is collected on the driver.
+DataFrame; only bounded summaries reach the driver.
 """
 
 import sys
