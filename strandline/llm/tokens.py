@@ -108,27 +108,29 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return mix(acc + np.uint64(width))
 
 
-def text_column(values: pa.Array) -> tuple[bytes, np.ndarray]:
-    """The UTF-8 bytes of a string array without copies per text; null counts as empty."""
+def text_column(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """A view of the UTF-8 bytes of a string array, and where its texts start; null counts as empty."""
     values = values.cast(pa.large_string()) if not pa.types.is_large_string(values.type) else values
     if values.null_count:
         values = values.fill_null("")
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
     data = values.buffers()[2]
-    data = b"" if data is None else memoryview(data)[int(offsets[0]) : int(offsets[-1])].tobytes()
-    return data, offsets - offsets[0]
+    return memoryview(b"" if data is None else data), offsets
 
 
 def blocks(values: pa.Array, outside: np.ndarray, lower: bool = True, target: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
-    """(first text, past last text, words) for runs of whole texts of about ``target`` bytes."""
+    """(first text, past last text, words) for runs of whole texts of about ``target`` bytes.
+
+    Only the bytes of one run are copied at a time, not those of the whole array.
+    """
     data, offset = text_column(values)
-    if lower:
-        data = data.translate(_LOWER)
     i, n = 0, len(values)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offset, offset[i] + target, "right")) - 1)
         j = min(j, n)
-        part = data[offset[i] : offset[j]] if (i, j) != (0, n) else data
+        part = data[int(offset[i]) : int(offset[j])].tobytes()
+        if lower:
+            part = part.translate(_LOWER)
         yield i, j, cut_words(part, offset[i : j + 1] - offset[i], outside)
         i = j
 
