@@ -103,12 +103,10 @@ def _slot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (np.mod(doc, 16777213) * 7919 + line) % MAP_BITS
 
 
-def _marks_of(lines: DataFrame) -> bytes:
-    """A bit map of fixed size of hashed lines (``doc_id, line_no``), by partial bit_or."""
-    slot = F.pmod(F.pmod("doc_id", F.lit(16777213).cast("long")) * 7919 + F.col("line_no"), F.lit(MAP_BITS).cast("long"))
+def _bit_map(slots: DataFrame) -> bytes:
+    """A bit map of fixed size of the column ``slot``, by partial bit_or."""
     rows = (
-        lines.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
+        slots.groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
         .toArrow()
     )
@@ -117,11 +115,20 @@ def _marks_of(lines: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def _is_marked(marks: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    slot = _slot(doc.astype(np.int64), line.astype(np.int64))
+def _marks_of(lines: DataFrame) -> bytes:
+    """The bit map of hashed lines (``doc_id, line_no``)."""
+    slot = F.pmod(F.pmod("doc_id", F.lit(16777213).cast("long")) * 7919 + F.col("line_no"), F.lit(MAP_BITS).cast("long"))
+    return _bit_map(lines.select(slot.alias("slot")))
+
+
+def _has(marks: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return ((marks[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
+def _is_marked(marks: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return _has(marks, _slot(doc.astype(np.int64), line.astype(np.int64)))
+
+
 def _distinct_words(block: tokens.Block, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (line, word) in the order of line, level (8 bits), hash: hashes, lines, texts."""
     h = block.hash
@@ -189,6 +196,23 @@ def _describe(counts, copies, num: int, den: int):
     return run
 
 
+def _with_key(marks):
+    """One row per line and marked key; keys of a single line are mostly left out here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(marks.value, np.uint64)
+        for batch in batches:
+            *columns, keys = batch.columns
+            flat = keys.flatten().to_numpy()
+            some = np.flatnonzero(_has(words, np.mod(flat, MAP_BITS)))
+            row = pa.array(some // KEYS)
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(row) for c in columns), pa.array(flat[some])], names=[*batch.schema.names[:-1], "key"]
+            )
+
+    return run
+
+
 def _flag(marks):
     """The rows, and whether their line is marked."""
 
@@ -260,7 +284,8 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
        map of fixed size tells lines that are no copy for certain; the others are looked
        up in a join.
     3. Lines that share a key of two minima are compared with the first of them,
-       which settles most near copies with pairs that are linear in the lines.
+       which settles most near copies with pairs that are linear in the lines. A bit map
+       of fixed size leaves most keys of a single line out of the shuffle.
     4. Lines not settled yet are joined with all lines on a shared prefix word, under
        the length and positional filters and the parity map (which rules out pairs for
        certain), and confirmed on the full word sets.
@@ -293,7 +318,15 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in ("parity", "parity2")), F.lit(0))
     total = F.col("x.size") + F.col("y.size")
     may = (F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num) & (apart * (den + num) <= total * (den - num))
-    drawn = first.select(F.struct("doc_id", "line_no", "size", "parity", "parity2").alias("x"), F.explode("keys").alias("key"))
+    # (keys are counted alone first; a line goes on only under keys that others may have too)
+    shared = first.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
+    slot = F.pmod("key", F.lit(MAP_BITS).cast("long")).alias("slot")
+    marks = spark.sparkContext.broadcast(_bit_map(shared.select(slot)))
+    facts = ["doc_id", "line_no", "size", "parity", "parity2"]
+    drawn = settled(
+        first.select(*facts, "keys").mapInArrow(_with_key(marks), "doc_id long, line_no int, size int, parity long, parity2 long, key long"),
+        "drawn-lines",
+    ).select(F.struct(*facts).alias("x"), "key")
     heads = drawn.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
     quick = (
         drawn.join(heads, "key")
