@@ -353,8 +353,9 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
     earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | (
         (F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no"))
     )
-    # the condition on x alone names y too, or it would be pushed below the shared exchange
-    open_ = ~F.col("x.done") | (F.col("y.size") < 0)
+    # The condition on x alone names y too, or it would be pushed below the shared exchange,
+    # and both sides name the same columns, or there would be two exchanges.
+    open_ = ~F.col("x.done") | (F.col("y.done") & (F.col("y.size") < 0))
     pairs = (
         x.join(
             y,
