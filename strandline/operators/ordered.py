@@ -7,7 +7,7 @@ key, and the accumulated value is joined back.  Both big steps are partitioned b
 (key, block), so the rows are shuffled once; only summaries move again.
 
 ``block`` must not decrease along ``order`` (``session.block_of`` of an integer
-order column, or a truncated time).  Keys must not be null.
+order column, or a truncated time).  Rows with a null key belong together.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from strandline.session import scratch_root
 
 _BLOCK = "__block"
+#: The key columns as one struct: structs with nulls in them are equal, nulls are not.
+_KEY = "__key"
 
 
 def _inside(kind: str, value: Column, window) -> Column:
@@ -72,11 +74,14 @@ def running(
     }
     direction = (lambda name: F.col(name).desc()) if descending else (lambda name: F.col(name).asc())
     blocked = df.withColumn(_BLOCK, block)
-    along = Window.partitionBy(*keys, _BLOCK).orderBy(*[direction(name) for name in order])
+    if keys:
+        blocked = blocked.withColumn(_KEY, F.struct(*keys))
+    key = [_KEY] if keys else []
+    along = Window.partitionBy(*key, _BLOCK).orderBy(*[direction(name) for name in order])
     with_row = along.rowsBetween(Window.unboundedPreceding, 0)
     before_row = along.rowsBetween(Window.unboundedPreceding, -1)
     across = (
-        (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
+        (Window.partitionBy(*key) if keys else Window.partitionBy(F.lit(0)))
         .orderBy(direction(_BLOCK))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -88,18 +93,18 @@ def running(
         "*", *[_inside(kind, value, frame(kind)).alias(f"__in_{name}") for name, (kind, value) in values.items()]
     )
     position = F.struct(*order)
-    summaries = blocked.groupBy(*keys, _BLOCK).agg(
+    summaries = blocked.groupBy(*key, _BLOCK).agg(
         *[_summary(kind, value, position, descending).alias(f"__sum_{name}") for name, (kind, value) in values.items()]
     )
     carried = summaries.select(
-        *keys,
+        *key,
         _BLOCK,
         *[
             _inside("sum" if kind == "count" else kind, F.col(f"__sum_{name}"), across).alias(f"__carry_{name}")
             for name, (kind, _) in values.items()
         ],
     )
-    joined = local.join(carried, [*keys, _BLOCK], "left")
+    joined = local.join(carried, [*key, _BLOCK], "left")
     return joined.select(
         *df.columns,
         *[

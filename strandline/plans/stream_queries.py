@@ -215,13 +215,13 @@ def counter_rate(t):
     f"""WITH s AS (SELECT user_id % 5 AS site, kind, ts_s, CAST(floor(ts_s / {DAY // 4}) * {DAY // 4} AS BIGINT) AS slide FROM (SELECT agent AS user_id, kind, ts_s FROM samples) y),
         w AS (SELECT site, slide - i * {DAY // 4} AS window_start_s, kind FROM s, range(4) r(i)),
         g AS (SELECT site, window_start_s, count(*) FILTER (WHERE kind = 'error') AS hits, count(*) AS rows FROM w GROUP BY ALL)
-        SELECT site, window_start_s, hits, rows FROM g WHERE CAST(hits AS DOUBLE) / rows > 0.2 AND window_start_s + {DAY} <= (SELECT max(ts_s) FROM samples) - 3600""",
+        SELECT site, window_start_s, hits, rows FROM g WHERE CAST(hits AS DOUBLE) / rows > 0.2""",
 )
 def error_ratio_alert(t):
     stream = _event_time(t.stream("samples")).withColumn("site", F.col("agent") % 5)
-    closed = alerts.windowed_ratio(stream, "ts", ["site"], F.col("kind") == "error", "1 day", "6 hours", "1 hour")
-    flat = closed.select("site", F.unix_seconds("window.start").alias("window_start_s"), "hits", "rows")
-    return alerts.ratio_alert(appended(flat, "ratio"), 0.2)
+    ratios = alerts.windowed_ratio(stream, "ts", ["site"], F.col("kind") == "error", "1 day", "6 hours")
+    flat = ratios.select("site", F.unix_seconds("window.start").alias("window_start_s"), "hits", "rows")
+    return alerts.ratio_alert(keyed_result(flat, ["site", "window_start_s"], "ratio"), 0.2)
 
 
 @query(

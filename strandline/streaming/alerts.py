@@ -58,11 +58,17 @@ def spike_alert(rates: DataFrame, threshold: float) -> DataFrame:
     return rates.filter(F.col("rate") > threshold)
 
 
-def windowed_ratio(stream: DataFrame, time: str, by: Sequence[str], part: Column, window: str, slide: str, delay: str) -> DataFrame:
-    """Share of rows of a kind per key and sliding window of a stream; a window is given once it is closed."""
+def windowed_ratio(stream: DataFrame, time: str, by: Sequence[str], part: Column, window: str, slide: str, delay: str | None = None) -> DataFrame:
+    """Share of rows of a kind per key and sliding window of a stream.
+
+    Without ``delay`` every row counts, however late; the result is read with
+    ``keyed_result`` and does not depend on how the input is cut into micro-batches.
+    With it a window is given once it is closed, its state goes, and rows that come
+    later than that are dropped.
+    """
+    timed = stream if delay is None else stream.withWatermark(time, delay)
     return (
-        stream.withWatermark(time, delay)
-        .groupBy(*by, F.window(time, window, slide))
+        timed.groupBy(*by, F.window(time, window, slide))
         .agg(F.count_if(part).alias("hits"), F.count(F.lit(1)).alias("rows"))
     )
 

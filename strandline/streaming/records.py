@@ -77,7 +77,12 @@ def stream_lag(records: DataFrame, now_ms: int, by: Sequence[str] = ("topic",))
 
 
 def dedupe_records(stream: DataFrame, time: str, delay: str, keys: Sequence[str] = ("topic", "part", "rec_offset")) -> DataFrame:
-    """First arrival of each record; repeats within ``delay`` are dropped, later ones are late data."""
+    """First arrival of each record; repeats within ``delay`` are dropped.
+
+    A row older than the watermark (the newest time seen less ``delay``) is dropped as
+    late even if it is no repeat: choose ``delay`` longer than any lateness, or
+    use ``dropDuplicates`` on the keys in a batch, which drops repeats only.
+    """
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 

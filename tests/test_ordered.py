@@ -44,6 +44,15 @@ def test_running_sum_min_last(data, rows):
             assert got[(k, at)] == want
 
 
+def test_null_keys_belong_together(spark, rows):
+    df = spark.createDataFrame([(None, i, "a") for i in range(6)] + [(1, i, None) for i in range(6)], "k long, at long, j string")
+    for width in (2, 3, 100):
+        got = ordered.numbered(df, ["k", "j"], ["at"], block_of(F.col("at"), width), "n")
+        assert [(r["k"], r["at"], r["n"]) for r in got.orderBy(F.col("k").asc_nulls_first(), "at").collect()] == [
+            (k, i, i + 1) for k in (None, 1) for i in range(6)
+        ]
+
+
 def test_running_backwards_and_exclusive(data):
     raw, df = data
     out = ordered.running(

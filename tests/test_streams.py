@@ -143,6 +143,23 @@ def test_journal_plan(spark, rows):
     )
 
 
+@pytest.mark.parametrize("cut", [[12], [3, 6, 9], [1, 2, 11]])
+def test_error_ratio_does_not_depend_on_batches(spark, tmp_path, rows, cut):
+    """Days far apart, newest first: late rows count as well."""
+    log = [{"site": i % 2, "s": 86_400 * (12 - i) + 7 * i, "kind": "error" if i % 3 else "view"} for i in range(12)]
+    edges = [0, *cut, len(log)]
+    files_of(tmp_path / "in", [log[a:b] for a, b in zip(edges, edges[1:]) if log[a:b]])
+    source = stream(spark, tmp_path / "in", "site int, s long, kind string").withColumn("ts", F.timestamp_seconds("s"))
+    ratios = alerts.windowed_ratio(source, "ts", ["site"], F.col("kind") == "error", "2 days", "1 day")
+    flat = ratios.select("site", F.unix_seconds("window.start").alias("start"), "hits", "rows")
+    want = {}
+    for row in log:
+        for start in (row["s"] // 86_400 * 86_400, row["s"] // 86_400 * 86_400 - 86_400):
+            hits, n = want.get((row["site"], start), (0, 0))
+            want[row["site"], start] = (hits + (row["kind"] == "error"), n + 1)
+    assert sorted(rows(keyed_result(flat, ["site", "start"], "ratio"))) == sorted((*k, *v) for k, v in want.items())
+
+
 def test_sustained_and_sessions_across_blocks(spark, rows):
     ts = [0, 10, 20, 30, 40, 100, 110]
     on = [1, 1, 1, 0, 1, 1, 1]
