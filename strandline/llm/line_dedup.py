@@ -38,6 +38,19 @@ def _line_blocks(values: pa.Array):
         yield i, j, block, line, base
 
 
+def _pieces(data: bytes, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per line of a block of texts: its text, its number in it, where it starts and ends."""
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    # a text starts a line of its own, whatever the byte before it
+    start = np.sort(np.r_[offset[:-1], breaks + 1])
+    end = np.sort(np.r_[breaks, offset[1:]])
+    base = np.searchsorted(breaks, offset) + np.arange(len(offset))
+    lines = np.diff(base)
+    doc = np.repeat(np.arange(len(lines)), lines)
+    number = np.arange(len(doc)) - np.repeat(base[:-1], lines)
+    return doc, number, start, end
+
+
 def _edges(line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
 
@@ -45,9 +58,13 @@ def _edges(line: np.ndarray) -> np.ndarray:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line by a fingerprint of its words in order; at the end the task's word counts."""
     total = np.zeros(COUNTERS, np.int64)
+    waiting: list[np.ndarray] = []
     for batch in batches:
         for i, j, block, line, base in _line_blocks(batch.column(1)):
-            total += np.bincount((block.hash >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            waiting.append((block.hash >> np.uint64(44)).astype(np.int32))
+            if sum(map(len, waiting)) >= COUNTERS:
+                total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+                waiting = []
             edge = _edges(line)
             size = np.diff(np.r_[edge, len(line)])
             some = size >= MIN_WORDS
@@ -66,6 +83,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["doc_id", "line_no", "print", "slice", "counts"],
             )
+    if waiting:
+        total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
     parts = total.reshape(-1, SLICE)
     some = np.flatnonzero(parts.any(axis=1))
     n = len(some)
@@ -175,7 +194,9 @@ def _describe(counts, copies, num: int, den: int):
                 low = [np.minimum.reduceat(h * m, edge)[some] for m in _MUL]
                 keys = np.stack([tokens.mix(low[2 * k] * np.uint64(KEYS) + low[2 * k + 1] + np.uint64(k)) for k in range(KEYS)], axis=1)
                 word = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                take = _prefix(size[some], num, den)
+                take = np.zeros(len(size), np.int64)
+                take[some] = _prefix(size[some], num, den)
+                rarest = word[np.arange(len(h)) < np.repeat(edge + take, size)]
                 doc = doc[edge[some]]
                 ids = batch.column(0).slice(i, j - i).take(pa.array(doc))
                 number = line_[edge[some]] - base[doc]
@@ -187,8 +208,8 @@ def _describe(counts, copies, num: int, den: int):
                         pa.array(parity.view(np.int64)),
                         pa.array(parity2.view(np.int64)),
                         pa.array(_is_marked(marks, ids.to_numpy(), number)),
-                        tokens.list_column(list(keys), pa.int64()),
-                        tokens.list_column([word[a : a + k] for a, k in zip(edge[some].tolist(), take.tolist())], pa.int32()),
+                        tokens.lists_of(keys.reshape(-1).view(np.int64), np.full(len(some), KEYS)),
+                        tokens.lists_of(rarest, take[some]),
                     ],
                     names=["doc_id", "line_no", "size", "parity", "parity2", "again", "keys", "prefix"],
                 )
@@ -231,18 +252,19 @@ def _sets_of_marked(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(wanted.value, np.uint64)
         for batch in batches:
-            for i, j, block, line, base in _line_blocks(batch.column(1)):
-                if not len(line):
-                    continue
-                edge = _edges(line)
-                doc = block.doc[edge]
+            for i, j, data, offset in tokens.text_blocks(batch.column(1)):
+                doc, number, start, end = _pieces(data, offset)
                 ids = batch.column(0).slice(i, j - i).take(pa.array(doc))
-                number = line[edge] - base[doc]
                 some = np.flatnonzero(_is_marked(marks, ids.to_numpy(), number))
-                end = np.r_[edge, len(line)]
-                parts = [tokens.distinct_sorted(block.hash[end[k] : end[k + 1]]) for k in some.tolist()]
+                if not len(some):
+                    continue
+                # only the marked lines are cut into words, each as a text of its own
+                text = b"".join([data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())])
+                block = tokens.cut_words(text, np.r_[0, np.cumsum(end[some] - start[some])], tokens.SPACE)
+                h, line, _ = _distinct_words(block, block.doc, np.zeros(len(block.doc), np.uint8))
+                words = tokens.lists_of(h.view(np.int64), np.bincount(line, minlength=len(some)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(some)), pa.array(number[some], pa.int32()), tokens.list_column(parts, pa.int64())],
+                    [ids.take(pa.array(some)), pa.array(number[some], pa.int32()), words],
                     names=["doc_id", "line_no", "words"],
                 )
 

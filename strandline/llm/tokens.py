@@ -15,7 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+#: Small enough for a block's arrays to stay in a core's cache.
+BLOCK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -118,8 +119,8 @@ def text_column(values: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(b"" if data is None else data), offsets
 
 
-def blocks(values: pa.Array, outside: np.ndarray, lower: bool = True, target: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
-    """(first text, past last text, words) for runs of whole texts of about ``target`` bytes.
+def text_blocks(values: pa.Array, lower: bool = True, target: int = BLOCK_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(first text, past last text, bytes, where texts start) for runs of whole texts of about ``target`` bytes.
 
     Only the bytes of one run are copied at a time, not those of the whole array.
     """
@@ -129,12 +130,16 @@ def blocks(values: pa.Array, outside: np.ndarray, lower: bool = True, target: in
         j = max(i + 1, int(np.searchsorted(offset, offset[i] + target, "right")) - 1)
         j = min(j, n)
         part = data[int(offset[i]) : int(offset[j])].tobytes()
-        if lower:
-            part = part.translate(_LOWER)
-        yield i, j, cut_words(part, offset[i : j + 1] - offset[i], outside)
+        yield i, j, part.translate(_LOWER) if lower else part, offset[i : j + 1] - offset[i]
         i = j
 
 
+def blocks(values: pa.Array, outside: np.ndarray, lower: bool = True, target: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
+    """(first text, past last text, words) for the runs of ``text_blocks``."""
+    for i, j, data, offset in text_blocks(values, lower, target):
+        yield i, j, cut_words(data, offset, outside)
+
+
 def distinct_sorted(a: np.ndarray) -> np.ndarray:
     a = np.sort(a)
     if len(a) < 2:
@@ -167,3 +172,8 @@ def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     if flat.dtype == np.uint64:
         flat = flat.view(np.int64)
     return pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(flat, kind))
+
+
+def lists_of(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A list column of consecutive pieces of ``flat``, one of each length."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(flat))
