@@ -131,6 +131,23 @@ def test_repeated_lines_by_brute_force(spark):
     assert {r.doc_id: r.removed for r in rows if r.removed} == expected and expected
 
 
+def test_short_lines_repeat_too(spark):
+    rng = random.Random(4)
+    short = [" ".join(rng.choice(WORDS[:7]) for _ in range(rng.randrange(8))) for _ in range(300)]
+    short += ["a b c d e", "d c b a", "a a b", "b A", "les.", "les.", "Les. les.", " ", "", "a b " * 50, "x y z u", "u x y z v"]
+    texts = ["\n".join(short[k : k + 12]) for k in range(0, len(short), 12)]
+    seen, expected = [], {}
+    for k, t in enumerate(texts):
+        for n, line in enumerate(t.split("\n")):
+            s = set(plain(line))
+            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                expected.setdefault(k, []).append(n)
+            seen.append(s)
+    rows = line_dedup.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in rows if r.removed} == expected
+    assert {1, 3, 5, 6, 9, 11} <= set(expected[len(texts) - 1]) and not {7, 8} & set(expected[len(texts) - 1])
+
+
 def test_repeated_lines_odd(odd_docs, no_docs):
     rows = by_id(line_dedup.line_report(odd_docs).collect())
     assert (rows[1][0].n_removed, rows[2][0].removed, rows[11][0].removed) == (0, [0], [2])
