@@ -25,7 +25,8 @@ def parsed(turns: DataFrame) -> DataFrame:
     """``conv_id, turn, role, lines`` with lines as (level, body, key) and attributions marked.
 
     The key is a 64-bit hash of the normalised line, null if nothing is left of it. A
-    line that ends in "wrote:" and comes right before a quoted line is an attribution.
+    line that ends in "wrote:" and comes right before a line of a deeper level is an
+    attribution, itself quoted or not.
     """
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\r?\n", -1)
     cut = turns.select(
@@ -41,24 +42,23 @@ def parsed(turns: DataFrame) -> DataFrame:
                 x["body"].alias("body"),
                 F.when(x["normal"] != "", F.xxhash64(x["normal"])).alias("key"),
                 F.size(F.filter(F.split(x["normal"], " "), lambda w: w != "")).alias("n"),
-                ((x["level"] == 0) & x["body"].rlike(_ATTRIBUTION) & (F.coalesce(F.get("cut", i + 1)["level"], F.lit(0)) > 0)).alias("attribution"),
+                (x["body"].rlike(_ATTRIBUTION) & (F.coalesce(F.get("cut", i + 1)["level"], F.lit(0)) > x["level"])).alias("attribution"),
             ),
         ).alias("lines"),
     )
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, reply_to, n_linked``: the message that a turn's outer quotes come from.
+    """``conv_id, turn, reply_to, n_linked``: the message that a turn's quotes come from.
 
     The original of a line is the first turn of the conversation that has it as its own,
     found by a partial minimum per (conversation, hash): one row for each key, so the join
-    makes no pairs within a group. A turn replies to the earlier turn from which most
-    quoted words at its lowest quote level come; ties go to the later one.
+    makes no pairs within a group. Passages of all levels are looked up, attributions left
+    out. A turn replies to the earlier turn from which most quoted words come at the lowest
+    of its quote levels that has an original; ties go to the later one.
     """
     line = messages.select("conv_id", "turn", F.explode("lines").alias("x")).where("x.key IS NOT NULL AND turn IS NOT NULL")
-    quoted = line.where("x.level > 0").select("conv_id", "turn", "x.level", "x.key", "x.n")
-    lowest = quoted.groupBy("conv_id", "turn").agg(F.min("level").alias("level"))
-    outer = quoted.join(lowest, ["conv_id", "turn", "level"])
+    quoted = line.where("x.level > 0 AND NOT x.attribution").select("conv_id", "turn", "x.level", "x.key", "x.n")
     asked = quoted.select("conv_id", "key").distinct()
     own = (
         line.where("x.level = 0 AND NOT x.attribution")
@@ -68,12 +68,12 @@ def quote_links(messages: DataFrame) -> DataFrame:
         .agg(F.min("turn").alias("original"))
     )
     votes = (
-        outer.join(own, ["conv_id", "key"])
+        quoted.join(own, ["conv_id", "key"])
         .where("original < turn")
-        .groupBy("conv_id", "turn", "original")
+        .groupBy("conv_id", "turn", "level", "original")
         .agg(F.sum("n").alias("words"), F.count("*").alias("n_linked"))
     )
-    best = F.max(F.struct("words", "original", "n_linked")).alias("best")
+    best = F.max(F.struct(-F.col("level"), "words", "original", "n_linked")).alias("best")
     return votes.groupBy("conv_id", "turn").agg(best).select(
         "conv_id", "turn", F.col("best.original").alias("reply_to"), F.col("best.n_linked").alias("n_linked")
     )

@@ -308,6 +308,20 @@ def test_quotes_are_linked_and_cut(spark):
     assert quotations.reply_ordered(spark.createDataFrame(turns[:0], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def test_deeper_quotes_are_linked(spark):
+    turns = [
+        (1, 0, "user", "How does it work?\nPlease tell me."), (1, 1, "assistant", "It works like this."),
+        (1, 2, "user", "> A wrote:\n>> How does it work?\nWhy?"),
+        (1, 3, "user", "B wrote:\n> from elsewhere\n>> It works like this.\n>>> Please tell me. And more of it.\nHm"),
+        (1, 4, "user", "> Hm\n>> It works like this.\n>> Please tell me.\nOk"),
+    ]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    rows = {r.turn: r for r in quotations.reply_ordered(frame).collect()}
+    assert [rows[k].reply_to for k in range(5)] == [None, None, 0, 1, 3]
+    assert rows[2].path == [0, 2] and (rows[2].n_quoted, rows[2].n_linked, rows[2].body) == (2, 1, "Why?")
+    assert rows[4].path == [1, 3, 4] and rows[3].body == "Hm"
+
+
 def test_buckets_hold_their_numbers(spark):
     values = [*range(200), 1000, 4095, 4096, 10**6, 2**40 + 5]
     frame = spark.createDataFrame([(v,) for v in values], "v long").withColumn("b", rules.bucket(F.col("v")))
