@@ -8,11 +8,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import tokens
-from strandline.llm.tables import ALNUM_WORD, ascii_lower
+from strandline.llm.tables import ALNUM_WORD, ascii_lower, settled
 
 WINDOW = 13
 #: Windows in one broadcast set. A larger benchmark is scanned in several sets of whole
@@ -168,9 +168,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, set
         (F.expr("uuid()") if parts > 1 else F.lit("")).alias("row"),
     )
     if parts > 1:  # the rows need a name that holds over the passes
-        from strandline.llm.tables import settled
-
         texts = settled(texts, "texts")
+    found = _found(texts, windows, parts).select(
+        "doc_id", "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans"
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        _contaminated(F.col("n_hit")).alias("contaminated"),
+        "spans",
+    )
+
+
+def _n_hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["past"] - s["first"])
+
+
+def _contaminated(n_hit: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
+def _found(texts: DataFrame, windows: DataFrame, parts: int) -> DataFrame:
+    """``doc_id, n_words, spans, items, row`` per row of ``texts``, over one pass or several."""
+    spark = texts.sparkSession
     found = None
     for part in range(parts):
         own = _rows(windows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part))
@@ -181,19 +204,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, set
         found = (
             found.groupBy("row", "doc_id")
             .agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("spans", "items")).alias("parts"))
-            .select("doc_id", "n_words", merged("parts").alias("m"))
-            .select("doc_id", "n_words", "m.spans", "m.items")
+            .select("doc_id", "n_words", merged("parts").alias("m"), "row")
+            .select("doc_id", "n_words", "m.spans", "m.items", "row")
         )
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["past"] - s["first"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans").select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        "n_items",
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        "spans",
-    )
+    return found
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +242,21 @@ def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 def without_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, set_windows: int = SET_WINDOWS) -> DataFrame:
     """The documents that are not contaminated, all columns as they were.
 
-    With one broadcast set the rows are filtered where they are read, without a shuffle;
-    ids need not be unique then. With several sets they are joined to the verdicts by id.
+    With one broadcast set the rows are filtered where they are read, without a shuffle.
+    With several sets every row gets a name, by which it is joined to its own verdict. Ids may
+    be null or repeated either way.
     """
     windows = item_windows(benchmark, size)
-    if windows.count() > set_windows:
-        bad = contamination(docs, benchmark, size, set_windows).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+    n = windows.count()
+    if n > set_windows:
+        row = "row"
+        while row in docs.columns:
+            row += "_"
+        named = settled(docs.withColumn(row, F.expr("uuid()")), "texts")
+        texts = named.select(
+            F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("row")
+        )
+        bad = _found(texts, windows, -(-n // set_windows)).where(_contaminated(_n_hit())).select(F.col("row").alias(row))
+        return named.join(bad, row, "left_anti").select(*docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(_rows(windows))
     return docs.mapInArrow(_drop(sent, docs.columns.index("text")), docs.schema)

@@ -191,6 +191,15 @@ def test_contamination_by_brute_force(spark):
     assert {r.doc_id: r.text for r in decontaminate.without_spans(frame, spans).collect()}[21] == ""
 
 
+def test_verdicts_are_by_row_whatever_the_sets(spark):
+    bench = spark.createDataFrame([(k, f"alpha{k} beta{k}") for k in range(9)], "item_id long, text string")
+    rows = [(None, "alpha1 beta1", 0), (None, "clean", 1), (5, "alpha2 beta2", 2), (5, "also clean", 3), (6, None, 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    for limit in (1000, 4):
+        left = decontaminate.without_documents(frame, bench, set_windows=limit)
+        assert left.columns == frame.columns and sorted(r.row for r in left.collect()) == [1, 3, 4]
+
+
 def test_contamination_odd(odd_docs, no_docs, spark):
     bench = spark.createDataFrame([(1, "alpha BETA")], "item_id long, text string")
     rows = by_id(decontaminate.contamination(odd_docs, bench).collect())
