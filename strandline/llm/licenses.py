@@ -19,7 +19,7 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Notices in the words of the licenses; a block that holds the share of a notice's distinct
+#: Notices in the words of the licenses; a block (a run of words) that holds the share of a notice's distinct
 #: words gets its label.
 TEMPLATES = (
     ("mit", "released under the mit license"),
@@ -35,6 +35,9 @@ TEMPLATES = (
 )
 #: Share of a template's words, in hundredths.
 CONTAINED = 90
+#: Words of a block as a multiple of its template's words. Blocks know no line breaks, so
+#: a notice is found however it is wrapped, and words scattered over a long line are none.
+SPREAD = 2
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -83,22 +86,47 @@ def rarity(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
 
 
 def template_rows(spark: SparkSession, rank: dict[str, int], templates=TEMPLATES, share: int = CONTAINED) -> DataFrame:
-    """``template, label, need, words`` with words as ranks, the rarest first."""
+    """``template, label, need, width, words`` with words as ranks, the rarest first."""
     rows = []
     for k, (label, text) in enumerate(templates):
         words = sorted(rank[w] for w in set(text.split()))
-        rows.append((k, label, -(-len(words) * share // 100), words))
-    return spark.createDataFrame(rows, "template int, label string, need int, words array<int>")
+        rows.append((k, label, -(-len(words) * share // 100), SPREAD * len(text.split()), words))
+    return spark.createDataFrame(rows, "template int, label string, need int, width int, words array<int>")
 
 
-_BLOCK = pa.list_(pa.struct([("line", pa.int32()), ("words", pa.list_(pa.int32()))]))
+_BLOCK = pa.list_(pa.struct([("template", pa.int32()), ("at", pa.int64()), ("words", pa.list_(pa.int32()))]))
 
 
-def _scan(order: list[str], starters: list[int], least: int):
-    """Words, phrase places, and the candidate blocks: template words of a line by rank."""
+def _best_blocks(block: tokens.Block, at: np.ndarray, word: np.ndarray, template) -> dict[int, tuple[int, list[int]]]:
+    """Per text with one, its fullest block of the template: first word, template words by rank.
+
+    A block holds ``width`` words from one of the template's words on, or fewer at the end
+    of the text. Of all blocks only those are looked at that have enough places of
+    template words and one of the rarest.
+    """
+    ranks = np.asarray(template["words"])
+    mine = np.isin(word, ranks)
+    at, word = at[mine], word[mine]
+    doc = block.doc[at]
+    past = np.searchsorted(at, np.minimum(at + template["width"], block.first[doc + 1]))
+    rare = np.r_[0, np.cumsum(np.isin(word, ranks[: len(ranks) - template["need"] + 1]))]
+    enough = past - np.arange(len(at)) >= template["need"]
+    best: dict[int, tuple[int, list[int]]] = {}
+    for k in np.flatnonzero(enough & (rare[past] > rare[:-1])).tolist():
+        d = int(doc[k])
+        if d in best and len(best[d][1]) == len(ranks):
+            continue
+        held = set(word[k : past[k]].tolist())
+        if len(held) >= template["need"] and (d not in best or len(held) > len(best[d][1])):
+            best[d] = (int(at[k] - block.first[d]), sorted(held))
+    return best
+
+
+def _scan(order: list[str], templates: list):
+    """Words, phrase places, and the candidate blocks: the fullest one of each template, its words by rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, prefix = _Finder(_hash_of(order)), np.isin(np.arange(len(order)), starters)
+        find = _Finder(_hash_of(order))
         phrases = [(p.split(), label) for p, label in PHRASES.items()]
         keys = [tokens.shingles(_hash_of(w), len(w))[0] for w, _ in phrases]
         for batch in batches:
@@ -115,19 +143,9 @@ def _scan(order: list[str], starters: list[int], least: int):
                             doc = int(block.doc[k])
                             own_places.setdefault(doc, []).append((k - int(block.first[doc]), label))
                 at, word = find(block.hash)
-                breaks = np.flatnonzero(np.frombuffer(block.data, np.uint8) == 10)
-                line = np.searchsorted(breaks, block.start[at])
-                base = np.searchsorted(breaks, block.offset)
-                doc = block.doc[at]
-                key = (line + doc) * len(order) + word
-                key, first = np.unique(key, return_index=True)
-                line, doc, word = line[first], doc[first], word[first]
-                edge = np.flatnonzero(np.r_[True, np.diff(key // len(order)) != 0]) if len(key) else np.zeros(0, np.int64)
-                size = np.diff(np.r_[edge, len(key)])
-                starts = np.logical_or.reduceat(prefix[word], edge) if len(edge) else np.zeros(0, bool)
-                for a, n in zip(edge[(size >= least) & starts].tolist(), size[(size >= least) & starts].tolist()):
-                    d = int(doc[a])
-                    own_blocks.setdefault(d, []).append({"line": int(line[a] - base[d]), "words": word[a : a + n].tolist()})
+                for t in templates:
+                    for d, (first, held) in _best_blocks(block, at, word, t).items():
+                        own_blocks.setdefault(d, []).append({"template": t["template"], "at": first, "words": held})
                 for d in range(j - i):
                     places.append([{"at": a, "label": x} for a, x in sorted(own_places.get(d, ()))])
                     blocks.append(own_blocks.get(d, []))
@@ -144,27 +162,27 @@ def _scan(order: list[str], starters: list[int], least: int):
 
 
 def licensed_blocks(scanned: DataFrame, templates: DataFrame) -> DataFrame:
-    """``row, line, label, share``: blocks that hold enough of a template's words.
+    """``row, at, label, share``: blocks that hold enough of a template's words.
 
     Prefix filter: of a template of m words that needs k of them, a block must hold one
     of the m - k + 1 rarest. Length filter: it must hold k template words at all.
     Positional filter: after the shared word, both must have enough words left. What
     is left is verified on the whole word sets.
     """
-    blocks = scanned.select("row", F.explode("blocks").alias("b")).select("row", "b.line", F.col("b.words").alias("held"))
-    probe = blocks.select("row", "line", "held", F.posexplode("held").alias("j", "word"))
+    blocks = scanned.select("row", F.explode("blocks").alias("b")).select("row", "b.template", "b.at", F.col("b.words").alias("held"))
+    probe = blocks.select("row", "template", "at", "held", F.posexplode("held").alias("j", "word"))
     prefix = templates.select(
         "template", "label", "need", "words",
         F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("i", "word"),
     )
     left = 1 + F.least(F.size("words") - F.col("i") - 1, F.size("held") - F.col("j") - 1)
     return (
-        probe.join(prefix, "word")
+        probe.join(prefix, ["template", "word"])
         .where((F.size("held") >= F.col("need")) & (left >= F.col("need")))
-        .dropDuplicates(["row", "line", "template"])
+        .dropDuplicates(["row", "at", "template"])
         .withColumn("common", F.size(F.array_intersect("held", "words")))
         .where("common >= need")
-        .select("row", "line", "label", (F.col("common") / F.size("words")).alias("share"))
+        .select("row", "at", "label", (F.col("common") / F.size("words")).alias("share"))
     )
 
 
@@ -173,24 +191,24 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Words are runs of digits, a-z (after lower-casing A-Z) and characters beyond ASCII. Base:
     places where a phrase's words stand one after the other, with smallest and largest
-    start. Blocks are the lines of a text; a block that holds at least ``CONTAINED`` per
-    cent of a template's distinct words adds the template's label. ``score`` is 1 with a
+    start. Blocks are all runs of ``SPREAD`` times as many words as a template has, across
+    lines; a template of which a block holds at least ``CONTAINED`` per cent of the
+    distinct words adds its label. ``score`` is 1 with a
     base place, else the largest share of a template that was found, else 0. Null text counts
     as empty; repeated rows are judged each; other columns are ignored.
     """
     spark = docs.sparkSession
     rank = rarity(docs)
     templates = settled(template_rows(spark, rank), "license-templates")
-    known = templates.select("need", "words").collect()
-    starters = sorted({w for r in known for w in r["words"][: len(r["words"]) - r["need"] + 1]})
+    known = templates.select("template", "need", "width", "words").collect()
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     schema = (
         "row long, doc_id long, n_words long, places array<struct<at:long,label:string>>, "
-        "blocks array<struct<line:int,words:array<int>>>"
+        "blocks array<struct<template:int,at:bigint,words:array<int>>>"
     )
-    scanned = settled(rows.mapInArrow(_scan(sorted(rank, key=rank.get), starters, min(r["need"] for r in known)), schema), "license-blocks")
+    scanned = settled(rows.mapInArrow(_scan(sorted(rank, key=rank.get), known), schema), "license-blocks")
     found = licensed_blocks(scanned, templates).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     at, base = F.transform("places", lambda p: p["at"]), F.array_distinct(F.transform("places", lambda p: p["label"]))
     more = F.coalesce("more", F.array().cast("array<string>"))

@@ -225,6 +225,28 @@ def test_licenses_odd(odd_docs, no_docs, spark):
     assert licenses.license_scan(odd_docs).count() == 14 and licenses.license_scan(no_docs).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    notices = [(label, text.split()) for label, text in licenses.TEMPLATES]
+    texts = ["\n# ".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)) for _, w in notices]
+    rng = random.Random(2)
+    scattered = [w for _, n in notices for x in n for w in (x, *(rng.choice(WORDS) for _ in range(7)))]
+    texts += [" ".join(scattered), " ".join(notices[1][1][:12]), texts[1] + "\nfiller " * 40 + texts[3]]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: r for r in rows}
+    for k, text in enumerate(texts):
+        w = re.findall("[a-z0-9]+", text)
+        expected, best = set(), 0.0
+        for label, t in notices:
+            n = max(len(set(w[i : i + licenses.SPREAD * len(t)]) & set(t)) for i in range(len(w)))
+            if 100 * n >= licenses.CONTAINED * len(set(t)):
+                expected.add(label)
+                best = max(best, n / len(set(t)))
+        expected |= set(filter(None, found[k].base_labels.split(",")))
+        assert (found[k].labels, found[k].score) == (",".join(sorted(expected)), 1.0 if found[k].n_base else best)
+    assert all(label in found[k].labels.split(",") for k, (label, _) in enumerate(notices))
+    assert found[len(notices)].labels == found[len(notices) + 1].labels == "" and found[len(notices) + 2].labels == "bsd,mit"
+
+
 def test_mix_odd(odd_docs, no_docs):
     rows = mixing.mixed(odd_docs).collect()
     assert len(rows) == 14 and all(0 <= r.taken <= 2 * r.size for r in rows)
