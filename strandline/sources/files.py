@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,10 +184,63 @@ def check_content(content: DataFrame, declared: DataFrame, key: str) -> DataFram
     return hashed.join(declared, key, "left").select(key, "actual", ok.alias("matches"))
 
 
+#: Bytes of a file in memory while it is hashed.
+HASH_CHUNK = 1 << 20
+
+
+def _system_of(path: str):
+    """The Arrow file system of a path or URI and the path on it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _place_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        places = [None if p is None else _system_of(p)[1] for p in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.string())], names=["path", "checksum", "place"])
+
+
+def _hash_files(root: str):
+    """SHA-256 of each file, read in pieces; null if there is no such file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system = _system_of(root)[0]
+        for batch in batches:
+            digests = []
+            for place in batch.column(0).to_pylist():
+                if system.get_file_info(place).type != fs.FileType.File:
+                    digests.append(None)
+                    continue
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as source:
+                    while piece := source.read(HASH_CHUNK):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["place", "actual"])
+
+    return run
+
+
 def verify_checksums(spark: SparkSession, root: str, declared: DataFrame) -> DataFrame:
-    """Check files below a root; ``declared`` has (path, checksum)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return check_content(files.select("path", "content"), declared, "path")
+    """``path, actual, matches`` for the declared files (path, checksum) and all others below a root.
+
+    Every declared row has a verdict: a file that is not there has a null digest and does not
+    match. Files that the listing finds and nobody declared do not match either. Names that
+    begin with ``_`` or ``.`` are checked like others; files are hashed in pieces, so
+    their size does not matter. Paths are on the file system of the root.
+    """
+    asked = declared.select(F.col("path").cast("string").alias("path"), F.col("checksum").cast("string").alias("checksum"))
+    asked = asked.mapInArrow(_place_paths, "path string, checksum string, place string")
+    listed = list_tree(spark, root).select(F.col("full_path").alias("place"))
+    places = listed.union(asked.select("place")).where("place IS NOT NULL").distinct()
+    hashed = places.repartition("place").mapInArrow(_hash_files(root), "place string, actual string")
+    ok = F.coalesce(F.lower("checksum") == F.col("actual"), F.lit(False))
+    return asked.join(hashed, "place", "full").select(F.coalesce("path", "place").alias("path"), "actual", ok.alias("matches"))
 
 
 def catalog_columns(spark: SparkSession, db: str | None = None) -> DataFrame:

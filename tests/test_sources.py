@@ -50,6 +50,20 @@ def test_tree_keeps_markers_and_skips_staging(spark, tmp_path, rows):
     assert rows(files.scan_manifest(spark, str(tmp_path)), "rel_path") == [("t/_SUCCESS",), ("t/_delta_log/0.json",), ("t/dt=1/p.parquet",)]
 
 
+def test_checksums_of_every_name(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "HASH_CHUNK", 2)
+    for name in ("a b", "_c", ".d", "t/_log/0", "changed", "extra"):
+        write(f"{tmp_path}/r/{name}", b"abc")
+    good = hashlib.sha256(b"abc").hexdigest()
+    write(f"{tmp_path}/r/changed", b"abd")
+    names = ["a b", "_c", ".d", "t/_log/0", "changed", "missing"]
+    declared = spark.createDataFrame([(f"{tmp_path}/r/{n}", good) for n in names], "path string, checksum string")
+    found = files.verify_checksums(spark, f"{tmp_path}/r", declared).collect()
+    got = {r.path.removeprefix(f"{tmp_path}/r/"): (r.actual, r.matches) for r in found}
+    altered = hashlib.sha256(b"abd").hexdigest()
+    assert got == {n: (good, True) for n in names[:4]} | {"changed": (altered, False), "missing": (None, False), "extra": (good, False)}
+
+
 def test_checksums(spark, tmp_path, rows):
     write(f"{tmp_path}/c/a", b"abc")
     write(f"{tmp_path}/c/b", b"abc")
