@@ -15,8 +15,9 @@ from strandline.llm import tokens
 from strandline.llm.tables import ALNUM_WORD, ascii_lower, settled
 
 WINDOW = 13
-#: Windows in one broadcast set. A larger benchmark is scanned in several sets of whole
-#: items, one pass over the texts each, so what is broadcast never outgrows this.
+#: Windows in one broadcast set. A larger benchmark is scanned in several sets, one pass over
+#: the texts each. Windows are dealt one by one, by hash, so that no item, however large,
+#: makes a set outgrow this by more than the chance of the hash.
 SET_WINDOWS = 500_000
 
 SPANS = "doc_id long, n_words long, spans array<struct<first:long,past:long>>, items array<string>, row string"
@@ -153,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, set
     A document is contaminated if at least a twentieth of its words is hit.
 
     The benchmark's windows are counted first. Up to ``set_windows`` of them go out as one
-    broadcast set; more are dealt to several sets by item, and the texts are scanned
+    broadcast set; more are dealt to several sets one by one, and the texts are scanned
     once for each set, results of one document being joined. Hash hits are verified on
     the words. Null and empty texts have no words and are clean; so is everything against an
     empty benchmark. Repeated ids are scanned row by row. Other columns are ignored.
@@ -196,7 +197,7 @@ def _found(texts: DataFrame, windows: DataFrame, parts: int) -> DataFrame:
     spark = texts.sparkSession
     found = None
     for part in range(parts):
-        own = _rows(windows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part))
+        own = _rows(windows.where(F.pmod(F.xxhash64("item_id", "window"), F.lit(parts)) == part))
         hits = texts.mapInArrow(_scan(spark.sparkContext.broadcast(own)), SPANS)
         found = hits if found is None else found.union(hits)
     if parts > 1:

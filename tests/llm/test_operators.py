@@ -200,6 +200,16 @@ def test_verdicts_are_by_row_whatever_the_sets(spark):
         assert left.columns == frame.columns and sorted(r.row for r in left.collect()) == [1, 3, 4]
 
 
+def test_no_item_outgrows_a_set(spark, monkeypatch):
+    sets = []
+    monkeypatch.setattr(decontaminate, "_rows", lambda w, rows=decontaminate._rows: sets.append(rows(w)) or sets[-1])
+    bench = spark.createDataFrame([(None, f"left{k} right{k}") for k in range(200)] + [(k, "same text") for k in range(200)], "item_id long, text string")
+    frame = spark.createDataFrame([(1, "left3 right3 left150 right150"), (2, "same text")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(frame, bench, set_windows=100).collect()}
+    assert got == {1: (4, 1), 2: (2, 200)}
+    assert len(sets) == 4 and sum(map(len, sets)) == 400 and max(map(len, sets)) < 150
+
+
 def test_contamination_odd(odd_docs, no_docs, spark):
     bench = spark.createDataFrame([(1, "alpha BETA")], "item_id long, text string")
     rows = by_id(decontaminate.contamination(odd_docs, bench).collect())
