@@ -13,9 +13,6 @@ from strandline.llm import tokens
 from strandline.llm.near_duplicates import MAP_BITS
 from strandline.llm.tables import settled
 
-#: Only the oracle SQL and an older test read this: they still leave lines of fewer distinct
-#: words out. The operator judges every line that has a word.
-MIN_WORDS = 5
 #: Counters of the hashed word counts that define rarity; 4 MB as int32 on every executor.
 #: Two words may share a counter: their order is then less sharp, but still one order.
 COUNTERS = 1 << 20

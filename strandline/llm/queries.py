@@ -13,6 +13,7 @@ from strandline.llm import (
     line_dedup,
     mixing,
     near_duplicates,
+    periodic,
     quality,
     quotations,
     rules,
@@ -69,11 +70,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(read(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_near_duplicates, op3_quality_classifier, op4_license_scan, op5_source_mix,
         op6_toxicity, op7_warc, op8_quotation_links, op9_decontamination, op10_line_dedup,
+        op13_periodic_runs,
     )
 }
 
@@ -314,8 +320,8 @@ WITH line AS (
   FROM documents WHERE text IS NOT NULL
 ), own AS (
   SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(t, {_PLAIN}))) AS s FROM line
-), long_enough AS (SELECT * FROM own WHERE len(s) >= {line_dedup.MIN_WORDS}
-), sets AS (SELECT row_number() OVER () AS id, s, len(s) AS n, min((doc_id, k)) AS place FROM long_enough GROUP BY s
+), with_words AS (SELECT * FROM own WHERE len(s) > 0
+), sets AS (SELECT row_number() OVER () AS id, s, len(s) AS n, min((doc_id, k)) AS place FROM with_words GROUP BY s
 ), word AS (SELECT id, n, place, unnest(s) AS w FROM sets
 ), often AS (SELECT w, count(*) AS c FROM word GROUP BY 1
 ), prefix AS (
@@ -328,13 +334,46 @@ WITH line AS (
   SELECT DISTINCT x.id FROM cand JOIN sets x ON x.id = a JOIN sets y ON y.id = b
   WHERE len(list_intersect(x.s, y.s)) * 180 >= (x.n + y.n) * 80
 ), gone AS (
-  SELECT doc_id, k FROM long_enough JOIN sets USING (s) WHERE (doc_id, k) > place OR id IN (SELECT id FROM near)
+  SELECT doc_id, k FROM with_words JOIN sets USING (s) WHERE (doc_id, k) > place OR id IN (SELECT id FROM near)
 ), per AS (SELECT doc_id, count(*) AS n, string_agg(k::VARCHAR, ',' ORDER BY k) AS ks FROM gone GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
   coalesce(n, 0)::BIGINT AS n_removed, coalesce(ks, '') AS removed
 FROM documents LEFT JOIN per USING (doc_id)
 """
 
+_RUN_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), {_PLAIN}) AS w,
+    CASE WHEN doc_id IS NOT NULL THEN xor(4294967295::BIGINT, list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda h, c: CASE WHEN c < 0 THEN xor(h >> 1, 3988292384::BIGINT * (h & 1)) ELSE xor(h, c) END)) END AS h
+  FROM documents
+), p AS (SELECT *, len(w) AS n, h // 10 % greatest(len(w), 1) AS a, h // 10 % 8 AS e FROM d
+), x AS (
+  SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN w[:a] || list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // (3 + e)) + 1]) ELSE w END AS w FROM p
+), word AS (SELECT id, n, unnest(w) AS word, unnest(range(n)) AS i FROM x
+), pair AS (
+  SELECT l.id, l.i, r.i - l.i AS q FROM word l JOIN word r ON l.id = r.id AND l.word = r.word AND r.i > l.i AND 3 * (r.i - l.i) <= l.n
+), stretch AS (
+  SELECT id, min(i) AS start, count(*) + q AS length, q
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM pair)
+  GROUP BY id, q, island HAVING count(*) + q >= greatest({periodic.LEAST}, {periodic.EXPONENT} * q)
+), run AS (SELECT id, start, length, min(q) AS period FROM stretch GROUP BY ALL
+), per AS (
+  SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY id
+), best AS (
+  SELECT * FROM run a WHERE NOT EXISTS (SELECT 1 FROM run b WHERE b.id = a.id AND (b.length * a.period > a.length * b.period
+    OR b.length * a.period = a.length * b.period AND (b.start < a.start OR b.start = a.start AND b.period < a.period)))
+), kept AS (
+  SELECT id, string_agg(word, ' ' ORDER BY i) AS t FROM word
+  WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.id = word.id AND word.i >= start + period AND word.i < start + length) GROUP BY id
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM x LEFT JOIN per USING (id) LEFT JOIN best USING (id) LEFT JOIN kept USING (id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _rules_sql(),
     "op2_near_duplicates": _NEAR_SQL,
@@ -344,4 +383,5 @@ ORACLES: dict[str, str] = {
     "op8_quotation_links": _QUOTE_SQL,
     "op9_decontamination": _BENCHMARK_SQL,
     "op10_line_dedup": _LINE_SQL,
+    "op13_periodic_runs": _RUN_SQL,
 }
