@@ -6,9 +6,7 @@ import tempfile
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SMALL = "/root/testdata/sf0.001"
-
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
@@ -27,6 +25,8 @@ def spark():
 
 @pytest.fixture(scope="session")
 def tables(spark):
+    from oracle import SMALL
+
     from strandline.plans.fixtures import Tables
 
     return Tables(spark, SMALL)

@@ -20,6 +20,9 @@ from strandline.plans.fixtures import GIVEN  # noqa: E402
 from strandline.plans.registry import load_all, oracle_text, spark_callable  # noqa: E402
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -81,7 +84,7 @@ def compare(entry, spark, con, sf_dir: str) -> tuple[bool, str]:
 
 def main() -> int:
     parser = argparse.ArgumentParser()
-    parser.add_argument("-d", default="/root/testdata/sf0.001")
+    parser.add_argument("-d", default=SMALL)
     parser.add_argument("prefix", nargs="*")
     args = parser.parse_args()
     from strandline import get_session

@@ -1,8 +1,7 @@
 """Every registered query with an oracle gives the oracle's rows on the small files."""
 
 import pytest
-from conftest import SMALL
-from oracle import compare, connect
+from oracle import SMALL, compare, connect
 
 from strandline.plans.registry import load_all
 
