@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import (
+    collocations,
     decontaminate,
     licenses,
     line_dedup,
@@ -70,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(read(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed")
 
@@ -79,7 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules, op2_near_duplicates, op3_quality_classifier, op4_license_scan, op5_source_mix,
         op6_toxicity, op7_warc, op8_quotation_links, op9_decontamination, op10_line_dedup,
-        op13_periodic_runs,
+        op12_collocations, op13_periodic_runs,
     )
 }
 
@@ -341,6 +346,32 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10)
 FROM documents LEFT JOIN per USING (doc_id)
 """
 
+_PHRASE_SQL = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, '{collocations.UNDETERMINED}') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+), total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1
+), gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, {collocations.LONGEST + 1}) size(k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM gram GROUP BY ALL HAVING count(*) >= {collocations.LEAST}
+), cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cut AS (
+  SELECT lang, phrase, a, j, array_to_string(w[:j], ' ') AS front, array_to_string(w[j + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = front JOIN f r ON r.lang = c.lang AND r.phrase = rest JOIN total ON total.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM cand)) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored LEFT JOIN inside USING (lang, phrase) WHERE around IS NULL OR 100 * around < {collocations.SHARE} * a
+QUALIFY rank <= {collocations.TOP}
+"""
+
 _RUN_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), {_PLAIN}) AS w,
@@ -383,5 +414,6 @@ ORACLES: dict[str, str] = {
     "op8_quotation_links": _QUOTE_SQL,
     "op9_decontamination": _BENCHMARK_SQL,
     "op10_line_dedup": _LINE_SQL,
+    "op12_collocations": _PHRASE_SQL,
     "op13_periodic_runs": _RUN_SQL,
 }

@@ -95,5 +95,5 @@ def test_odd_documents(spark, odd_docs, no_docs):
     left = periodic.without_repeats(odd_docs)
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
     texts_left = {r.n_chars: r.text for r in left.collect()}
-    assert len(texts_left[7].split()) == 977 and texts_left[4] is None and texts_left[6] == " \n\t "
+    assert len(texts_left[7].split()) == 977 and texts_left[None] is None and texts_left[6] == " \n\t "
     assert periodic.without_repeats(no_docs).count() == 0
