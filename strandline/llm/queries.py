@@ -14,6 +14,7 @@ from strandline.llm import (
     line_dedup,
     mixing,
     near_duplicates,
+    neighbours,
     periodic,
     quality,
     quotations,
@@ -71,6 +72,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -84,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules, op2_near_duplicates, op3_quality_classifier, op4_license_scan, op5_source_mix,
         op6_toxicity, op7_warc, op8_quotation_links, op9_decontamination, op10_line_dedup,
-        op12_collocations, op13_periodic_runs,
+        op11_neighbours, op12_collocations, op13_periodic_runs,
     )
 }
 
