@@ -5,11 +5,12 @@ where the piece ends. Only these windows are counted; a ROLLUP over (language, w
 ..., word ``longest``) sums them to the counts of all shorter phrases and of all words, as
 every occurrence of a phrase is the prefix of exactly one window.
 
-A phrase counted ``least`` times holds only words and word pairs counted as often. So a
-first pass counts words and pairs in a table of hashed counters of fixed size, and windows
-are cut before the first word or pair whose counter stays below ``least``: no phrase that
-can be reported is lost, and nearly all windows of rare words fall together. Where a
-corpus fills the table, windows stay longer and counts stay right.
+A phrase counted ``least`` times holds only words and phrases counted as often. So two
+passes before count words and pairs, then longer phrases of frequent pairs, in tables of
+hashed counters of a bounded size, and a window is cut after the last phrase whose counter
+reaches ``least``: no phrase that can be reported is lost, and nearly all windows fall
+together within their task. Where a corpus fills the tables, windows stay longer and counts
+stay right.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ UNDETERMINED = "und"
 #: The counter table has a counter for so many bytes of text, between these powers of two;
 #: broadcast is one bit of each, 32 MB at most.
 BYTES_A_COUNTER, SMALLEST, LARGEST = 32, 20, 28
-#: Counters of one row of the table, and words that are counted together in a task.
-SLICE, WORDS = 1 << 16, 1 << 21
+#: Counters of one row of the table; words that are counted together in a task, and different
+#: windows that it holds before it passes them on.
+SLICE, WORDS, HELD = 1 << 16, 1 << 19, 1 << 19
 
 _bytes = np.arange(256)
 _BREAK = np.isin(_bytes, list(b".,;:!?\n\x0b\x0c\r"))
@@ -62,15 +64,44 @@ def _by_language(langs: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np
     return numbers, own[numbers]
 
 
-def _slots(h: np.ndarray, joined: np.ndarray, language: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counter of every word and of every word with its successor (only meant where joined)."""
-    shift = np.uint64(64 - bits)
-    after = np.roll(h, -1)
-    return (tokens.mix(h ^ language) >> shift).astype(np.uint32), (tokens.mix(h * _STEP + after + language) >> shift).astype(np.uint32)
+def _ahead(a: np.ndarray, by: int = 1) -> np.ndarray:
+    """The value ``by`` words later; nothing (0, False) past the end."""
+    out = np.zeros_like(a)
+    out[: len(a) - by] = a[by:]
+    return out
 
 
-def _count_slots(bits: int, least: int):
-    """Counters of a task's words and pairs, sparse, a row per slice of the table; no count above ``least`` is needed."""
+def _grams(block: tokens.Block, joined: np.ndarray, language: np.ndarray, tables: list[tuple[np.ndarray, int]], longest: int):
+    """(length, hash, possible) of the phrase of each length that starts at each word.
+
+    A phrase is possible within its piece, where ``tables`` (those known so far) count it
+    often enough, and where the phrases of all its parts are possible.
+    """
+    h = block.hash
+    key = tokens.mix(h ^ language)
+    possible = np.ones(len(h), bool)
+    for size in range(1, longest + 1):
+        if size > 1:
+            key = tokens.mix(key * _STEP + _ahead(h, size - 1))
+            possible = possible & _ahead(possible)
+        if size == 2:
+            possible &= joined
+        table = _table_of(size)
+        if table < len(tables):
+            bits, power = tables[table]
+            at = np.flatnonzero(possible)
+            slot = key[at] >> np.uint64(64 - power)
+            possible[at] = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
+        yield size, key, possible
+
+
+def _table_of(size: int) -> int:
+    """Words and pairs are counted first, longer phrases of frequent pairs in a second pass."""
+    return 0 if size <= 2 else 1
+
+
+def _count_slots(power: int, least: int, longest: int, known: list[tuple[Broadcast, int]]):
+    """Counters of a task's phrases, sparse, a row per slice of the table; no count above ``least`` is needed."""
     kind = np.uint8 if least <= 255 else np.uint32
 
     def rows_of(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -94,15 +125,17 @@ def _count_slots(bits: int, least: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         n = 0
+        tables = [(t.value, p) for t, p in known]
         for block, joined, langs in _pieces(batches):
             _, language = _by_language(langs, {})
-            words, pairs = _slots(block.hash, joined, language[block.doc], bits)
-            parts += [words, pairs[joined]]
-            n += len(words)
-            if n >= WORDS:
+            for size, key, possible in _grams(block, joined, language[block.doc], tables, longest):
+                if _table_of(size) == len(tables):
+                    parts.append((key[possible] >> np.uint64(64 - power)).astype(np.uint32))
+                    n += len(parts[-1])
+            if n >= 2 * WORDS:
                 yield rows_of(parts)
                 parts, n = [], 0
-        if parts:
+        if n:
             yield rows_of(parts)
 
     return count
@@ -128,76 +161,95 @@ def _sum_slots(least: int):
     return add
 
 
-def _frequent(texts: DataFrame, least: int) -> tuple[Broadcast, int]:
-    """Bit map of the counters that reach ``least``, on every executor, and the power of two of its size."""
+def _frequent(texts: DataFrame, least: int, longest: int) -> list[tuple[Broadcast, int]]:
+    """Bit maps of the counters that reach ``least``, on every executor, each with its power of two."""
+    spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(LARGEST, max(SMALLEST, int(size // BYTES_A_COUNTER).bit_length()))
-    counted = texts.mapInArrow(_count_slots(bits, least), "slice int, slots binary, counts binary")
-    rows = counted.repartition("slice").mapInArrow(_sum_slots(least), "slice int, bits binary").collect()
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:  # at most 2 ** LARGEST / 8 bytes in all
-        table[r.slice * SLICE // 8 : (r.slice + 1) * SLICE // 8] = np.frombuffer(r.bits, np.uint8)
-    return texts.sparkSession.sparkContext.broadcast(table), bits
-
-
-def _count_windows(table: Broadcast, bits: int, longest: int):
-    def rows_of(blocks: list, seen: dict[str, int]) -> pa.RecordBatch:
-        data = b"".join(b.data for b, *_ in blocks)
-        base = np.cumsum([0] + [len(b.data) for b, *_ in blocks])
-        start = np.concatenate([b.start + at for (b, *_), at in zip(blocks, base)])
-        end = np.concatenate([b.end + at for (b, *_), at in zip(blocks, base)])
-        h = np.concatenate([b.hash for b, *_ in blocks])
-        reach = np.concatenate([r for _, r, *_ in blocks])
-        number = np.concatenate([k for *_, k, _ in blocks])
-        language = np.concatenate([x for *_, x in blocks])
-        n = len(h)
-        key = language.copy()
+    power = min(LARGEST, max(SMALLEST, int(size // BYTES_A_COUNTER).bit_length()))
+    known: list[tuple[Broadcast, int]] = []
+    for _ in range(_table_of(longest) + 1):
+        counted = texts.mapInArrow(_count_slots(power, least, longest, known), "slice int, slots binary, counts binary")
+        rows = counted.repartition("slice").mapInArrow(_sum_slots(least), "slice int, bits binary").collect()
+        table = np.zeros((1 << power) // 8, np.uint8)
+        for r in rows:  # at most 2 ** LARGEST / 8 bytes in all
+            table[r.slice * SLICE // 8 : (r.slice + 1) * SLICE // 8] = np.frombuffer(r.bits, np.uint8)
+        known = [*known, (spark.sparkContext.broadcast(table), power)]
+    return known
+
+
+class _Windows:
+    """Windows of a task, counted once each: hashes of their words, and each different word."""
+
+    def __init__(self, longest: int):
+        self.key = np.zeros(0, np.uint64)
+        self.count = np.zeros(0, np.int64)
+        self.lang = np.zeros(0, np.int64)
+        self.words = np.zeros((0, longest), np.uint64)
+        self.size = np.zeros(0, np.int64)
+        self.known = np.zeros(0, np.uint64)
+        self.text: dict[int, str] = {}
+
+    def add(self, held: list) -> None:
+        data, start, end, h, reach, lang, key = zip(*held)
+        base = np.cumsum([0] + [len(d) for d in data])
+        data = b"".join(data)
+        start = np.concatenate([s + at for s, at in zip(start, base)])
+        end = np.concatenate([e + at for e, at in zip(end, base)])
+        h, reach, lang, key = (np.concatenate(x) for x in (h, reach, lang, key))
+        longest = self.words.shape[1]
         for j in range(longest):
-            here = np.zeros(n, np.uint64)
-            here[: n - j] = h[j:]
-            key = tokens.mix(key * _STEP + np.where(reach > j, here, _FIRST))
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        reach, number = reach[first], number[first]
-        # each different word of these windows is decoded once
+            key = tokens.mix(key * _STEP + np.where(reach > j, _ahead(h, j), _FIRST))
+        key, first, count = np.unique(key, return_index=True, return_counts=True)
         at = first[:, None] + np.arange(longest)
-        inside = np.arange(longest) < reach[:, None]
-        _, own, index = np.unique(h[at[inside]], return_index=True, return_inverse=True)
-        own = at[inside][own]
-        vocabulary = pa.array([data[a:b].decode() for a, b in zip(start[own].tolist(), end[own].tolist())], pa.string())
-        place = np.zeros(inside.shape, np.int64)
-        place[inside] = index
-        words = [vocabulary.take(pa.array(place[:, j], mask=~inside[:, j])) for j in range(longest)]
-        lang = pa.array(list(seen), pa.string()).take(pa.array(number))
-        return pa.RecordBatch.from_arrays([lang, *words, pa.array(counts.astype(np.int64))], ["lang", *_columns(longest), "n"])
-
+        inside = np.arange(longest) < reach[first][:, None]
+        words = np.where(inside, h[np.minimum(at, len(h) - 1)], 0)
+        used, own = np.unique(h[at[inside]], return_index=True)
+        new = ~np.isin(used, self.known, assume_unique=True)
+        place = at[inside][own[new]]
+        self.text.update(zip(used[new].tolist(), [data[a:b].decode() for a, b in zip(start[place].tolist(), end[place].tolist())]))
+        self.known = np.union1d(self.known, used)
+        key, count = np.r_[self.key, key], np.r_[self.count, count]
+        self.key, pick, same = np.unique(key, return_index=True, return_inverse=True)
+        self.count = np.zeros(len(self.key), np.int64)
+        np.add.at(self.count, same, count)
+        self.lang = np.r_[self.lang, lang[first]][pick]
+        self.size = np.r_[self.size, reach[first]][pick]
+        self.words = np.r_[self.words, words][pick]
+
+    def rows(self, langs: list[str]) -> Iterator[pa.RecordBatch]:
+        longest = self.words.shape[1]
+        vocabulary = pa.array([self.text[w] for w in self.known.tolist()], pa.string())
+        names = pa.array(langs, pa.string())
+        for a in range(0, len(self.key), 1 << 15):
+            cut = slice(a, a + (1 << 15))
+            place = np.searchsorted(self.known, self.words[cut])
+            columns = [vocabulary.take(pa.array(place[:, j], mask=self.size[cut] <= j)) for j in range(longest)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(self.lang[cut])), *columns, pa.array(self.count[cut])], ["lang", *_columns(longest), "n"])
+
+
+def _count_windows(known: list[tuple[Broadcast, int]], longest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
+        windows = _Windows(longest)
         held: list = []
         n = 0
-        frequent = table.value
-        bit = lambda slot: (frequent[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+        tables = [(t.value, p) for t, p in known]
         for block, joined, langs in _pieces(batches):
             number, language = _by_language(langs, seen)
             number, language = number[block.doc], language[block.doc]
-            words, pairs = _slots(block.hash, joined, language, bits)
-            known = bit(words)
-            goes_on = joined & known & np.roll(known, -1)
-            goes_on[goes_on] = bit(pairs[goes_on])
-            # words of a window: 0 for a rare first word, up to the first rare pair otherwise
-            reach = known.astype(np.int64)
-            more = goes_on
-            for j in range(1, longest):
-                reach += more
-                ahead = np.zeros(len(more), bool)
-                ahead[:-j] = goes_on[j:]
-                more = more & ahead
-            held.append((block, reach, number, language))
-            n += len(words)
+            # words of a window: up to the first that no frequent phrase can reach, 0 for a rare first word
+            reach = sum(possible.astype(np.int64) for _, _, possible in _grams(block, joined, language, tables, longest))
+            held.append((block.data, block.start, block.end, block.hash, reach, number, language))
+            n += len(reach)
             if n >= WORDS:
-                yield rows_of(held, seen)
+                windows.add(held)
                 held, n = [], 0
+                if len(windows.key) >= HELD:
+                    yield from windows.rows(list(seen))
+                    windows = _Windows(longest)
         if held:
-            yield rows_of(held, seen)
+            windows.add(held)
+        yield from windows.rows(list(seen))
 
     return count
 
@@ -215,10 +267,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
         F.coalesce(F.col("lang").cast("string"), F.lit(UNDETERMINED)).alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    table, bits = _frequent(texts, least)
+    known = _frequent(texts, least, longest)
     columns = _columns(longest)
     schema = "lang string, " + ", ".join(f"{c} string" for c in columns) + ", n long"
-    windows = texts.mapInArrow(_count_windows(table, bits, longest), schema)
+    windows = texts.mapInArrow(_count_windows(known, longest), schema)
     summed = windows.rollup("lang", *columns).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
     # a prefix of k words leaves out longest - k columns; a padded one repeats a shorter prefix
     words = F.filter(F.array(*columns), lambda w: w.isNotNull())

@@ -57,11 +57,11 @@ def test_counters_that_overflow_their_table_change_nothing(spark, monkeypatch):
     rows = [*texts(4, 250)]
     docs = spark.createDataFrame(rows, "lang string, text string")
     expected = by_hand(rows, 5, 5, 2000)
-    for name, value in (("SMALLEST", 16), ("LARGEST", 16), ("SLICE", 1 << 10), ("WORDS", 50)):
+    for name, value in (("SMALLEST", 16), ("LARGEST", 16), ("SLICE", 1 << 10), ("WORDS", 50), ("HELD", 200)):
         monkeypatch.setattr(collocations, name, value)
     assert sorted(tuple(r) for r in collocations.collocations(docs, 5).collect()) == expected
     full = spark.sparkContext.broadcast(np.full(1 << 13, 255, np.uint8))
-    monkeypatch.setattr(collocations, "_frequent", lambda texts, least: (full, 16))
+    monkeypatch.setattr(collocations, "_frequent", lambda texts, least, longest: [(full, 16)] * 2)
     assert sorted(tuple(r) for r in collocations.collocations(docs, 5).collect()) == expected
 
 
