@@ -11,6 +11,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.session import scratch_path
 
 GIVEN = (
     "region nation customer supplier part orders lineitem events documents "
@@ -265,6 +268,22 @@ class Tables:
         inner = set(re.findall(r"\{(\w+)\}", FIXTURES[name]))
         return self.spark.sql(spark_text(name), **{table: self.stream(table) for table in inner})
 
+    def stream_in_parts(self, name: str, by: str, parts: int, path: str | None = None, only: range | None = None) -> DataFrame:
+        """The same table as a stream of micro-batches: written in ``parts`` ranges of a column, read in that order.
+
+        ``only`` writes some of the ranges to ``path``; a later call adds others.
+        """
+        df, path = self(name), path or scratch_path(self.spark, name)
+        cuts = df.approxQuantile(by, [k / parts for k in range(1, parts)], 0.001)
+        for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+            if only is not None and k not in only:
+                continue
+            part = df if low is None else df.where(F.col(by) > low)
+            part = part if high is None else part.where(F.col(by) <= high)
+            part.coalesce(1).write.parquet(f"{path}/{k:03d}")
+        reader = self.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        return reader.parquet(path)
+
     def __call__(self, name: str) -> DataFrame:
         if name in GIVEN:
             return self.spark.read.parquet(self.path(name))

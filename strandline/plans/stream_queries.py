@@ -11,8 +11,8 @@ from strandline.plans.fixtures import NOW_S
 from strandline.plans.join_queries import last_positions
 from strandline.plans.registry import query
 from strandline.session import block_of, scratch_path
-from strandline.streaming import alerts, catalog_log, journal, positions, records
-from strandline.streaming.tables import StateTable, appended, fold_stream, keyed_result, per_batch
+from strandline.streaming import alerts, catalog_log, journal, positions, records, stateful
+from strandline.streaming.tables import StateTable, appended, fold_stream, keyed_result, per_batch, resumable
 
 DAY = 86_400
 
@@ -95,6 +95,25 @@ def apply_plan(t):
     return first_per_key(every, ["job_id", "file"], [F.desc("txid")])
 
 
+@query("T05_resumed_plan", f"WITH {_plan_sql()} SELECT * FROM p")
+def resumed_plan(t):
+    files, path = scratch_path(t.spark, "journal"), scratch_path(t.spark, "resumed")
+    for part in (range(2), range(2, 4)):  # the second run finds the position of the first
+        events = t.stream_in_parts("fs_journal", "txid", 4, files, part)
+        plan = resumable(events, path, lambda batch: journal.journal_to_plan(batch, t.stream_jobs), high="txid")
+    return plan.drop("epoch")
+
+
+@query("T06_resumed_positions", f"WITH {_plan_sql()} SELECT job_id, max(txid) AS txid FROM p GROUP BY job_id")
+def resumed_positions(t):
+    files, path = scratch_path(t.spark, "journal"), scratch_path(t.spark, "resumed")
+    for part in (range(2), range(2, 4)):
+        plan = journal.journal_to_plan(t.stream_in_parts("fs_journal", "txid", 4, files, part), t.stream_jobs).select("job_id", "txid")
+        table = StateTable(t.spark, plan.schema, path)
+        moved = fold_stream(plan, table, lambda state, batch, _: journal.advance(state, journal.batch_progress(batch)))
+    return moved
+
+
 @query("T06_positions", f"WITH {_plan_sql()} SELECT job_id, max(txid) AS txid FROM p GROUP BY job_id")
 def plan_positions(t):
     plan = journal.journal_to_plan(t.stream("fs_journal"), t.stream_jobs).select("job_id", "txid")
@@ -253,6 +272,24 @@ def sustained(t):
     return out.select("agent", "seq", "since_s")
 
 
+#: How late a row may be, in seconds; what lies past the last watermark is still open.
+LATE = 3600
+
+
+@query(
+    "T16_sustained_stream",
+    f"""WITH u AS (SELECT max(ts_s) - {LATE} AS upto FROM samples),
+        s AS (SELECT agent, seq, ts_s, lag_ms > 20 AS c, lag(lag_ms > 20) OVER (PARTITION BY agent ORDER BY ts_s, seq) AS w,
+                min(CASE WHEN NOT lag_ms > 20 THEN ts_s END) OVER (PARTITION BY agent ORDER BY ts_s, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS broken
+              FROM samples, u WHERE ts_s <= upto)
+        SELECT agent, ts_s AS since_s, ts_s + 40000 AS fired_s FROM s, u WHERE c AND NOT coalesce(w, false) AND ts_s + 40000 <= upto AND coalesce(broken > ts_s + 40000, true)""",
+)
+def sustained_stream(t):
+    rows = t.stream_in_parts("samples", "ts_s", 4)
+    out = stateful.sustained_stream(rows, ["agent"], F.col("seq"), F.col("ts_s"), F.col("lag_ms") > 20, 40_000, f"{LATE} seconds")
+    return appended(out, "sustained")
+
+
 @query(
     "T17_starvation",
     """WITH w AS (SELECT CAST(floor(ts_s / 300) * 300 AS BIGINT) AS window_start_s, count(*) FILTER (WHERE kind = 'view' AND value > 60) AS workers, count(*) FILTER (WHERE kind <> 'view') AS queued FROM samples GROUP BY 1)
@@ -273,6 +310,19 @@ def liveness(t):
     return alerts.liveness(seen, NOW_S, 7200, 21_600, 172_800)
 
 
+@query(
+    "T18_liveness_stream",
+    f"""WITH u AS (SELECT max(ts_s) - {LATE} AS upto FROM samples), s AS (SELECT DISTINCT agent, ts_s FROM samples, u WHERE ts_s <= upto),
+        l AS (SELECT *, lag(ts_s) OVER (PARTITION BY agent ORDER BY ts_s) AS p, lead(ts_s) OVER (PARTITION BY agent ORDER BY ts_s) AS n FROM s),
+        x(seconds, status) AS (VALUES (7200, 'SUSPECT'), (21600, 'OFFLINE'), (172800, 'EVICTED'))
+        SELECT agent, ts_s AS at_s, 'ONLINE' AS status FROM l WHERE p IS NULL OR ts_s - p > 7200
+        UNION ALL SELECT agent, ts_s + seconds, status FROM l, x, u WHERE ts_s + seconds < coalesce(n, upto + 1)""",
+)
+def liveness_stream(t):
+    rows = t.stream_in_parts("samples", "ts_s", 4)
+    return appended(stateful.liveness_stream(rows, "agent", F.col("ts_s"), f"{LATE} seconds", 7200, 21_600, 172_800), "alive")
+
+
 @query(
     "T19_idle_sessions",
     f"WITH s AS (SELECT agent, max(ts_s) AS seen_s FROM samples GROUP BY agent) SELECT agent, seen_s FROM s WHERE seen_s < {NOW_S} - 43200",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,18 +49,88 @@ class StateTable:
     def after(self, epoch: int) -> DataFrame:
         return self.before(epoch + 1)
 
+    def commit(self, epoch: int) -> None:
+        """Record that the state of a micro-batch is complete."""
+        commit_epoch(self.spark, self.path, epoch)
+
+    def latest(self) -> DataFrame:
+        """State after the last complete micro-batch, of whichever run."""
+        last = last_commit(self.spark, self.path)
+        return self.after(-1 if last is None else last)
+
 
 def fold_stream(stream: DataFrame, table: StateTable, fold: Callable[[DataFrame, DataFrame, int], DataFrame], *,
                 mode: str = "append") -> DataFrame:
-    """Apply ``fold(state, batch, epoch) -> state`` to every micro-batch; the state at the end."""
-    last = {"epoch": -1}
+    """Apply ``fold(state, batch, epoch) -> state`` to every micro-batch; the state at the end.
+
+    A call with the path of an earlier one goes on after its last complete micro-batch.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
         table.write(epoch, fold(table.before(epoch), batch, epoch))
-        last["epoch"] = epoch
+        table.commit(epoch)
 
     drain(stream.writeStream.outputMode(mode).foreachBatch(step), table.path)
-    return table.after(last["epoch"])
+    return table.latest()
+
+
+COMMIT_SCHEMA = T.StructType([T.StructField("rows", T.LongType()), T.StructField("high", T.LongType()), T.StructField("epoch", T.LongType())])
+
+
+def commit_epoch(spark: SparkSession, path: str, epoch: int, rows: int | None = None, high: int | None = None) -> None:
+    """One record per micro-batch, written after everything else of it; written again if the batch is run again."""
+    record = spark.createDataFrame([(rows, high)], T.StructType(COMMIT_SCHEMA.fields[:2]))
+    record.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/epoch={epoch}")
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """Commit records (rows, high, epoch) below a path; none before the first."""
+    try:
+        return spark.read.schema(COMMIT_SCHEMA).parquet(f"{path}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT_SCHEMA)
+
+
+def last_commit(spark: SparkSession, path: str) -> int | None:
+    return commits(spark, path).agg(F.max("epoch")).first()[0]
+
+
+def committed_position(spark: SparkSession, path: str) -> int | None:
+    """Greatest ``high`` of the complete micro-batches: where a reader outside of the stream goes on."""
+    return commits(spark, path).agg(F.max("high")).first()[0]
+
+
+def resumable(
+    stream: DataFrame, path: str, fn: Callable[[DataFrame], DataFrame] | None = None, *, high: str | None = None, mode: str = "append"
+) -> DataFrame:
+    """Rows of ``fn(batch)`` of all micro-batches under a named path, with their ``epoch``.
+
+    Offsets, rows and commit records live below ``path``. A call with the same path goes
+    on where the last one ended, or failed: a batch that was cut off is run again and
+    replaces its rows, and only rows of complete batches are read. ``high`` names a
+    column whose greatest value goes into the commit record.
+    """
+    spark = stream.sparkSession
+    empty = spark.createDataFrame([], stream.schema)
+    schema = (empty if fn is None else fn(empty)).schema
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        append_once(batch if fn is None else fn(batch), epoch, path)
+        written = spark.read.schema(schema).parquet(f"{path}/rows/epoch={epoch}")
+        top = F.max(high).cast("long") if high else F.lit(None).cast("long")
+        commit_epoch(spark, path, epoch, *written.agg(F.count(F.lit(1)), top).first())
+
+    drain(stream.writeStream.outputMode(mode).foreachBatch(step), path)
+    return committed_rows(spark, schema, path)
+
+
+def committed_rows(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """Rows of the complete micro-batches below a path, with their ``epoch``."""
+    if last_commit(spark, path) is None:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("epoch", T.LongType())]))
+    return batch_rows(spark, schema, path).join(commits(spark, path).select("epoch"), "epoch", "left_semi")
 
 
 def append_once(df: DataFrame, epoch: int, path: str) -> None:
