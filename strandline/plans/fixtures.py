@@ -235,6 +235,25 @@ FIXTURES: dict[str, str] = {
 }
 
 
+def _write_files(batches):
+    import pyarrow as pa
+
+    from strandline.sources.stores import open_store
+
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            system, where = open_store(path)
+            system.create_dir(where.rsplit("/", 1)[0])
+            with system.open_output_stream(where, compression=None) as out:
+                out.write(content)
+        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+
+def written_files(contents: DataFrame) -> int:
+    """Write (path, content) rows as files of their own; how many there were."""
+    return contents.select("path", "content").mapInArrow(_write_files, "path string").count()
+
+
 def spark_text(name: str) -> str:
     return re.sub(
         r"epoch_us\(",

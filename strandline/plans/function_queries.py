@@ -8,6 +8,7 @@ from strandline.functions import display, events, names, paths, statements, wire
 from strandline.operators.joins import map_schema_ids, parse_mappings, rewrite_location
 from strandline.plans.filter_queries import with_headers
 from strandline.plans.fixtures import NOW_S, ORDERS_NOW_S
+from strandline.plans.fixtures import written_files
 from strandline.plans.registry import query
 
 MAPPINGS = "blog.tionsh.example.net=dr1.lake;m.ththth.example.net->hdfs://dr2:8020/, www.ththhe.example.com = dr3"
@@ -318,19 +319,6 @@ def query_operations(t):
     return t.statements.select("id", F.array_join(statements.query_operations(F.col("sql_text")), ",").alias("ops"))
 
 
-def _write_files(batches):
-    import pyarrow as pa
-    from pyarrow import fs
-
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            system, where = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-            system.create_dir(where.rsplit("/", 1)[0])
-            with system.open_output_stream(where) as out:
-                out.write(content)
-        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
-
-
 @query(
     "P24_verify_checksums",
     """SELECT d.doc_id, l.quality IS NULL OR l.quality = 1 AS matches FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
@@ -346,7 +334,7 @@ def verify_checksums(t):
         path.alias("path"), F.upper(F.sha2("text", 256)).alias("checksum"),
         F.when(good, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("content"),
     )
-    found.select("path", F.encode("content", "UTF-8").alias("content")).mapInArrow(_write_files, "path string").count()
+    written_files(found.select("path", F.encode("content", "UTF-8").alias("content")))
     verdicts = verify_checksums(t.spark, root, found.select("path", "checksum"))
     return verdicts.select(F.regexp_extract("path", "_?([0-9]+)$", 1).cast("long").alias("doc_id"), "matches")
 

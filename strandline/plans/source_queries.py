@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators.packing import plan_bundles
+from strandline.plans.fixtures import written_files
 from strandline.plans.registry import query
 from strandline.session import scratch_path
 from strandline.sources import files, sinks
@@ -32,7 +33,9 @@ def preview_columnar(t):
 
 @query(
     "S02_parquet_file_stats",
-    "SELECT l_returnflag AS folder, count(*) AS rows, true AS has_columns FROM lineitem GROUP BY l_returnflag",
+    """SELECT l_returnflag AS folder, count(*) AS rows, true AS one_group_each, true AS has_bytes,
+         'l_orderkey:INT64,l_partkey:INT64,l_suppkey:INT64,l_linenumber:INT32,l_quantity:DOUBLE,l_extendedprice:DOUBLE,l_discount:DOUBLE,l_tax:DOUBLE,l_linestatus:BYTE_ARRAY,l_shipdate:INT64' AS columns
+       FROM lineitem GROUP BY l_returnflag""",
 )
 def parquet_file_stats(t):
     root = scratch_path(t.spark, "stats")
@@ -40,8 +43,9 @@ def parquet_file_stats(t):
     stats = files.parquet_file_stats(files.parquet_files(t.spark, root))
     folder = F.regexp_extract("path", "l_returnflag=([^/]+)", 1)
     return stats.groupBy(folder.alias("folder")).agg(
-        F.sum("rows").alias("rows"), F.min(F.col("columns").contains("l_orderkey:INT64")).alias("has_columns")
-    )
+        F.sum("rows").alias("rows"), (F.sum("row_groups") == F.count("path")).alias("one_group_each"),
+        (F.min("size") > 0).alias("has_bytes"), F.max("columns").alias("columns"),
+    )
 
 
 @query(
@@ -83,6 +87,21 @@ def preview_text(t):
     )
 
 
+@query(
+    "S05_preview_text_cut",
+    """WITH f AS (SELECT item_id, 'x' || repeat('é', 1 + item_id % 7) || replace(text, chr(10), ' ') AS t FROM benchmark)
+       SELECT item_id, CAST(octet_length(encode(t)) AS BIGINT) AS length, true AS truncated,
+         substr(t, 1, list_max(list_filter(range(1, 9), lambda n: octet_length(encode(substr(t, 1, n))) <= 8))) AS text FROM f""",
+)
+def preview_text_cut(t):
+    root = scratch_path(t.spark, "texts")
+    text = F.concat(F.lit("x"), F.expr("repeat('é', CAST(1 + item_id % 7 AS INT))"), F.translate("text", "\n", " "))
+    path = F.concat(F.lit(f"{root}/"), "item_id", F.lit(".txt"))
+    written_files(t.benchmark.select(path.alias("path"), F.encode(text, "UTF-8").alias("content")))
+    shown = files.preview_text(t.spark, root, 8)
+    return shown.select(F.regexp_extract("path", "([0-9]+).txt$", 1).cast("long").alias("item_id"), "length", "truncated", "text")
+
+
 @query(
     "S06_file_type",
     r"""WITH e AS (SELECT doc_id, path, lower(regexp_extract(path, '\.([^./]+)$', 1)) AS extension FROM paths)
@@ -108,6 +127,17 @@ def scan_manifest(t):
     )
 
 
+@query(
+    "S07_manifest_sizes",
+    "SELECT 'd' || (page_id % 50) || '/_' || page_id || '.html' AS rel_path, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages",
+)
+def manifest_sizes(t):
+    root = scratch_path(t.spark, "pages")
+    path = F.concat(F.lit(f"{root}/d"), F.col("page_id") % 50, F.lit("/_"), "page_id", F.lit(".html"))
+    written_files(t.pages.select(path.alias("path"), F.encode("html", "UTF-8").alias("content")))
+    return files.scan_manifest(t.spark, root).select("rel_path", "size")
+
+
 @query("S07_list_tree", "SELECT DISTINCT source || '/' || lang AS folder, true AS has_files FROM documents UNION ALL SELECT '_SUCCESS' AS folder, false AS has_files")
 def list_tree(t):
     root = scratch_path(t.spark, "tree")

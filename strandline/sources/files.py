@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 from collections.abc import Iterator
 
@@ -14,9 +15,13 @@ from strandline.functions import paths
 from strandline.functions.display import fmt_size
 from strandline.operators.windows import limit_with_flag
 from strandline.session import scratch_root
+from strandline.sources import stores
+from strandline.sources.stores import child, open_store
 
 # Rows shown by a preview.
 PREVIEW_ROWS = 100
+#: Folders listed and files opened by one task, where there are many.
+FOLDERS_A_TASK, FILES_A_TASK = 256, 512
 
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -56,13 +61,36 @@ def preview_delimited(spark: SparkSession, path: str, sep: str | None = None, ma
     return preview(read_delimited(spark, path, sep), max_rows)
 
 
+_TEXT = "path string, length long, text string, truncated boolean"
+
+
+def _read_starts(max_bytes: int):
+    """The first bytes of each file of (path, length); a character that is cut is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(*(c.to_pylist() for c in batch.columns)):
+                system, where = open_store(path)
+                with system.open_input_file(where) as source:
+                    start = source.read_at(min(max_bytes, length), 0)
+                cut = length > max_bytes
+                text = codecs.getincrementaldecoder("utf-8")("replace").decode(start, final=not cut)
+                columns = [pa.array([v], t) for v, t in ((path, pa.string()), (length, pa.int64()), (text, pa.string()), (cut, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "length", "text", "truncated"])
+
+    return run
+
+
 def preview_text(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
-    """Start of each text file in UTF-8 with its size and whether it was cut."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        "path", "length", F.decode(F.substring("content", 1, max_bytes), "UTF-8").alias("text"),
-        (F.col("length") > max_bytes).alias("truncated"),
-    )
+    """Start of each text file in UTF-8 with its size and whether it was cut.
+
+    No more than ``max_bytes`` of a file are read. Files whose name begins with ``_`` or
+    ``.`` are left out.
+    """
+    files = list_tree(spark, path)
+    files = files.filter(~F.substring_index("rel_path", "/", -1).rlike("^[_.]")).select(F.col("full_path").alias("path"), F.col("size").alias("length"))
+    dealt = stores.dealt_by_number(files, "path", files.count(), FILES_A_TASK)
+    return dealt.mapInArrow(_read_starts(max_bytes), _TEXT)
 
 
 def orc_text(df: DataFrame) -> DataFrame:
@@ -102,13 +130,15 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for folder in batch["path"]:
-            system, where = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-            listed = system.get_file_info(fs.FileSelector(where))
+            system, where = open_store(folder)
+            info = system.get_file_info(where)
+            single = info.type == fs.FileType.File
+            listed = [info] if single else system.get_file_info(fs.FileSelector(where))
             for at in range(0, len(listed), 10_000):
                 found = listed[at : at + 10_000]
                 yield pd.DataFrame(
                     {
-                        "path": [i.path for i in found],
+                        "path": [folder if single else child(folder, i.base_name) for i in found],
                         "is_dir": [i.type == fs.FileType.Directory for i in found],
                         "length": [int(i.size or 0) for i in found],
                         "mtime_s": [int(i.mtime.timestamp()) if i.mtime else 0 for i in found],
@@ -117,27 +147,28 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a root, level by level, with marker and table-log files.
+    """Files below a root (or the root itself, if it is one), level by level, with marker and table-log files.
 
-    One Spark job per level of the tree lists all folders of that level in
-    parallel; ignored folders are not entered.  Each level is checkpointed, so
-    no folder is listed twice.
+    One Spark job per level of the tree lists all folders of that level, a given number of
+    folders a task; ignored folders are not entered.  Each level is checkpointed, so
+    no folder is listed twice.  Paths are URIs where the root is one.
     """
     scratch_root(spark)
-    frontier = spark.createDataFrame([(root,)], "path string")
+    base = stores.canonical(root)
+    frontier, folders = spark.createDataFrame([(base,)], "path string"), 1
     levels: list[DataFrame] = []
-    while True:
-        found = frontier.repartition("path").mapInPandas(_list_folders, _LISTING).checkpoint()
+    while folders:
+        dealt = stores.dealt_by_number(frontier, "path", folders, FOLDERS_A_TASK)
+        found = dealt.mapInPandas(_list_folders, _LISTING).checkpoint()
         levels.append(found.filter(~F.col("is_dir")))
         name = F.substring_index("path", "/", -1)
         frontier = found.filter(F.col("is_dir") & ~paths.ignored_folder(name)).select("path")
-        if frontier.isEmpty():
-            break
+        folders = frontier.count()
     files = levels[0]
     for level in levels[1:]:
         files = files.unionByName(level)
-    base = paths.path_of(F.lit(root.removeprefix("file://").removeprefix("file:")))
-    rel = F.regexp_replace(F.substring("path", F.length(base) + 1, F.length("path")), "^/", "")
+    below = F.substring("path", F.lit(len(base.rstrip("/")) + 2), F.length("path"))
+    rel = F.when(F.col("path") == base, F.substring_index("path", "/", -1)).otherwise(below)
     return files.select(
         rel.alias("rel_path"), F.col("path").alias("full_path"), F.col("length").alias("size"), "mtime_s"
     ).filter(~paths.is_ignored_path(F.col("rel_path")))
@@ -148,17 +179,16 @@ _FOOTER = "path string, rows long, row_groups long, columns string, size long"
 
 def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
     for batch in batches:
         for path in batch["path"]:
-            uri = path.replace("file:/", "file:///") if path.startswith("file:/") and "file:///" not in path else path
-            system, where = fs.FileSystem.from_uri(uri if ":/" in uri else "file://" + uri)
+            system, where = open_store(path)
             with system.open_input_file(where) as source:
                 meta = pq.ParquetFile(source).metadata
+                size = source.size()
             kinds = [f"{meta.schema.column(i).path}:{meta.schema.column(i).physical_type}" for i in range(meta.num_columns)]
             yield pd.DataFrame(
-                [[path, meta.num_rows, meta.num_row_groups, ",".join(kinds), system.get_file_info(where).size]],
+                [[path, meta.num_rows, meta.num_row_groups, ",".join(kinds), size]],
                 columns=["path", "rows", "row_groups", "columns", "size"],
             )
 
@@ -166,15 +196,16 @@ def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parquet_file_stats(files: DataFrame) -> DataFrame:
     """Rows, row groups, physical column types and bytes of each Parquet file of a ``path`` list.
 
-    Only footers are read, each in the task its path falls to.
+    Only footers are read, those of a given number of files by a task.
     """
-    return files.select("path").repartition("path").mapInPandas(_footers, _FOOTER)
+    listed = files.select("path")
+    return stores.dealt_by_number(listed, "path", listed.count(), FILES_A_TASK).mapInPandas(_footers, _FOOTER)
 
 
-def parquet_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """Paths of the Parquet files below a root, from the listing alone."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.load(root).select("path")
+def parquet_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> DataFrame:
+    """Paths of the Parquet files below a root, from the listing alone; names with ``_`` or ``.`` in front are no data."""
+    name = F.substring_index("rel_path", "/", -1)
+    return list_tree(spark, root).filter(name.endswith(suffix) & ~name.rlike("^[_.]")).select(F.col("full_path").alias("path"))
 
 
 def check_content(content: DataFrame, declared: DataFrame, key: str) -> DataFrame:
@@ -188,42 +219,23 @@ def check_content(content: DataFrame, declared: DataFrame, key: str) -> DataFram
 HASH_CHUNK = 1 << 20
 
 
-def _system_of(path: str):
-    """The Arrow file system of a path or URI and the path on it."""
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file, read in pieces; null if there is no such file."""
     from pyarrow import fs
 
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
-def _place_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        places = [None if p is None else _system_of(p)[1] for p in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.string())], names=["path", "checksum", "place"])
-
-
-def _hash_files(root: str):
-    """SHA-256 of each file, read in pieces; null if there is no such file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system = _system_of(root)[0]
-        for batch in batches:
-            digests = []
-            for place in batch.column(0).to_pylist():
-                if system.get_file_info(place).type != fs.FileType.File:
-                    digests.append(None)
-                    continue
-                digest = hashlib.sha256()
-                with system.open_input_stream(place) as source:
-                    while piece := source.read(HASH_CHUNK):
-                        digest.update(piece)
-                digests.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["place", "actual"])
-
-    return run
+        digests = []
+        for place in batch.column(0).to_pylist():
+            system, where = open_store(place)
+            if system.get_file_info(where).type != fs.FileType.File:
+                digests.append(None)
+                continue
+            digest = hashlib.sha256()
+            with system.open_input_stream(where, compression=None) as source:
+                while piece := source.read(HASH_CHUNK):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["place", "actual"])
 
 
 def verify_checksums(spark: SparkSession, root: str, declared: DataFrame) -> DataFrame:
@@ -232,13 +244,15 @@ def verify_checksums(spark: SparkSession, root: str, declared: DataFrame) -> Dat
     Every declared row has a verdict: a file that is not there has a null digest and does not
     match. Files that the listing finds and nobody declared do not match either. Names that
     begin with ``_`` or ``.`` are checked like others; files are hashed in pieces, so
-    their size does not matter. Paths are on the file system of the root.
+    their size does not matter, and are packed into tasks by their bytes.
     """
     asked = declared.select(F.col("path").cast("string").alias("path"), F.col("checksum").cast("string").alias("checksum"))
-    asked = asked.mapInArrow(_place_paths, "path string, checksum string, place string")
-    listed = list_tree(spark, root).select(F.col("full_path").alias("place"))
-    places = listed.union(asked.select("place")).where("place IS NOT NULL").distinct()
-    hashed = places.repartition("place").mapInArrow(_hash_files(root), "place string, actual string")
+    asked = asked.withColumn("place", stores.canonical_path(F.col("path")))
+    listed = list_tree(spark, root).select(F.col("full_path").alias("place"), "size")
+    places = listed.unionByName(asked.select("place"), allowMissingColumns=True).where("place IS NOT NULL")
+    places = places.groupBy("place").agg(F.max("size").alias("size"))
+    dealt = stores.dealt_by_bytes(places, "place", "size").select("place")
+    hashed = dealt.mapInArrow(_hash_files, "place string, actual string")
     ok = F.coalesce(F.lower("checksum") == F.col("actual"), F.lit(False))
     return asked.join(hashed, "place", "full").select(F.coalesce("path", "place").alias("path"), "actual", ok.alias("matches"))
 
