@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import tokens
 from strandline.llm.near_duplicates import MAP_BITS
-from strandline.llm.tables import settled
+from strandline.llm.tables import settled, small_sides_hashed
 
 #: Counters of the hashed word counts that define rarity; 4 MB as int32 on every executor.
 #: Two words may share a counter: their order is then less sharp, but still one order.
@@ -319,6 +319,11 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
     Rows of a repeated id count as one document: their equal line numbers go together.
     Other columns are ignored.
     """
+    with small_sides_hashed(docs.sparkSession):
+        return settled(_repeated_lines(docs, share), "repeated-lines")
+
+
+def _repeated_lines(docs: DataFrame, share: float) -> DataFrame:
     num, den = round(share * 100), 100
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
@@ -429,9 +434,21 @@ def without_repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
 
     Documents stay even if every line goes; their text is then empty.
     """
-    gone = repeated_lines(docs, share).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("_gone", k)), "\n")
-    joined = docs.join(gone, "doc_id", "left")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    gone = repeated_lines(docs, share).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    given = docs.columns
+    names = [f"c{k}" for k in range(len(given))]  # whatever the columns of docs are called
+    at, key = given.index("text"), names[given.index("doc_id")]
+    joined = docs.toDF(*names).join(gone.withColumnRenamed("doc_id", "of"), F.col(key) == F.col("of"), "left").drop("of")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, removed = batch.columns
+            texts = columns[at].to_pylist()
+            for k in np.flatnonzero(removed.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                lines = set(removed[k].as_py())
+                if texts[k] is not None:
+                    texts[k] = "\n".join(line for n, line in enumerate(texts[k].split("\n")) if n not in lines)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=given)
+
+    return joined.mapInArrow(cut, docs.schema)

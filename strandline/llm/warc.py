@@ -9,12 +9,12 @@ from hashlib import sha256
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.tables import settled
 from strandline.session import scratch_path
+from strandline.sources.stores import canonical, child, dealt_by_bytes, open_store
 
 #: Bytes of one chunk row, and of one piece compressed or read at a time.
 CHUNK = 256 * 1024
@@ -91,7 +91,7 @@ def _record_head(page_id, url, digest, n_bytes, refers_to, date) -> tuple[bytes,
 
 def _pack(folder: str, date: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(folder)
+        system = open_store(folder)[0]
         path = out = None
         records = size = 0
         done = []
@@ -103,8 +103,8 @@ def _pack(folder: str, date: str, level: int):
                 html = html.cast(pa.binary())
             for k in range(batch.num_rows):
                 if out is None:
-                    path = f"{root}/pages-{uuid.uuid4().hex}.warc.gz"
-                    out, records, size = system.open_output_stream(path, compression=None), 0, 0
+                    path = child(folder, f"pages-{uuid.uuid4().hex}.warc.gz")
+                    out, records, size = system.open_output_stream(open_store(path)[1], compression=None), 0, 0
                 n, refers_to = n_bytes[k].as_py(), refers[k].as_py()
                 heads = _record_head(page[k].as_py(), url[k].as_py(), digest[k].as_py(), n, refers_to, date)
                 # one gzip member per record; the payload goes through in pieces
@@ -140,7 +140,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     runs, and the manifest, which is written once, lists the files of the tasks that
     ended; files of lost or repeated tasks are in no manifest and never read.
     """
-    system, root = pafs.FileSystem.from_uri(folder)
+    folder = canonical(folder)
+    system, root = open_store(folder)
     system.create_dir(root, recursive=True)
     return settled(deduplicated(pages).mapInArrow(_pack(folder, date, level), MANIFEST), "warc-manifest")
 
@@ -221,7 +222,7 @@ def _unpack(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, at = pafs.FileSystem.from_uri(path)
+                system, at = open_store(path)
                 held, size = [], 0
                 with system.open_input_stream(at, compression=None) as stream:
                     for row in _records(stream):
@@ -251,11 +252,11 @@ def read_chunks(manifest: DataFrame) -> DataFrame:
     A payload is streamed in pieces of at most ``CHUNK`` bytes; no record is ever held
     whole. ``digest_so_far`` is the SHA-256 of the payload up to and with the chunk, so
     the row with ``last`` has that of the whole payload, which must be what the header
-    says. An empty payload and a revisit have one row with an empty chunk. Each
-    file is one task's work; damaged files raise an error.
+    says. An empty payload and a revisit have one row with an empty chunk. Files are
+    packed into tasks by their bytes, large ones stand alone; damaged files raise an error.
     """
-    paths = manifest.select("path")
-    return paths.repartition("path").mapInArrow(_unpack(_CHUNK_SCHEMA), CHUNKS)
+    paths = dealt_by_bytes(manifest.select("path", "bytes"), "path", "bytes").select("path")
+    return paths.mapInArrow(_unpack(_CHUNK_SCHEMA), CHUNKS)
 
 
 def page_records(chunks: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def odd_docs(spark):
         (12, same, "en", "a", 13), (12, same, "en", "a", 13),
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
-    for name in ("print", "label", "component", "key", "bin", "slice", "done"):
+    for name in ("_gone", "gone", "c0", "of", "print", "label", "component", "key", "bin", "slice", "done"):
         frame = frame.withColumn(name, frame.n_chars)
     return frame
 
