@@ -215,6 +215,16 @@ FIXTURES: dict[str, str] = {
                CASE WHEN turn = 5 THEN 't' || conv_id || '_r' END AS renamed_to,
                length(text) AS payload
         FROM {conversations}""",
+    "partition_events": """
+        SELECT event_id, 't' || (user_id % 60) || CASE WHEN value > 40 THEN '_r' ELSE '' END AS table_name,
+               CASE WHEN event_type = 'signup' AND value < 30 THEN NULL ELSE 'dt=' || (event_id % 9) END AS part_name,
+               CASE event_type WHEN 'view' THEN 'ADD_PARTITION' WHEN 'click' THEN 'ALTER_PARTITION' WHEN 'error' THEN 'drop_partition'
+                    WHEN 'signup' THEN CASE WHEN value < 1 THEN 'DROP_TABLE' WHEN value < 3 OR value > 99 THEN 'ALTER_TABLE' WHEN value < 30 THEN 'CREATE_TABLE' ELSE 'INSERT' END
+                    ELSE 'INSERT' END AS event_type,
+               CASE WHEN event_type = 'signup' AND value >= 1 AND value < 3 THEN 't' || (user_id % 60) || '_r'
+                    WHEN event_type = 'signup' AND value > 99 THEN 'arch_' || (user_id % 60) END AS renamed_to,
+               CAST(length(props) AS BIGINT) AS payload
+        FROM {events}""",
     "statements": """
         SELECT event_id AS id, 'u' || user_id AS username,
                CASE event_type WHEN 'view' THEN 'SELECT * FROM lake.t' || user_id

@@ -147,6 +147,24 @@ def apply_catalog_events(t):
     return catalog_log.catalog_state(appended(catalog_log.object_changes(events), "catalog"))
 
 
+@query(
+    "T08_partition_changes",
+    """WITH h AS (SELECT *, renamed_to IS NOT NULL AND upper(event_type) = 'ALTER_TABLE' AS ren, upper(event_type) LIKE '%_TABLE' AS whole FROM partition_events),
+        c AS (SELECT CASE WHEN ren THEN renamed_to ELSE table_name END AS table_name, CASE WHEN whole THEN '' ELSE coalesce(part_name, '') END AS part_name, event_id, payload,
+                CASE WHEN upper(event_type) LIKE 'DROP%' THEN 'delete' ELSE 'upsert' END AS change, CAST(NULL AS VARCHAR) AS moved_to FROM h
+              UNION ALL SELECT table_name, '', event_id, payload, 'delete', renamed_to FROM h WHERE ren),
+        e AS (SELECT *, lag(event_id) OVER (PARTITION BY table_name ORDER BY event_id) AS prev FROM c WHERE part_name = '' AND change = 'delete'),
+        w AS (SELECT event_id AS id, table_name, event_id AS at, 0 AS hops FROM c WHERE part_name <> ''
+              UNION ALL SELECT w.id, e.moved_to, e.event_id, w.hops + 1 FROM w JOIN e ON e.table_name = w.table_name AND e.event_id > w.at AND coalesce(e.prev, -1) <= w.at),
+        f AS (SELECT id, arg_max(coalesce(table_name, '<gone>'), hops) AS table_name FROM w GROUP BY id),
+        a AS (SELECT f.table_name, c.part_name, c.event_id, c.payload, c.change FROM c JOIN f ON f.id = c.event_id WHERE c.part_name <> '' AND f.table_name <> '<gone>'
+              UNION ALL SELECT table_name, part_name, event_id, payload, change FROM c WHERE part_name = '')
+        SELECT table_name, part_name, event_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY table_name, part_name ORDER BY event_id DESC) AS rn FROM a) x WHERE rn = 1 AND change = 'upsert'""",
+)
+def partition_changes(t):
+    return catalog_log.catalog_state(appended(catalog_log.object_changes(t.stream("partition_events")), "partitions"))
+
+
 _LETTERS = """e AS (SELECT user_id AS job_id, event_id, value < 100 AS ok, CASE WHEN event_type = 'error' THEN 2 WHEN event_type = 'view' THEN 1 END AS before FROM events),
         n AS (SELECT *, CASE WHEN ok THEN 0 ELSE coalesce(before, 0) + 1 END AS attempts FROM e),
         s AS (SELECT job_id, min(event_id) AS stop FROM n WHERE NOT ok AND attempts < 3 GROUP BY job_id),

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import names
-from strandline.operators.ordered import running, settled
+from strandline.operators.ordered import running
 from strandline.operators.windows import latest_per_key
 from strandline.session import block_of
 
+#: Renames in a row of one table that are followed; beyond it the query fails, nothing is left out.
+LONGEST_LINEAGE = 1_000_000
+
 CATALOG_SCHEMA = "table_name string, part_name string, event_id long, payload long"
 
 
@@ -44,50 +47,62 @@ def object_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def _follow_tables(partitions: DataFrame, ends: DataFrame) -> DataFrame:
-    """Partition changes under the name their table has in the end; those of dropped tables are gone.
+def _first_stop(asked: DataFrame, stops: DataFrame) -> DataFrame:
+    """``stop`` (event_id, moved_to): the first drop or rename of a table after ``at``; a forward as-of join."""
+    sided = asked.withColumn("side", F.lit(0)).unionByName(stops.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    found = running(
+        sided, ["table_name"], ["at", "side"], block_of(F.col("at")), {"next": ("last", F.col("stop"))}, descending=True, inclusive=False
+    )
+    return found.filter(F.col("side") == 0).select(*asked.columns, F.col("next").alias("stop"))
+
+
+def table_lineage(ends: DataFrame) -> DataFrame:
+    """(event_id, final_name): what a table that a drop or rename ended is called in the end, null if it was dropped.
 
-    The first drop or rename of its table after a change decides: a drop removes it,
-    a rename carries it on under the new name, where the next one is looked for.
-    That lookup is a forward as-of join, repeated once per rename in a row.
+    A rename is an edge to the next drop or rename of its new name. The edges are followed
+    by a recursive query, one step for all lineages at once: as many steps as the
+    longest row of renames of one table, whatever the number of tables and events.
     """
-    stops = ends.select(
-        "table_name", F.col("event_id").alias("at"), F.struct("event_id", "moved_to").alias("stop"), F.lit(1).alias("side")
+    spark = ends.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    stops = ends.select("table_name", F.col("event_id").alias("at"), F.struct("event_id", "moved_to").alias("stop"))
+    renamed = ends.filter(F.col("moved_to").isNotNull()).select(F.col("moved_to").alias("table_name"), F.col("event_id").alias("at"))
+    edges = _first_stop(renamed, stops).select(F.col("at").alias("id"), F.col("table_name").alias("name"), F.col("stop.event_id").alias("next_id"))
+    dropped = ends.filter(F.col("moved_to").isNull()).select(
+        F.col("event_id").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("next_id")
     )
-    pending = partitions.withColumn("at", F.col("event_id"))
-    settled_rows = None
-    while True:
-        asked = pending.withColumn("side", F.lit(0)).unionByName(stops, allowMissingColumns=True)
-        found = running(
-            asked, ["table_name"], ["at", "side"], block_of(F.col("at")),
-            {"next": ("last", F.col("stop"))}, descending=True, inclusive=False,
-        )
-        found = settled(found.filter(F.col("side") == 0).drop("stop", "side"))
-        here = found.filter(F.col("next").isNull()).select(*partitions.columns)
-        settled_rows = here if settled_rows is None else settled_rows.unionByName(here)
-        moved = found.filter(F.col("next.moved_to").isNotNull())
-        if moved.isEmpty():
-            return settled_rows
-        pending = moved.select(
-            F.col("next.moved_to").alias("table_name"), *[c for c in partitions.columns if c != "table_name"],
-            F.col("next.event_id").alias("at"),
-        )
+    return spark.sql(
+        f"""WITH RECURSIVE walk(event_id, name, next_id) MAX RECURSION LEVEL {LONGEST_LINEAGE} AS (
+              SELECT id, name, next_id FROM {{edges}}
+              UNION ALL SELECT w.event_id, e.name, e.next_id FROM walk w JOIN {{edges}} e ON w.next_id = e.id)
+            SELECT event_id, name AS final_name FROM walk WHERE next_id IS NULL""",
+        edges=edges.unionByName(dropped),
+    )
+
+
+def _follow_tables(partitions: DataFrame, ends: DataFrame) -> DataFrame:
+    """Partition changes under the name their table has in the end; those of dropped tables are gone."""
+    stops = ends.select("table_name", F.col("event_id").alias("at"), F.struct("event_id", "moved_to").alias("stop"))
+    asked = _first_stop(partitions.withColumn("at", F.col("event_id")), stops)
+    lineage = table_lineage(ends).withColumnRenamed("event_id", "end_id")
+    ended = asked.join(lineage, F.col("stop.event_id") == F.col("end_id"), "left")
+    name = F.when(F.col("stop").isNull(), F.col("table_name")).otherwise(F.col("final_name"))
+    return ended.withColumn("table_name", name).filter(F.col("table_name").isNotNull()).select(*partitions.columns)
 
 
 def catalog_state(changes: DataFrame) -> DataFrame:
     """Tables and partitions there are after a log of changes, folded by event id.
 
     Only the last change of an object counts.  Partitions go with a dropped table,
-    unless they were changed after the drop, and move with a renamed one.
+    unless they were changed after the drop, and move with a renamed one. Nothing runs
+    while the plan is built.
     """
     kept = ["table_name", "part_name", "event_id", "payload", "change"]
     whole = F.col("part_name") == ""
     tables = latest_per_key(changes.filter(whole).select(*kept), ["table_name"], ["event_id"])
-    partitions = changes.filter(~whole).select(*kept)
-    if not partitions.isEmpty():
-        followed = _follow_tables(partitions, changes.filter(whole & (F.col("change") == "delete")))
-        tables = tables.unionByName(latest_per_key(followed, ["table_name", "part_name"], ["event_id"]))
-    return tables.filter(F.col("change") == "upsert").select("table_name", "part_name", "event_id", "payload")
+    followed = _follow_tables(changes.filter(~whole).select(*kept), changes.filter(whole & (F.col("change") == "delete")))
+    every = tables.unionByName(latest_per_key(followed, ["table_name", "part_name"], ["event_id"]))
+    return every.filter(F.col("change") == "upsert").select("table_name", "part_name", "event_id", "payload")
 
 
 def apply_catalog_events(state: DataFrame, events: DataFrame) -> DataFrame:

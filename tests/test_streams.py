@@ -181,3 +181,20 @@ def test_rate_counts_restarts(spark, rows):
     df = spark.createDataFrame([("a", 1, 0, 10), ("a", 2, 60, 30), ("a", 3, 120, 5)], "k string, seq long, ts_s long, v long")
     got = alerts.counter_rate(df, ["k"], ["k"], F.col("v"), F.col("ts_s"), block_of(F.col("seq"), 1), 120, 60)
     assert rows(got, "window_start_s", "rate") == [(-60, 0.0), (0, 20 / 120), (120, 5 / 120), (60, 25 / 120)]
+
+
+def test_lineage_of_many_renames_and_no_job_while_planning(spark, rows):
+    log = [event(1, "ADD_PARTITION", "n0", "p=0", payload=0)]
+    for k in range(12):
+        log.append(event(10 * k + 5, "ALTER_TABLE", f"n{k}", to=f"n{k + 1}"))
+        log.append(event(10 * k + 6, "ADD_PARTITION", f"n{k + 1}", f"p={k + 1}", payload=k + 1))
+    log += [event(500, "ADD_PARTITION", "n3", "p=late", payload=9), event(501, "DROP_TABLE", "n3"), event(502, "ADD_PARTITION", "n3", "p=new", payload=8)]
+    df = spark.createDataFrame([tuple(e.values()) for e in log], "event_id long, event_type string, table_name string, part_name string, renamed_to string, payload long")
+    spark.sparkContext.setJobGroup("planning", "planning")
+    state = catalog_log.catalog_state(catalog_log.object_changes(df))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("reading", "reading")
+    got = [r for r in rows(state, "table_name", "part_name", "payload") if r[1]]
+    assert got == sorted([("n12", f"p={k}", k) for k in range(13)] + [("n3", "p=new", 8)])
+    lineage = catalog_log.table_lineage(catalog_log.object_changes(df).filter("change = 'delete' and part_name = ''"))
+    assert {tuple(r) for r in lineage.collect()} == {*((10 * k + 5, "n12") for k in range(12)), (501, None)}
