@@ -304,16 +304,21 @@ def offsets_for_times(requests: DataFrame, log: DataFrame, block_ms: int = TIME_
     """Add ``target_offset``: the smallest one at or after the time of each (topic, part, ts_ms) request.
 
     A forward as-of join as a running minimum from the newest time back, in time
-    blocks, so a hot partition is spread over many tasks.
+    blocks, so a hot partition is spread over many tasks. Both sides are first reduced to
+    one row per partition and millisecond, in the map tasks already, so a block of a
+    partition holds no more than ``2 * block_ms`` rows, however many were written in it.
     """
-    asked = requests.withColumn("__side", F.lit(0))
-    written = log.select("topic", "part", "ts_ms", F.col("rec_offset").alias("__offset"), F.lit(1).alias("__side"))
+    at = ["topic", "part", "ts_ms"]
+    asked = requests.select(*at).distinct().withColumn("__side", F.lit(0))
+    written = log.groupBy(*at).agg(F.min("rec_offset").alias("__offset")).withColumn("__side", F.lit(1))
     block = F.floor(F.col("ts_ms") / block_ms).cast("long")
     out = running(
         asked.unionByName(written, allowMissingColumns=True), ["topic", "part"], ["ts_ms", "__side"], block,
         {"target_offset": ("min", F.col("__offset"))}, descending=True,
     )
-    return out.filter(F.col("__side") == 0).select(*requests.columns, "target_offset")
+    found = out.filter(F.col("__side") == 0).select(*[F.col(c).alias(f"__{c}") for c in at], "target_offset")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in at]
+    return requests.join(found, same, "left").select(*requests.columns, "target_offset")
 
 
 def translate_offsets(groups: DataFrame, exact: DataFrame, last: DataFrame) -> DataFrame:

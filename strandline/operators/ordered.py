@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from strandline.session import scratch_root
 
-_BLOCK = "__block"
+#: Block summaries that are accumulated together where there are no keys.
+UPPER_BLOCK = 4096
 #: The key columns as one struct: structs with nulls in them are equal, nulls are not.
 _KEY = "__key"
 
@@ -60,6 +61,7 @@ def running(
     *,
     descending: bool = False,
     inclusive: bool = True,
+    levels: int = 2,
 ) -> DataFrame:
     """Add running values ``{name: (kind, column)}`` of each row along ``order``.
 
@@ -67,22 +69,26 @@ def running(
     before, missing or not).  ``descending`` runs from the greatest order value
     down, ``inclusive=False`` leaves the row itself out.  Values wanted along the
     same order belong in one call: they share the shuffle.
+
+    Without keys all block summaries belong to one order. They are accumulated in blocks
+    of their own, so that what meets in one task is a row per ``UPPER_BLOCK`` blocks.
     """
     keys, order = list(keys), list(order)
     values = {
         name: (kind, F.struct(value.alias("v")) if kind == "previous" else value) for name, (kind, value) in values.items()
     }
     direction = (lambda name: F.col(name).desc()) if descending else (lambda name: F.col(name).asc())
-    blocked = df.withColumn(_BLOCK, block)
+    block_name = f"__block{levels}"
+    blocked = df.withColumn(block_name, block)
     if keys:
         blocked = blocked.withColumn(_KEY, F.struct(*keys))
     key = [_KEY] if keys else []
-    along = Window.partitionBy(*key, _BLOCK).orderBy(*[direction(name) for name in order])
+    along = Window.partitionBy(*key, block_name).orderBy(*[direction(name) for name in order])
     with_row = along.rowsBetween(Window.unboundedPreceding, 0)
     before_row = along.rowsBetween(Window.unboundedPreceding, -1)
     across = (
         (Window.partitionBy(*key) if keys else Window.partitionBy(F.lit(0)))
-        .orderBy(direction(_BLOCK))
+        .orderBy(direction(block_name))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
 
@@ -93,18 +99,25 @@ def running(
         "*", *[_inside(kind, value, frame(kind)).alias(f"__in_{name}") for name, (kind, value) in values.items()]
     )
     position = F.struct(*order)
-    summaries = blocked.groupBy(*key, _BLOCK).agg(
+    summaries = blocked.groupBy(*key, block_name).agg(
         *[_summary(kind, value, position, descending).alias(f"__sum_{name}") for name, (kind, value) in values.items()]
     )
-    carried = summaries.select(
-        *key,
-        _BLOCK,
-        *[
-            _inside("sum" if kind == "count" else kind, F.col(f"__sum_{name}"), across).alias(f"__carry_{name}")
-            for name, (kind, _) in values.items()
-        ],
-    )
-    joined = local.join(carried, [*key, _BLOCK], "left")
+    handed_on = {"count": "sum", "previous": "last"}
+    if keys or levels == 1:
+        carried = summaries.select(
+            *key,
+            block_name,
+            *[
+                _inside(handed_on.get(kind, kind), F.col(f"__sum_{name}"), across).alias(f"__carry_{name}")
+                for name, (kind, _) in values.items()
+            ],
+        )
+    else:
+        before = {f"__carry_{name}": (handed_on.get(kind, kind), F.col(f"__sum_{name}")) for name, (kind, _) in values.items()}
+        upper = F.floor(F.col(block_name) / UPPER_BLOCK).cast("long")
+        carried = running(summaries, [], [block_name], upper, before, descending=descending, inclusive=False, levels=1)
+        carried = carried.select(block_name, *before)
+    joined = local.join(carried, [*key, block_name], "left")
     return joined.select(
         *df.columns,
         *[

@@ -222,7 +222,7 @@ _REQUESTS = """q AS (SELECT 'topic-' || event_type AS topic, CAST(user_id % 8 AS
 )
 def offsets_for_times(t):
     requests = _requests(t)
-    return joins.offsets_for_times(requests, t.records, block_ms=3_600_000)
+    return joins.offsets_for_times(requests, t.records)
 
 
 def _requests(t):

@@ -429,7 +429,7 @@ def sync_offsets(t):
     live = named.select(
         "group_id", F.when(F.length("group_id") % 2 == 0, "ACTIVE").otherwise("INACTIVE").alias("liveness")
     ).distinct()
-    return positions.sync_offsets(groups, exact, last_positions(t.records), target_log, current, live, 3_600_000)
+    return positions.sync_offsets(groups, exact, last_positions(t.records), target_log, current, live)
 
 
 @query("T25_spike_alert", f"WITH {_RATE} SELECT site, window_start_s, round(rate, 8) AS rate FROM t WHERE rate > 0.5")

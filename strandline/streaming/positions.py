@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import filters, joins
+from strandline.operators.ordered import settled
 
 
 def progress_deltas(stream: DataFrame, key: str = "job_id") -> DataFrame:
@@ -30,5 +31,5 @@ def sync_offsets(groups: DataFrame, exact: DataFrame, last: DataFrame, target_lo
                  live: DataFrame, block_ms: int = joins.TIME_BLOCK_MS) -> DataFrame:
     """One pass of carrying group offsets over: allowed groups, time of the offset, target offset, guard."""
     translated = joins.translate_offsets(filters.allowed_groups(groups), exact, last).filter(F.col("ts_ms") > 0)
-    found = joins.offsets_for_times(translated, target_log, block_ms).filter(F.col("target_offset").isNotNull())
+    found = joins.offsets_for_times(settled(translated), target_log, block_ms).filter(F.col("target_offset").isNotNull())
     return joins.apply_offsets(current, found.select("group_id", "topic", "part", "target_offset"), live)

@@ -179,3 +179,18 @@ def test_partition_layout(spark, rows):
     df = spark.createDataFrame([("t", 0, "a"), ("t", 0, "b"), ("t", 3, "a"), ("t", 3, "a")], "topic string, part int, agent string")
     assert rows(aggregates.partition_layout(df)) == [("t", 4, 2, 1)]
     assert rows(aggregates.partition_owners(df), "part", "agent") == [(0, "a"), (0, "b"), (1, None), (2, None), (3, "a")]
+
+
+def test_a_hot_minute_of_the_log_is_one_row_a_millisecond(spark, rows):
+    minute = 1_700_000_000_000 // 60_000 * 60_000
+    log = spark.range(40_000).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("part"), (F.lit(minute) + F.col("id") % 50).alias("ts_ms"), (F.col("id") + 7).alias("rec_offset")
+    )
+    asked = spark.createDataFrame([("t", 0, minute + k, k) for k in (0, 0, 49, 50, -5)] + [("t", 1, minute, 9)], "topic string, part int, ts_ms long, request_id int")
+    out = joins.offsets_for_times(asked, log)
+    assert rows(out, "request_id", "target_offset") == sorted(
+        [(0, 7), (0, 7), (49, 56), (50, None), (-5, 7), (9, None)], key=lambda r: tuple((v is None, str(v)) for v in r)
+    )
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    before_window = plan[plan.index("Window") :]
+    assert "partial_min" in before_window  # the log is reduced in the map tasks, before it is shuffled

@@ -125,3 +125,23 @@ def test_a_hot_key_is_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 60_000 and max(sizes) < 60_000 / 8 * 1.6
     assert out.filter("k = 0").agg(F.max("n")).first()[0] == 20_000 + 8
+
+
+@pytest.mark.parametrize("following", [False, True])
+def test_without_keys_summaries_are_carried_in_two_levels(spark, monkeypatch, following):
+    monkeypatch.setattr(ordered, "UPPER_BLOCK", 3)
+    rng = random.Random(1)
+    ids = sorted(rng.sample(range(2000), 300))
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i) for i in ids], "at long, v long").repartition(4)
+    out = ordered.neighbour(df, [], ["at"], block_of(F.col("at"), 16), {"other": F.col("v")}, following=following)
+    got = {r["at"]: r["other"] for r in out.collect()}
+    values = [None if i % 5 == 0 else i for i in ids]
+    expected = [*values[1:], None] if following else [None, *values[:-1]]
+    assert [got[i] for i in ids] == expected
+    sums = ordered.running(df, [], ["at"], block_of(F.col("at"), 16), {"n": ("count", F.lit(1)), "s": ("sum", F.col("v"))}, descending=following)
+    order = ids[::-1] if following else ids
+    seen = {r["at"]: (r["n"], r["s"]) for r in sums.collect()}
+    total = 0
+    for k, i in enumerate(order):
+        total += 0 if i % 5 == 0 else i
+        assert seen[i] == (k + 1, total or None)
