@@ -117,11 +117,14 @@ def drift_report(issues: DataFrame, limit: int = 2000) -> DataFrame:
 
     An issue takes at least 8 characters with its separator, so the first
     ``limit / 8`` issues of a table always fill the message; only those are
-    gathered, and map tasks send no more than that (up to a limit of 7,000
-    characters, where the optimizer stops limiting before the shuffle).
+    gathered, and map tasks send no more than that: where it takes it, the session's
+    bound on group limits before a shuffle is raised to that number.
     """
+    issues_shown, bound = limit // 8 + 1, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if issues_shown > int(issues.sparkSession.conf.get(bound)):
+        issues.sparkSession.conf.set(bound, issues_shown)
     text = F.concat_ws(" ", "issue", "detail")
-    head = first_per_key(issues.withColumn("text", text), ["table_name"], [F.col("text")], n=limit // 8 + 1)
+    head = first_per_key(issues.withColumn("text", text), ["table_name"], [F.col("text")], n=issues_shown)
     joined = F.array_join(F.array_sort(F.collect_list("text")), "; ")
     counts = issues.groupBy("table_name").agg(F.count(F.lit(1)).alias("issues"))
     messages = head.groupBy("table_name").agg(joined.alias("full"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators.packing import plan_bundles
-from strandline.plans.fixtures import written_files
+from strandline.plans.fixtures import GIVEN, written_files
 from strandline.plans.registry import query
 from strandline.session import scratch_path
 from strandline.sources import files, sinks
@@ -26,9 +26,32 @@ def preview_total(t):
     return files.preview_summary(t.lineitem)
 
 
-@query("S01_preview_columnar")
+@query(
+    "S01_preview_columnar",
+    """SELECT least(count(*), 100) AS shown, least(count(*), 100) AS in_table, count(*) > 100 AS truncated,
+         'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns FROM customer""",
+)
 def preview_columnar(t):
-    return files.preview_columnar(t.spark, t.path("lineitem"))
+    shown = files.preview_columnar(t.spark, t.path("customer"))
+    columns = [c for c in shown.columns if c != "truncated"]
+    # any rows will do, but they are rows of the table, each once
+    met = shown.join(t.customer.withColumn("there", F.lit(1)), columns, "left")
+    return met.agg(
+        F.count(F.lit(1)).alias("shown"), F.count("there").alias("in_table"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"),
+    ).withColumn("columns", F.lit(",".join(columns)))
+
+
+def _described(table: str) -> str:
+    kinds = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END"
+    return f"SELECT 'listed_{table}' AS table_name, column_name, {kinds} AS column_type FROM (DESCRIBE {table})"
+
+
+@query("S09_catalog_columns", " UNION ALL ".join(_described(table) for table in GIVEN))
+def catalog_columns(t):
+    for table in GIVEN:
+        t(table).createOrReplaceTempView(f"listed_{table}")
+    listed = files.catalog_columns(t.spark, "default")
+    return listed.filter(F.col("table_name").startswith("listed_")).select("table_name", "column_name", "column_type")
 
 
 @query(

@@ -11,7 +11,7 @@ from strandline.operators.windows import limit_with_flag
 from strandline.plans import templates
 from strandline.plans.registry import query
 from strandline.plans.step_graph import Edge, StepGraph, sql_step, step
-from strandline.session import block_of
+from strandline.session import block_of, scratch_path
 
 
 @query(
@@ -67,9 +67,40 @@ def activity_by_type(t):
     return templates.activity_by_type(t.events)
 
 
-@query("Q06_activity_by_type_approx")
+def _close(estimates, exact, by):
+    """Whether each estimate is within 5 % of the exact number."""
+    both = estimates.join(exact.withColumnRenamed("users", "exact"), by)
+    return both.withColumn("close", F.abs(F.col("users") - F.col("exact")) <= 0.05 * F.col("exact")).drop("users", "exact")
+
+
+@query("Q06_activity_by_type_approx", "SELECT event_type, count(*) AS events, true AS close FROM events GROUP BY event_type")
 def activity_by_type_approx(t):
-    return templates.activity_by_type(t.events, approx=True)
+    exact = templates.activity_by_type(t.events).select("event_type", "users")
+    return _close(templates.activity_by_type(t.events, approx=True), exact, ["event_type"])
+
+
+def _stored_sketches(t):
+    path = scratch_path(t.spark, "user-sketches")
+    templates.user_sketches(t.events).write.partitionBy("day").parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query(
+    "Q06_users_by_day",
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS events, true AS close FROM events GROUP BY 1, 2",
+)
+def users_by_day(t):
+    day = F.to_date("ts").cast("string").alias("day")
+    exact = t.events.groupBy(day, "event_type").agg(F.countDistinct("user_id").alias("users"))
+    stored = _stored_sketches(t).withColumn("day", F.col("day").cast("string"))
+    return _close(templates.merged_users(stored, "day", "event_type"), exact, ["day", "event_type"])
+
+
+@query("Q06_users_by_month", "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS events, true AS close FROM events GROUP BY 1")
+def users_by_month(t):
+    exact = t.events.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.countDistinct("user_id").alias("users"))
+    months = templates.merged_users(_stored_sketches(t), F.date_format("day", "yyyy-MM").alias("month"))
+    return _close(months, exact, ["month"])
 
 
 @query(
