@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,25 +31,6 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes up to which every partition of a join's side may be, for a hash table of it per task.
-HASHED_BYTES = 64 << 20
-
-
-@contextmanager
-def small_sides_hashed(spark: SparkSession) -> Iterator[None]:
-    """While it is open, adaptive execution joins by hash tables where no partition of a side is larger than they may be.
-
-    It goes by the sizes that the shuffle has measured; larger sides are sorted as ever.
-    """
-    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(HASHED_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(text, UPPER, LOWER)
