@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandline.llm import (
     collocations,
@@ -57,12 +58,34 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, read(spark, sf_dir, "pages"))
 
 
-def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotations.reply_ordered(read(spark, sf_dir, "conversations"))
+def _threads(turns: DataFrame) -> DataFrame:
+    found = quotations.reply_ordered(turns)
     thread = F.array_join(F.col("path").cast("array<string>"), "/").alias("thread")
     return found.select("conv_id", "turn", "role", "reply_to", thread, "n_quoted", "n_linked", "body")
 
 
+def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _threads(read(spark, sf_dir, "conversations"))
+
+
+def op8_quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given conversations as mail: each turn quotes the one before, wrapped anew, and that one's quote below it."""
+    return _threads(as_mail(read(spark, sf_dir, "conversations")))
+
+
+def as_mail(turns: DataFrame) -> DataFrame:
+    """Every turn but the first of a conversation quotes the turn before it in lines of six words; every third turn only deeper."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    flat = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    wrapped = lambda text, marks: F.concat(F.lit(marks), F.regexp_replace(text, "((?:[^ ]+ ){5}[^ ]+) ", f"$1\n{marks}"), F.lit("\n"))
+    told = turns.select("conv_id", "turn", "role", flat.alias("flat"))
+    told = told.withColumn("last", F.lag("flat").over(order)).withColumn("before", F.lag("flat", 2).over(order))
+    first = F.when(F.col("last").isNotNull() & (F.col("turn") % 3 != 2), F.concat(F.lit("Ann wrote:\n"), wrapped(F.col("last"), "> ")))
+    second = F.when(F.col("before").isNotNull(), F.concat(F.lit("> Bo wrote:\n"), wrapped(F.col("before"), ">> ")))
+    none = F.lit("")
+    return told.select("conv_id", "turn", "role", F.concat(F.coalesce(first, none), F.coalesce(second, none), "flat").alias("text"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -88,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_near_duplicates, op3_quality_classifier, op4_license_scan, op5_source_mix,
-        op6_toxicity, op7_warc, op8_quotation_links, op9_decontamination, op10_line_dedup,
+        op6_toxicity, op7_warc, op8_quotation_links, op8_quoted_threads, op9_decontamination, op10_line_dedup,
         op11_neighbours, op12_collocations, op13_periodic_runs,
     )
 }
@@ -269,29 +292,43 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM f
 """
 
-_QUOTE_SQL = r"""
-WITH RECURSIVE cut AS (
+_MAIL_SQL = r"""
+SELECT conv_id, turn, role,
+  CASE WHEN last IS NOT NULL AND turn % 3 <> 2 THEN 'Ann wrote:' || chr(10) || '> ' || regexp_replace(last, '((?:[^ ]+ ){5}[^ ]+) ', '\1' || chr(10) || '> ', 'g') || chr(10) ELSE '' END
+  || CASE WHEN before IS NOT NULL THEN '> Bo wrote:' || chr(10) || '>> ' || regexp_replace(before, '((?:[^ ]+ ){5}[^ ]+) ', '\1' || chr(10) || '>> ', 'g') || chr(10) ELSE '' END
+  || flat AS text
+FROM (SELECT *, lag(flat) OVER (PARTITION BY conv_id ORDER BY turn) AS last, lag(flat, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS before
+      FROM (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS flat FROM conversations))
+"""
+
+
+def _quote_sql(turns: str) -> str:
+    return r"""
+WITH RECURSIVE given AS (__TURNS__), cut AS (
   SELECT conv_id, turn, role, unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) AS body,
     generate_subscripts(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), 1) AS i
-  FROM conversations
+  FROM given
 ), lv AS (
   SELECT *, length(translate(regexp_extract(body, '^(?:[ \t]*>)+'), ' ' || chr(9), '')) AS level,
-    trim(regexp_replace(translate(regexp_replace(body, '^(?:[ \t]*>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x20\x09-\x0D]+', ' ', 'g')) AS normal
+    list_filter(regexp_split_to_array(translate(regexp_replace(body, '^(?:[ \t]*>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM cut
 ), x AS (
-  SELECT *, level = 0 AND regexp_matches(body, 'wrote:[ \t]*$')
-      AND coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) > 0 AS attribution,
-    len(list_filter(string_split(normal, ' '), lambda w: w <> '')) AS n
-  FROM lv
-), quoted AS (SELECT conv_id, turn, level, normal, n FROM x WHERE level > 0 AND normal <> ''
-), outer_ AS (SELECT * FROM quoted q WHERE level = (SELECT min(level) FROM quoted z WHERE z.conv_id = q.conv_id AND z.turn = q.turn)
-), own AS (SELECT conv_id, normal, min(turn) AS original FROM x WHERE level = 0 AND NOT attribution AND normal <> '' GROUP BY 1, 2
+  SELECT *, regexp_matches(body, 'wrote:[ \t]*$') AND coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) > level AS attribution FROM lv
+), passage AS (
+  SELECT conv_id, turn, level, flatten(list(w ORDER BY i)) AS w FROM x WHERE NOT attribution GROUP BY 1, 2, 3
+), run AS (
+  SELECT DISTINCT conv_id, turn, level, array_to_string(w[k:k + least(len(w), __SHINGLE__) - 1], ' ') AS key
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), __SHINGLE__) + 2)) AS k FROM passage WHERE len(w) > 0)
+  UNION SELECT conv_id, turn, level, array_to_string(w, ' ') FROM x WHERE level = 0 AND NOT attribution AND len(w) BETWEEN 1 AND __SHINGLE__ - 1
+), quoted AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, level) AS n FROM run WHERE level > 0
+), own AS (SELECT conv_id, key, min(turn) AS original FROM run WHERE level = 0 GROUP BY 1, 2
 ), votes AS (
-  SELECT conv_id, turn, original, sum(n) AS words, count(*) AS n_linked FROM outer_ JOIN own USING (conv_id, normal) WHERE original < turn GROUP BY 1, 2, 3
+  SELECT conv_id, turn, level, n, original, count(*) AS n_linked FROM quoted JOIN own USING (conv_id, key) WHERE original < turn GROUP BY 1, 2, 3, 4, 5
+  HAVING 4 * count(*) >= n
 ), link AS (
   SELECT conv_id, turn, original AS reply_to, n_linked FROM votes
-  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY words DESC, original DESC) = 1
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n_linked DESC, original DESC) = 1
 ), path AS (
   SELECT conv_id, turn, reply_to || '/' || turn AS thread FROM link l
   WHERE NOT EXISTS (SELECT 1 FROM link z WHERE z.conv_id = l.conv_id AND z.turn = l.reply_to)
@@ -304,7 +341,8 @@ WITH RECURSIVE cut AS (
 SELECT b.conv_id, b.turn, role, reply_to, coalesce(thread, b.turn::VARCHAR) AS thread, n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked,
   regexp_replace(body, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body
 FROM body b LEFT JOIN link USING (conv_id, turn) LEFT JOIN path USING (conv_id, turn)
-"""
+""".replace("__TURNS__", turns).replace("__SHINGLE__", str(quotations.SHINGLE))
+
 
 _BENCHMARK_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents
@@ -416,7 +454,8 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": _license_sql(),
     "op5_source_mix": _MIX_SQL,
     "op7_warc": _WARC_SQL,
-    "op8_quotation_links": _QUOTE_SQL,
+    "op8_quotation_links": _quote_sql("SELECT * FROM conversations"),
+    "op8_quoted_threads": _quote_sql(_MAIL_SQL),
     "op9_decontamination": _BENCHMARK_SQL,
     "op10_line_dedup": _LINE_SQL,
     "op12_collocations": _PHRASE_SQL,

@@ -9,6 +9,8 @@ from strandline.llm.tables import ascii_lower, settled
 
 _MARKS = r"^(?:[ \t]*>)+"
 _ATTRIBUTION = r"wrote:[ \t]*$"
+#: Words of a run that a quoted passage and its original share.
+SHINGLE = 4
 
 
 def _level(line: Column) -> Column:
@@ -16,22 +18,28 @@ def _level(line: Column) -> Column:
     return F.length(F.translate(F.regexp_extract(line, _MARKS, 0), " \t", ""))
 
 
-def _normal(line: Column) -> Column:
-    """Quote marks off, A-Z lower-cased, white space runs as one space, ends trimmed."""
-    return F.trim(F.regexp_replace(ascii_lower(F.regexp_replace(line, _MARKS, "")), r"[\x20\x09-\x0D]+", " "))
+def _words(line: Column) -> Column:
+    """Words of a line without its quote marks, A-Z lower-cased."""
+    return F.filter(F.split(ascii_lower(F.regexp_replace(line, _MARKS, "")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _keys(words: Column) -> Column:
+    """64-bit hashes of all runs of ``SHINGLE`` words, each once; of the whole where there are fewer, none without a word."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.when(F.size(words) >= SHINGLE, runs).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(none))
 
 
 def parsed(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, lines`` with lines as (level, body, key) and attributions marked.
+    """``conv_id, turn, role, lines`` with lines as (level, body, words) and attributions marked.
 
-    The key is a 64-bit hash of the normalised line, null if nothing is left of it. A
-    line that ends in "wrote:" and comes right before a line of a deeper level is an
+    A line that ends in "wrote:" and comes right before a line of a deeper level is an
     attribution, itself quoted or not.
     """
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\r?\n", -1)
     cut = turns.select(
         F.col("conv_id"), F.col("turn"), F.col("role").cast("string").alias("role"),
-        F.transform(lines, lambda x: F.struct(_level(x).alias("level"), x.alias("body"), _normal(x).alias("normal"))).alias("cut"),
+        F.transform(lines, lambda x: F.struct(_level(x).alias("level"), x.alias("body"), _words(x).alias("words"))).alias("cut"),
     )
     return cut.select(
         "conv_id", "turn", "role",
@@ -40,40 +48,54 @@ def parsed(turns: DataFrame) -> DataFrame:
             lambda x, i: F.struct(
                 x["level"].alias("level"),
                 x["body"].alias("body"),
-                F.when(x["normal"] != "", F.xxhash64(x["normal"])).alias("key"),
-                F.size(F.filter(F.split(x["normal"], " "), lambda w: w != "")).alias("n"),
+                x["words"].alias("words"),
                 (x["body"].rlike(_ATTRIBUTION) & (F.coalesce(F.get("cut", i + 1)["level"], F.lit(0)) > x["level"])).alias("attribution"),
             ),
         ).alias("lines"),
     )
 
 
+def _passage(level: Column) -> Column:
+    """The words of a message at one quote level, attributions left out."""
+    lines = F.filter("lines", lambda x: (x["level"] == level) & ~x["attribution"])
+    return F.flatten(F.transform(lines, lambda x: x["words"]))
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, reply_to, n_linked``: the message that a turn's quotes come from.
 
-    The original of a line is the first turn of the conversation that has it as its own,
-    found by a partial minimum per (conversation, hash): one row for each key, so the join
-    makes no pairs within a group. Passages of all levels are looked up, attributions left
-    out. A turn replies to the earlier turn from which most quoted words come at the lowest
-    of its quote levels that has an original; ties go to the later one.
+    A quoted passage is all that a message quotes at one level, however its lines are
+    broken: it goes by the hashes of its runs of ``SHINGLE`` words (of the whole, where it is
+    shorter). The original of a run is the first turn of the conversation that has it in its
+    own text (a short passage: as a line of its own), found by a partial minimum per
+    (conversation, hash): one row for each key, so the join makes no pairs within a group.
+    A turn replies to the earlier turn from which most runs come, at the lowest of its
+    quote levels at which that is at least a quarter of them; ties go to the later one.
     """
-    line = messages.select("conv_id", "turn", F.explode("lines").alias("x")).where("x.key IS NOT NULL AND turn IS NOT NULL")
-    quoted = line.where("x.level > 0 AND NOT x.attribution").select("conv_id", "turn", "x.level", "x.key", "x.n")
-    asked = quoted.select("conv_id", "key").distinct()
+    known = messages.where("turn IS NOT NULL AND conv_id IS NOT NULL")
+    levels = F.array_distinct(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))
+    passages = known.select("conv_id", "turn", "lines", F.explode(levels).alias("level"))
+    passages = passages.select("conv_id", "turn", "level", _keys(_passage(F.col("level"))).alias("keys")).where("size(keys) > 0")
+    quoted = passages.select("conv_id", "turn", "level", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    short = F.transform(
+        F.filter("lines", lambda x: (x["level"] == 0) & ~x["attribution"] & F.size(x["words"]).between(1, SHINGLE - 1)),
+        lambda x: F.xxhash64(x["words"]),
+    )
     own = (
-        line.where("x.level = 0 AND NOT x.attribution")
-        .select("conv_id", "x.key", "turn")
-        .join(asked, ["conv_id", "key"], "left_semi")
+        known.join(passages.select("conv_id").distinct(), "conv_id", "left_semi")
+        .select("conv_id", "turn", F.explode(F.array_union(_keys(_passage(F.lit(0))), short)).alias("key"))
+        .join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
         .groupBy("conv_id", "key")
         .agg(F.min("turn").alias("original"))
     )
     votes = (
         quoted.join(own, ["conv_id", "key"])
         .where("original < turn")
-        .groupBy("conv_id", "turn", "level", "original")
-        .agg(F.sum("n").alias("words"), F.count("*").alias("n_linked"))
+        .groupBy("conv_id", "turn", "level", "n", "original")
+        .agg(F.count_distinct("key").alias("n_linked"))
+        .where("4 * n_linked >= n")
     )
-    best = F.max(F.struct(-F.col("level"), "words", "original", "n_linked")).alias("best")
+    best = F.max(F.struct(-F.col("level"), "n_linked", "original")).alias("best")
     return votes.groupBy("conv_id", "turn").agg(best).select(
         "conv_id", "turn", F.col("best.original").alias("reply_to"), F.col("best.n_linked").alias("n_linked")
     )
