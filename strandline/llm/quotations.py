@@ -25,7 +25,8 @@ def _words(line: Column) -> Column:
 
 def _keys(words: Column) -> Column:
     """64-bit hashes of all runs of ``SHINGLE`` words, each once; of the whole where there are fewer, none without a word."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+    # (a slice would copy the whole array for each run)
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
     none = F.array().cast("array<bigint>")
     return F.array_distinct(F.when(F.size(words) >= SHINGLE, runs).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(none))
 
@@ -73,17 +74,24 @@ def quote_links(messages: DataFrame) -> DataFrame:
     quote levels at which that is at least a quarter of them; ties go to the later one.
     """
     known = messages.where("turn IS NOT NULL AND conv_id IS NOT NULL")
-    levels = F.array_distinct(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))
-    passages = known.select("conv_id", "turn", "lines", F.explode(levels).alias("level"))
-    passages = passages.select("conv_id", "turn", "level", _keys(_passage(F.col("level"))).alias("keys")).where("size(keys) > 0")
-    quoted = passages.select("conv_id", "turn", "level", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    levels = F.array_distinct(F.transform("lines", lambda x: x["level"]))
     short = F.transform(
         F.filter("lines", lambda x: (x["level"] == 0) & ~x["attribution"] & F.size(x["words"]).between(1, SHINGLE - 1)),
         lambda x: F.xxhash64(x["words"]),
     )
+    # written, as the optimizer would else put the words together again for each run of them
+    said = settled(
+        known.select("conv_id", "turn", "lines", F.explode(levels).alias("level")).select(
+            "conv_id", "turn", "level", _passage(F.col("level")).alias("words"), F.when(F.col("level") == 0, short).alias("short")
+        ),
+        "passages",
+    )
+    passages = said.where("level > 0 AND size(words) > 0").select("conv_id", "turn", "level", _keys(F.col("words")).alias("keys"))
+    quoted = passages.select("conv_id", "turn", "level", F.size("keys").alias("n"), F.explode("keys").alias("key"))
     own = (
-        known.join(passages.select("conv_id").distinct(), "conv_id", "left_semi")
-        .select("conv_id", "turn", F.explode(F.array_union(_keys(_passage(F.lit(0))), short)).alias("key"))
+        said.where("level = 0")
+        .join(passages.select("conv_id").distinct(), "conv_id", "left_semi")
+        .select("conv_id", "turn", F.explode(F.array_union(_keys(F.col("words")), F.col("short"))).alias("key"))
         .join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
         .groupBy("conv_id", "key")
         .agg(F.min("turn").alias("original"))
