@@ -120,24 +120,61 @@ _PLAIN = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_BUCKET = "CASE WHEN {v} < 64 THEN {v} ELSE (length(bin({v})) - 6) * 32 + ({v} >> (length(bin({v})) - 6)) END"
+_BUCKET = "CASE WHEN {v} < 512 THEN {v} ELSE (length(bin({v})) - 9) * 256 + ({v} >> (length(bin({v})) - 9)) END"
 
 
-def _rules_sql() -> str:
-    metrics = list(rules.METRICS)
-    bucket = lambda v: _BUCKET.format(v=v)
-    least = " ".join(f"WHEN '{m}' THEN {n}" for m, n in rules.METRICS.items())
+def _fence_sql(rows: str, learns: dict[str, str], tails: tuple[int, int, int, int, int], x: str) -> str:
+    """Views ``cell_x`` to ``fenced_x``: ``rows`` with a column ``<metric>_in`` for each metric."""
     cells = " UNION ALL ".join(
-        f"SELECT lang, source, '{m}' AS metric, {bucket(m)} AS bucket, count(*) AS n FROM m WHERE NOT base_failed GROUP BY ALL" for m in metrics
-    )
-    inside = " AND ".join(
-        f"{m} <= (SELECT f.high FROM fence f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.metric = '{m}')"
-        for m in metrics
-    )
-    inside += "".join(
-        f" AND {m} >= (SELECT f.low FROM fence f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.metric = '{m}')"
-        for m in rules.TWO_SIDED
+        f"SELECT lang, source, '{m}' AS metric, {_BUCKET.format(v=m)} AS bucket, count(*) AS n FROM {rows} WHERE NOT base_failed AND {learns[m]} GROUP BY ALL"
+        for m in rules.METRICS
     )
+    a, b, c, d, reach = tails
+    quantile = lambda percent, bound: f"min(CASE WHEN upto * 100 >= total * {percent} THEN {bound} END)"
+    low, high = "(bucket - e * 256) << e", "((bucket - e * 256 + 1) << e) - 1"
+    within, joins = [], []
+    for m, share in rules.METRICS.items():
+        expected = share and f"((r.{share[1]} * {m}.high)::DOUBLE / 1000000::DOUBLE)"
+        test = (
+            f"r.{share[0]}::DOUBLE <= {expected} + {rules.CHANCE}::DOUBLE * sqrt({expected}) + {rules.CHANCE**2}::DOUBLE"
+            if share else f"r.{m} BETWEEN {m}.low AND {m}.high"
+        )
+        within.append(f"coalesce({test}, true) AS {m}_in")
+        joins.append(
+            f"LEFT JOIN fence_{x} AS {m} ON {m}.lang IS NOT DISTINCT FROM r.lang AND {m}.source IS NOT DISTINCT FROM r.source AND {m}.metric = '{m}'"
+        )
+    pick = lambda y: f"CASE WHEN a.total >= {rules.CELL_TEXTS} THEN a.{y} WHEN b.total >= {rules.CELL_TEXTS} THEN b.{y} ELSE c.{y} END AS {y}"
+    return f"""cell_{x} AS ({cells}), level_{x} AS (
+  SELECT 0 AS level, lang, source, metric, bucket, n FROM cell_{x}
+  UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM cell_{x} GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM cell_{x} GROUP BY ALL
+), placed_{x} AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
+    CASE WHEN bucket < 512 THEN 0 ELSE bucket // 256 - 1 END AS e
+  FROM level_{x}
+), quantile_{x} AS (
+  SELECT level, lang, source, metric, max(total) AS total,
+    {quantile(a, low)} AS a, {quantile(b, low)} AS b, {quantile(c, high)} AS c, {quantile(d, high)} AS d
+  FROM placed_{x} GROUP BY level, lang, source, metric
+), bound_{x} AS (
+  SELECT *, a - {reach} * (b - a) AS low, d + {reach} * (d - c) AS high FROM quantile_{x}
+), fence_{x} AS (
+  SELECT k.lang, k.source, k.metric, {pick("low")}, {pick("high")}
+  FROM (SELECT DISTINCT lang, source, metric FROM cell_1) k
+  LEFT JOIN (FROM bound_{x} WHERE level = 0) a
+    ON a.lang IS NOT DISTINCT FROM k.lang AND a.source IS NOT DISTINCT FROM k.source AND a.metric = k.metric
+  LEFT JOIN (FROM bound_{x} WHERE level = 1) b ON b.lang IS NOT DISTINCT FROM k.lang AND b.metric = k.metric
+  LEFT JOIN (FROM bound_{x} WHERE level = 2) c ON c.metric = k.metric
+), fenced_{x} AS (
+  SELECT r.*, {", ".join(within)} FROM m r {" ".join(joins)}
+)"""
+
+
+def _rules_sql() -> str:
+    first = _fence_sql("m", {m: "true" for m in rules.METRICS}, rules.FIRST, "1")
+    others = {m: " AND ".join(f"{o}_in" for o in rules.METRICS if o != m) for m in rules.METRICS}
+    last = _fence_sql("fenced_1", others, rules.LAST, "2")
     return rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_PLAIN}) AS w FROM documents
@@ -167,33 +204,10 @@ WITH d AS (
     CAST(floor(coalesce(n_repeat_words * 1000000.0::DOUBLE / nullif(n_words, 0), 0)) AS BIGINT) AS repeat_share,
     CAST(floor(coalesce(n_dup_lines * 1000000.0::DOUBLE / nullif(n_lines, 0), 0)) AS BIGINT) AS dup_line_share
   FROM c
-), m AS (SELECT * FROM share), cell AS ({cells}), level AS (
-  SELECT 0 AS level, lang, source, metric, bucket, n FROM cell
-  UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM cell GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM cell GROUP BY ALL
-), placed AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
-    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total,
-    CASE WHEN bucket < 64 THEN 0 ELSE bucket // 32 - 1 END AS e
-  FROM level
-), quartile AS (
-  SELECT level, lang, source, metric, max(total) AS total,
-    min(CASE WHEN upto * 4 >= total THEN (bucket - e * 32) << e END) AS q25,
-    min(CASE WHEN upto * 4 >= total * 3 THEN ((bucket - e * 32 + 1) << e) - 1 END) AS q75
-  FROM placed GROUP BY level, lang, source, metric
-), bound AS (
-  SELECT *, greatest({rules.REACH} * (q75 - q25), CASE metric {least} END) AS reach FROM quartile
-), fence AS (
-  SELECT a.lang, a.source, a.metric,
-    CASE WHEN a.total >= {rules.CELL_TEXTS} THEN a.q25 - a.reach WHEN b.total >= {rules.CELL_TEXTS} THEN b.q25 - b.reach ELSE c.q25 - c.reach END AS low,
-    CASE WHEN a.total >= {rules.CELL_TEXTS} THEN a.q75 + a.reach WHEN b.total >= {rules.CELL_TEXTS} THEN b.q75 + b.reach ELSE c.q75 + c.reach END AS high
-  FROM (FROM bound WHERE level = 0) a
-  JOIN (FROM bound WHERE level = 1) b ON a.lang IS NOT DISTINCT FROM b.lang AND a.metric = b.metric
-  JOIN (FROM bound WHERE level = 2) c ON a.metric = c.metric
-)
+), m AS (SELECT * FROM share), {first}, {last}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce({inside}, false) AS kept
-FROM m
+  NOT base_failed AND {" AND ".join(f"{m}_in" for m in rules.METRICS)} AS kept
+FROM fenced_2
 """
 
 

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.tables import plain_words, settled
 
-#: Metrics in whole numbers: thousandths of a letter, or millionths of a share. Each has the
-#: least distance of its fence from the upper (lower) quartile, so that a metric that
-#: hardly varies among clean texts does not reject the few that differ a little.
+#: Metrics in whole numbers: thousandths of a letter, or millionths of a share. A share names
+#: the count it is of and what that count is out of.
 METRICS = {
-    "word_length": 1_500,
-    "symbol_share": 30_000,
-    "repeat_share": 450_000,
-    "dup_line_share": 400_000,
+    "word_length": None,
+    "symbol_share": ("n_symbols", "word_chars"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
 }
-TWO_SIDED = ("word_length",)
-#: Fences stand this many quartile distances away; cells with fewer texts use their
-#: language's sketch, languages with fewer the sketch of all.
-REACH, CELL_TEXTS = 3, 200
+#: Per cent of the quantiles ``a, b, c, d`` and the reach of fences ``a - reach * (b - a)`` and
+#: ``d + reach * (d - c)``. The first fences say which texts a metric's sketch may learn from. The
+#: last ones follow the tails: from 90 to 95 per cent half of the texts above go, so twelve such
+#: steps further an exponential tail of that slope has one text in 80,000 left.
+FIRST, LAST = (25, 75, 25, 75, 3), (5, 10, 90, 95, 12)
+#: A count is beyond its fence if it exceeds what the fence share lets expect by this many
+#: standard deviations of a rare event's count, and its square.
+CHANCE = 3
+#: Cells with fewer texts use their language's sketch, languages with fewer the sketch of all.
+CELL_TEXTS = 200
 
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -76,15 +83,15 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """Bucket of a whole number: exact below 64, then 32 to each doubling (at most 1/32 wide)."""
-    bits = F.length(F.bin(value)) - 6
-    return F.when(value < 64, value).otherwise(bits * 32 + F.call_function("shiftright", value, bits)).cast("long")
+    """Bucket of a whole number: exact below 512, then 256 to each doubling (at most 1/256 wide)."""
+    bits = F.length(F.bin(value)) - 9
+    return F.when(value < 512, value).otherwise(bits * 256 + F.call_function("shiftright", value, bits)).cast("long")
 
 
 def _bucket_bounds(b: Column) -> tuple[Column, Column]:
     """Smallest and largest number of a bucket."""
-    e = F.when(b < 64, F.lit(0)).otherwise(F.floor(b / 32) - 1).cast("int")
-    m = b - e * 32
+    e = F.when(b < 512, F.lit(0)).otherwise(F.floor(b / 256) - 1).cast("int")
+    m = b - e * 256
     low = F.call_function("shiftleft", m, e)
     return low, F.call_function("shiftleft", m + 1, e) - 1
 
@@ -100,24 +107,29 @@ def metrics(found: DataFrame) -> DataFrame:
     )
 
 
-def sketches(measured: DataFrame) -> DataFrame:
+def sketches(measured: DataFrame, learns: dict[str, Column]) -> DataFrame:
     """``lang, source, metric, bucket, n``: a quantile sketch per cell, merged by adding up.
 
-    Only texts that pass the base rules count. Values within a bucket differ by 1/32 at
-    most, which bounds the relative error of every quantile; a sketch has a bounded number of
-    buckets whatever the number of texts, and sums of sketches are sketches.
+    Only texts that pass the base rules count, and of those the ones for which ``learns`` of the
+    metric holds. Values within a bucket differ by 1/256 at most, which bounds the relative
+    error of every quantile; a sketch has a bounded number of buckets whatever the number of
+    texts, and sums of sketches are sketches.
     """
-    each = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS])
+    each = F.array(*[F.when(learns[m], F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket"))) for m in METRICS])
     return (
         measured.where("NOT base_failed")
         .select("lang", "source", F.explode(each).alias("m"))
+        .where("m IS NOT NULL")
         .groupBy("lang", "source", "m.metric", "m.bucket")
         .agg(F.count("*").alias("n"))
     )
 
 
-def thresholds(cells: DataFrame) -> DataFrame:
-    """``lang, source`` and per metric ``<metric>_low``, ``<metric>_high`` for every cell."""
+def thresholds(cells: DataFrame, names: DataFrame, tails: tuple[int, int, int, int, int]) -> DataFrame:
+    """``lang, source`` and per metric ``<metric>_low``, ``<metric>_high`` for every cell in ``names``.
+
+    Null where not even the sketch of all has a text.
+    """
     of_lang = cells.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     of_all = of_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
     levels = (
@@ -129,25 +141,25 @@ def thresholds(cells: DataFrame) -> DataFrame:
     upto = F.sum("n").over(sketch.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     placed = levels.select("*", upto.alias("upto"), F.sum("n").over(sketch).alias("total"))
     low, high = _bucket_bounds(F.col("bucket"))
-    quartiles = (
-        placed.groupBy("level", "lang", "source", "metric")
-        .agg(
-            F.max("total").alias("total"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total"), low)).alias("q25"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, high)).alias("q75"),
-        )
-    )
-    least = F.element_at(F.create_map(*[x for k, v in METRICS.items() for x in (F.lit(k), F.lit(v))]), F.col("metric"))
-    reach = F.greatest(REACH * (F.col("q75") - F.col("q25")), least)
-    fences = quartiles.select(
-        "level", "lang", "source", "metric", "total", (F.col("q25") - reach).alias("low"), (F.col("q75") + reach).alias("high")
-    )
+    quantile = lambda percent, bound: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, bound))
+    a, b, c, d, reach = tails
+    quantiles = placed.groupBy("level", "lang", "source", "metric").agg(
+        F.max("total").alias("total"),
+        quantile(a, low).alias("a"), quantile(b, low).alias("b"), quantile(c, high).alias("c"), quantile(d, high).alias("d"),
+    )
+    fences = quantiles.select(
+        "level", "lang", "source", "metric", "total",
+        (F.col("a") - reach * (F.col("b") - F.col("a"))).alias("low"), (F.col("d") + reach * (F.col("d") - F.col("c"))).alias("high"),
+    )
     pick = lambda level: fences.where(F.col("level") == level)
-    a, b, c = pick(0).alias("a"), pick(1).alias("b"), pick(2).alias("c")
-    own = (
-        a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.metric") == F.col("b.metric")))
-        .join(c, F.col("a.metric") == F.col("c.metric"))
-        .select("a.lang", "a.source", "a.metric", *[
+    own, lang, every = pick(0).alias("a"), pick(1).alias("b"), pick(2).alias("c")
+    same = lambda x, *columns: F.expr(" AND ".join(f"n.{c} <=> {x}.{c}" for c in columns))
+    found = (
+        names.select("lang", "source", "metric").distinct().alias("n")
+        .join(own, same("a", "lang", "source", "metric"), "left")
+        .join(lang, same("b", "lang", "metric"), "left")
+        .join(every, same("c", "metric"), "left")
+        .select("n.lang", "n.source", "n.metric", *[
             F.when(F.col("a.total") >= CELL_TEXTS, F.col(f"a.{x}")).when(F.col("b.total") >= CELL_TEXTS, F.col(f"b.{x}"))
             .otherwise(F.col(f"c.{x}")).alias(x)
             for x in ("low", "high")
@@ -157,36 +169,56 @@ def thresholds(cells: DataFrame) -> DataFrame:
     for m in METRICS:
         for x in ("low", "high"):
             wide.append(F.max(F.when(F.col("metric") == m, F.col(x))).alias(f"{m}_{x}"))
-    return own.groupBy("lang", "source").agg(*wide)
+    return found.groupBy("lang", "source").agg(*wide)
+
+
+def _fenced(measured: DataFrame, fences: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the fences of their cell, and per metric whether a row lies within them."""
+    m, t = measured.alias("m"), fences.alias("t")
+    rows = m.join(t, F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
+    inside = {}
+    for name, share in METRICS.items():
+        if share is None:
+            within = (F.col(name) >= F.col(f"{name}_low")) & (F.col(name) <= F.col(f"{name}_high"))
+        else:
+            expected = (F.col(share[1]) * F.col(f"{name}_high")).cast("double") / 1_000_000.0
+            within = F.col(share[0]).cast("double") <= expected + CHANCE * F.sqrt(expected) + CHANCE * CHANCE
+        inside[name] = F.coalesce(within, F.lit(True))
+    return rows.select("m.*", *[within.alias(f"{name}_in") for name, within in inside.items()]), {m: F.col(f"{m}_in") for m in METRICS}
+
+
+def _all_of(conditions: list[Column]) -> Column:
+    return reduce(lambda x, y: x & y, conditions)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Verdict per row: ``doc_id``, base counts, ``base_failed``, ``kept``, metrics.
 
     Base rules: at least 50 words, and at most half of them in repeated three-word
-    windows. Texts that pass give quantile sketches per language and source; a text is
-    kept if each metric lies within the fences of its cell: upper quartile plus
-    ``REACH`` quartile distances (at least the metric's own margin), for word length the
-    lower side too. Null text counts as empty and fails; null language and source are
-    cells like others; repeated rows are judged each. Other columns are ignored.
+    windows. Texts that pass give quantile sketches per language and source, in two rounds.
+    The quartiles of the first give wide fences (``FIRST``). The second sketch of a metric
+    holds the texts that no *other* metric has outside them, so that junk, which is odd in
+    several ways, is not what the fences are learned from, while a metric's own tail is. Its
+    outer quantiles give the fences by which texts are kept (``LAST``). A share's fence
+    is a number of events to expect in a text of this length, and chance may add ``CHANCE``
+    deviations; word length has a lower fence too. Up to a quarter of a cell may be junk in
+    one metric, and up to a twentieth in a metric without being odd in another.
+
+    Null text counts as empty and fails; null language and source are cells like others;
+    repeated rows are judged each. Other columns are ignored.
     """
     found = counts(docs)
     measured = metrics(found).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
     measured = settled(measured, "quality-counts")
-    fences = settled(thresholds(sketches(measured)), "quality-fences")
-    m, t = measured.alias("m"), fences.alias("t")
-    joined = m.join(
-        t, F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left"
-    )
-    inside = F.lit(True)
-    for name in METRICS:
-        inside = inside & (F.col(name) <= F.col(f"{name}_high"))
-        if name in TWO_SIDED:
-            inside = inside & (F.col(name) >= F.col(f"{name}_low"))
-    return joined.select(
-        "m.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
+    cells = settled(sketches(measured, {m: F.lit(True) for m in METRICS}), "quality-sketch")
+    rows, inside = _fenced(measured, settled(thresholds(cells, cells, FIRST), "quality-first"))
+    others = {m: _all_of([within for name, within in inside.items() if name != m]) for m in METRICS}
+    learned = settled(sketches(rows, others), "quality-trusted")
+    rows, inside = _fenced(measured, settled(thresholds(learned, cells, LAST), "quality-fences"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & _all_of(list(inside.values()))).alias("kept"),
         *METRICS,
     )
