@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import tokens
@@ -94,36 +94,42 @@ def template_rows(spark: SparkSession, rank: dict[str, int], templates=TEMPLATES
     return spark.createDataFrame(rows, "template int, label string, need int, width int, words array<int>")
 
 
-_BLOCK = pa.list_(pa.struct([("template", pa.int32()), ("at", pa.int64()), ("words", pa.list_(pa.int32()))]))
+_BLOCK = pa.list_(pa.struct([("width", pa.int32()), ("words", pa.list_(pa.int32())), ("ats", pa.list_(pa.int64()))]))
 
 
-def _best_blocks(block: tokens.Block, at: np.ndarray, word: np.ndarray, template) -> dict[int, tuple[int, list[int]]]:
-    """Per text with one, its fullest block of the template: first word, template words by rank.
+def _prefixes(templates: list) -> list[tuple[int, int, np.ndarray]]:
+    """Per width of a block: the least need of a template, and all words of which a template's block holds one."""
+    out = {}
+    for t in templates:
+        need, rare = out.get(t["width"], (t["need"], set()))
+        out[t["width"]] = min(need, t["need"]), rare | set(t["words"][: len(t["words"]) - t["need"] + 1])
+    return [(width, need, np.array(sorted(rare))) for width, (need, rare) in sorted(out.items())]
 
-    A block holds ``width`` words from one of the template's words on, or fewer at the end
-    of the text. Of all blocks only those are looked at that have enough places of
-    template words and one of the rarest.
+
+def _blocks(block: tokens.Block, at: np.ndarray, word: np.ndarray, width: int, need: int, prefix: np.ndarray):
+    """Blocks that may hold a template: ``text, {word: its first place}`` for each.
+
+    A block holds ``width`` words from a known word on, or fewer at the end of the text. It
+    is handed on if it has ``need`` known words and one of a template's prefix, and if its words
+    differ from those of the last one handed on or it lies beyond that one, so a text of
+    nothing but notices gives a block per ``width`` words. Which template it holds, if
+    any, is for the join.
     """
-    ranks = np.asarray(template["words"])
-    mine = np.isin(word, ranks)
-    at, word = at[mine], word[mine]
     doc = block.doc[at]
-    past = np.searchsorted(at, np.minimum(at + template["width"], block.first[doc + 1]))
-    rare = np.r_[0, np.cumsum(np.isin(word, ranks[: len(ranks) - template["need"] + 1]))]
-    enough = past - np.arange(len(at)) >= template["need"]
-    best: dict[int, tuple[int, list[int]]] = {}
-    for k in np.flatnonzero(enough & (rare[past] > rare[:-1])).tolist():
-        d = int(doc[k])
-        if d in best and len(best[d][1]) == len(ranks):
-            continue
-        held = set(word[k : past[k]].tolist())
-        if len(held) >= template["need"] and (d not in best or len(held) > len(best[d][1])):
-            best[d] = (int(at[k] - block.first[d]), sorted(held))
-    return best
+    past = np.searchsorted(at, np.minimum(at + width, block.first[doc + 1]))
+    rare = np.r_[0, np.cumsum(np.isin(word, prefix))]
+    new = np.r_[True, past[1:] > past[:-1]][: len(at)]  # else the block before holds all of it
+    last, end = None, -1
+    for k in np.flatnonzero(new & (past - np.arange(len(at)) >= need) & (rare[past] > rare[:-1])).tolist():
+        held = dict(zip(reversed(word[k : past[k]].tolist()), reversed((at[k : past[k]] - block.first[doc[k]]).tolist())))
+        if len(held) >= need and (at[k] >= end or held.keys() != last):
+            last, end = held.keys(), min(int(at[k]) + width, int(block.first[doc[k] + 1]))
+            yield int(doc[k]), held
 
 
 def _scan(order: list[str], templates: list):
-    """Words, phrase places, and the candidate blocks: the fullest one of each template, its words by rank."""
+    """Words, phrase places, and all blocks that may hold a template, their known words by rank."""
+    widths = _prefixes(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Finder(_hash_of(order))
@@ -143,9 +149,10 @@ def _scan(order: list[str], templates: list):
                             doc = int(block.doc[k])
                             own_places.setdefault(doc, []).append((k - int(block.first[doc]), label))
                 at, word = find(block.hash)
-                for t in templates:
-                    for d, (first, held) in _best_blocks(block, at, word, t).items():
-                        own_blocks.setdefault(d, []).append({"template": t["template"], "at": first, "words": held})
+                for width, need, prefix in widths:
+                    for d, held in _blocks(block, at, word, width, need, prefix):
+                        words = sorted(held)
+                        own_blocks.setdefault(d, []).append({"width": width, "words": words, "ats": [held[w] for w in words]})
                 for d in range(j - i):
                     places.append([{"at": a, "label": x} for a, x in sorted(own_places.get(d, ()))])
                     blocks.append(own_blocks.get(d, []))
@@ -162,54 +169,89 @@ def _scan(order: list[str], templates: list):
 
 
 def licensed_blocks(scanned: DataFrame, templates: DataFrame) -> DataFrame:
-    """``row, at, label, share``: blocks that hold enough of a template's words.
-
-    Prefix filter: of a template of m words that needs k of them, a block must hold one
-    of the m - k + 1 rarest. Length filter: it must hold k template words at all.
-    Positional filter: after the shared word, both must have enough words left. What
-    is left is verified on the whole word sets.
+    """``row, template, label, at, share``: all blocks that hold enough of a template's words.
+
+    Length filter: a block must hold as many known words as the template needs. Prefix
+    filter: of a template of m words that needs k of them, it must hold one of the
+    m - k + 1 rarest. Positional filter: from the first shared word on, both must have
+    enough words left. What is left is verified on the whole word sets. Blocks of a template that
+    overlap are one, reported by its fullest (the first of them): ``at`` is the first place
+    of one of the template's words.
     """
-    blocks = scanned.select("row", F.explode("blocks").alias("b")).select("row", "b.template", "b.at", F.col("b.words").alias("held"))
-    probe = blocks.select("row", "template", "at", "held", F.posexplode("held").alias("j", "word"))
+    blocks = scanned.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.width", "b.words", "b.ats")
+    needs = templates.groupBy("width").agg(F.min("need").alias("least"))
+    probe = blocks.join(needs, "width").where("size(words) >= least")
+    probe = probe.select("row", "block", "width", F.col("words").alias("held"), "ats", F.posexplode("words").alias("j", "word"))
     prefix = templates.select(
-        "template", "label", "need", "words",
+        "template", "label", "need", "width", "words",
         F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("i", "word"),
     )
-    left = 1 + F.least(F.size("words") - F.col("i") - 1, F.size("held") - F.col("j") - 1)
-    return (
-        probe.join(prefix, ["template", "word"])
-        .where((F.size("held") >= F.col("need")) & (left >= F.col("need")))
-        .dropDuplicates(["row", "at", "template"])
-        .withColumn("common", F.size(F.array_intersect("held", "words")))
+    left = F.least(F.size("words") - F.col("i"), F.size("held") - F.col("j"))
+    met = probe.join(prefix, ["width", "word"]).where(F.size("held") >= F.col("need"))
+    shares = Window.partitionBy("row", "block", "template").orderBy("i")
+    # only where the first shared word stands does the number of words left bound the overlap
+    first = met.withColumn("n", F.row_number().over(shares)).where((F.col("n") == 1) & (left >= F.col("need")))
+    common = F.array_intersect("held", "words")
+    own = F.filter("ats", lambda at, k: F.array_contains("words", F.get("held", k)))
+    verified = (
+        first.withColumn("common", F.size(common))
         .where("common >= need")
-        .select("row", "at", "label", (F.col("common") / F.size("words")).alias("share"))
+        .select("row", "template", "label", "width", F.array_min(own).alias("at"), (F.col("common") / F.size("words")).alias("share"))
+    )
+    along = Window.partitionBy("row", "template").orderBy("at", F.desc("share"))
+    apart = F.coalesce(F.col("at") - F.lag("at").over(along) >= F.col("width"), F.lit(True))
+    numbered = verified.withColumn("starts", apart.cast("int")).withColumn("no", F.sum("starts").over(along))
+    fullest = F.max(F.struct("share", (-F.col("at")).alias("before")))
+    return (
+        numbered.groupBy("row", "template", "label", "no")
+        .agg(fullest.alias("m"))
+        .select("row", "template", "label", (-F.col("m.before")).alias("at"), "m.share")
     )
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """Per row ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
-
-    Words are runs of digits, a-z (after lower-casing A-Z) and characters beyond ASCII. Base:
-    places where a phrase's words stand one after the other, with smallest and largest
-    start. Blocks are all runs of ``SPREAD`` times as many words as a template has, across
-    lines; a template of which a block holds at least ``CONTAINED`` per cent of the
-    distinct words adds its label. ``score`` is 1 with a
-    base place, else the largest share of a template that was found, else 0. Null text counts
-    as empty; repeated rows are judged each; other columns are ignored.
-    """
+def _scanned(docs: DataFrame, templates) -> tuple[DataFrame, DataFrame]:
+    """Per row its words, phrase places and possible blocks; all blocks that hold a template."""
     spark = docs.sparkSession
-    rank = rarity(docs)
-    templates = settled(template_rows(spark, rank), "license-templates")
-    known = templates.select("template", "need", "width", "words").collect()
+    rank = rarity(docs, templates)
+    table = settled(template_rows(spark, rank, templates), "license-templates")
+    known = table.select("need", "width", "words").collect()
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     schema = (
         "row long, doc_id long, n_words long, places array<struct<at:long,label:string>>, "
-        "blocks array<struct<template:int,at:bigint,words:array<int>>>"
+        "blocks array<struct<width:int,words:array<int>,ats:array<bigint>>>"
     )
     scanned = settled(rows.mapInArrow(_scan(sorted(rank, key=rank.get), known), schema), "license-blocks")
-    found = licensed_blocks(scanned, templates).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    return scanned, licensed_blocks(scanned, table)
+
+
+def license_blocks(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """``doc_id, at, label, share``: every notice of a template, several in a text too.
+
+    ``templates`` are pairs of a label and the words of a notice; the other rules are those of
+    ``license_scan``. Texts without a notice have no row.
+    """
+    scanned, found = _scanned(docs, templates)
+    return found.join(scanned.select("row", "doc_id"), "row").select("doc_id", "at", "label", "share")
+
+
+def license_scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """Per row ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_notices``.
+
+    Words are runs of digits, a-z (after lower-casing A-Z) and characters beyond ASCII. Base:
+    places where a phrase's words stand one after the other, with smallest and largest
+    start. Blocks are all runs of ``SPREAD`` times as many words as a template has, across
+    lines; a template of which a block holds at least ``CONTAINED`` per cent of the
+    distinct words adds its label. ``n_notices`` counts such blocks, overlapping ones of a template
+    as one. ``score`` is 1 with a base place, else the largest share of a template that was
+    found, else 0. Null text counts as empty; repeated rows are judged each; other columns are
+    ignored.
+    """
+    scanned, blocks = _scanned(docs, templates)
+    found = blocks.groupBy("row").agg(
+        F.collect_set("label").alias("more"), F.max("share").alias("share"), F.count("*").alias("n_notices")
+    )
     at, base = F.transform("places", lambda p: p["at"]), F.array_distinct(F.transform("places", lambda p: p["label"]))
     more = F.coalesce("more", F.array().cast("array<string>"))
     return scanned.drop("blocks").join(found, "row", "left").select(
@@ -221,4 +263,5 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(base), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_union(base, more)), ",").alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"),
     )

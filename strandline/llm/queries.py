@@ -41,7 +41,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(read(spark, sf_dir, "documents"))
+    return licenses.license_scan(read(spark, sf_dir, "documents")).drop("n_notices")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,19 +239,22 @@ def _license_sql() -> str:
         f"WHERE array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}'"
         for p, label in licenses.PHRASES.items()
     )
-    templates = " UNION ALL ".join(f"SELECT {k} AS t, '{label}' AS label, '{text}' AS body" for k, (label, text) in enumerate(licenses.TEMPLATES))
+    templates = " UNION ALL ".join(f"SELECT {k} AS t, '{label}' AS label, {licenses.SPREAD * len(text.split())} AS width, '{text}' AS body" for k, (label, text) in enumerate(licenses.TEMPLATES))
     return rf"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents
 ), base AS ({phrases}
 ), template AS ({templates}
 ), word AS (SELECT DISTINCT t, label, unnest(string_split(body, ' ')) AS x FROM template
-), need AS (SELECT t, count(*) AS m FROM word GROUP BY 1
-), line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d
-), held AS (SELECT DISTINCT doc_id, k, unnest(regexp_extract_all(line, {_ALNUM})) AS x FROM line
+), need AS (SELECT t, count(*) AS m, any_value(width) AS width FROM word JOIN template USING (t) GROUP BY 1
+), place AS (
+  SELECT doc_id, t, label, m, width, i, x FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) JOIN word USING (x) JOIN need USING (t)
+), able AS (
+  SELECT doc_id, t FROM place GROUP BY doc_id, t, m HAVING count(DISTINCT x) >= (m * {licenses.CONTAINED} + 99) // 100
 ), found AS (
-  SELECT doc_id, k, t, label, count(*) AS c FROM held JOIN word USING (x) GROUP BY ALL
+  SELECT a.doc_id, a.t, a.label, a.i, a.m, a.width, count(DISTINCT b.x) AS c
+  FROM place a JOIN able USING (doc_id, t) JOIN place b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i >= a.i AND b.i < a.i + a.width GROUP BY ALL
 ), more AS (
-  SELECT doc_id, label, c::DOUBLE / m AS share FROM found JOIN need USING (t) WHERE c >= (m * {licenses.CONTAINED} + 99) // 100
+  SELECT doc_id, label, c::DOUBLE / m AS share FROM found WHERE c >= (m * {licenses.CONTAINED} + 99) // 100
 ), b AS (
   SELECT doc_id, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM base GROUP BY 1
