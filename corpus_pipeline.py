@@ -43,8 +43,8 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: The first stage learns its model; SQL can't express it. tests/llm compares every stage
-#: with a brute-force version on its own input instead.
+#: The first stage learns its model; SQL can't express it. tests/llm compares each operator with a
+#: brute-force version, each stage with its operator's report, and the whole run with planted cases.
 ORACLE_SQL = None
 
 
