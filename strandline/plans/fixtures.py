@@ -290,10 +290,10 @@ class Tables:
         raise AttributeError(name)
 
     def stream(self, name: str) -> DataFrame:
-        """The same table as a stream of its files."""
+        """The same table as a stream of its files, be it one file or a folder of them."""
         if name in GIVEN:
-            reader = self.spark.readStream.schema(self(name).schema).option("pathGlobFilter", f"{name}.parquet")
-            return reader.parquet(self.sf_dir)
+            # the stream source takes a single file only by a pattern
+            return self.spark.readStream.schema(self(name).schema).parquet(f"{self.path(name)[:-1]}[t]")
         inner = set(re.findall(r"\{(\w+)\}", FIXTURES[name]))
         return self.spark.sql(spark_text(name), **{table: self.stream(table) for table in inner})
 

@@ -85,12 +85,16 @@ def commit_epoch(spark: SparkSession, path: str, epoch: int, rows: int | None =
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """Commit records (rows, high, epoch) below a path; none before the first."""
+    return _read_or_none(spark, COMMIT_SCHEMA, f"{path}/commits")
+
+
+def _read_or_none(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     try:
-        return spark.read.schema(COMMIT_SCHEMA).parquet(f"{path}/commits")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], COMMIT_SCHEMA)
+        return spark.createDataFrame([], schema)
 
 
 def last_commit(spark: SparkSession, path: str) -> int | None:
@@ -139,9 +143,9 @@ def append_once(df: DataFrame, epoch: int, path: str) -> None:
 
 
 def batch_rows(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    """Everything ``append_once`` has written, with the ``epoch`` it came in."""
+    """Everything ``append_once`` has written, with the ``epoch`` it came in; no rows before the first micro-batch."""
     with_epoch = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
-    return spark.read.schema(with_epoch).parquet(f"{path}/rows")
+    return _read_or_none(spark, with_epoch, f"{path}/rows")
 
 
 def per_batch(
