@@ -29,3 +29,8 @@ def test_no_batches(spark, tmp_path, rows):
     os.mkdir(tmp_path / "conversations.parquet")
     Tables(spark, SMALL).conversations.limit(0).write.mode("append").parquet(str(tmp_path / "conversations.parquet"))
     assert rows(stream_queries.accept_in_order(Tables(spark, str(tmp_path)))) == []
+
+
+def test_catalog_of_a_table_in_a_folder(tables, folders, rows):
+    got = rows(stream_queries.apply_catalog_events(folders))
+    assert got and got == rows(stream_queries.apply_catalog_events(tables))
