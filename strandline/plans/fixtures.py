@@ -24,6 +24,9 @@ GIVEN = (
 NOW_S = 1_706_659_200  # 2024-01-31 00:00:00
 ORDERS_NOW_S = 1_009_843_200  # 2002-01-01 00:00:00
 
+#: Size of a row group in a file that is a micro-batch of its own.
+ROW_GROUP_BYTES = 1 << 20
+
 FIXTURES: dict[str, str] = {
     "jobs": """
         SELECT o_orderkey AS id, o_custkey AS parent_id,
@@ -298,18 +301,22 @@ class Tables:
         return self.spark.sql(spark_text(name), **{table: self.stream(table) for table in inner})
 
     def stream_in_parts(self, name: str, by: str, parts: int, path: str | None = None, only: range | None = None) -> DataFrame:
-        """The same table as a stream of micro-batches: written in ``parts`` ranges of a column, read in that order.
+        """The same table as a stream of micro-batches: written in ``parts`` ranges of a whole-number column, read in that order.
 
-        ``only`` writes some of the ranges to ``path``; a later call adds others.
+        ``only`` writes some of the ranges to ``path``; a later call adds others. So the ranges must be the same in every
+        call: they divide the span of the column evenly, approximate quantiles may differ from run to run. Rows
+        without a value are in the first range. A part is one file, of row groups that several tasks read.
         """
         df, path = self(name), path or scratch_path(self.spark, name)
-        cuts = df.approxQuantile(by, [k / parts for k in range(1, parts)], 0.001)
+        least, most = df.agg(F.min(by), F.max(by)).first()
+        cuts = [] if least is None else [least + (most - least) * k // parts for k in range(1, parts)]
         for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
             if only is not None and k not in only:
                 continue
             part = df if low is None else df.where(F.col(by) > low)
-            part = part if high is None else part.where(F.col(by) <= high)
-            part.coalesce(1).write.parquet(f"{path}/{k:03d}")
+            if high is not None:
+                part = part.where((F.col(by) <= high) | F.col(by).isNull() if low is None else F.col(by) <= high)
+            part.repartition(1).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/{k:03d}")
         reader = self.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
         return reader.parquet(path)
 
