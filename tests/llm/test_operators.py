@@ -5,7 +5,7 @@ import random
 import re
 from itertools import combinations
 
-
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +158,33 @@ def test_repeated_lines_odd(odd_docs, no_docs):
     assert cut.columns == odd_docs.columns and texts[2] == "" and texts[4] is None and texts[11].endswith("1\n")
 
 
+def test_lines_of_a_word_meet_by_size_in_batches_of_any_length():
+    rng = np.random.default_rng(5)
+    n, num, den = 400, 80, 100
+    word, size = rng.integers(-3, 3, n), rng.integers(5, 60, n)
+    order = np.argsort((word << 32) | size, kind="stable")
+    word, size = word[order], size[order]
+    at = rng.integers(0, size // 5 + 1)
+    doc, line, done = rng.integers(0, 40, n), rng.integers(0, 9, n).astype(np.int32), rng.random(n) < 0.5
+    parity, parity2 = (rng.integers(-(1 << 63), 1 << 63, n, np.int64) & 0x1F0F for _ in range(2))
+    bits = lambda a: bin(int(a) & (2**64 - 1)).count("1")
+    expected = set()
+    for x in range(n):
+        for y in range(n):
+            near = min(size[x], size[y]) * den >= max(size[x], size[y]) * num and word[x] == word[y]
+            if not near or done[x] or (doc[y], line[y]) >= (doc[x], line[x]):
+                continue
+            apart = bits(parity[x] ^ parity[y]) + bits(parity2[x] ^ parity2[y])
+            overlap = -(-(size[x] + size[y]) * num // (num + den))
+            if min(size[x] - at[x], size[y] - at[y]) >= overlap and apart * (den + num) <= (size[x] + size[y]) * (den - num):
+                expected.add((doc[x], line[x], doc[y], line[y]))
+    names = ["key", "doc_id", "line_no", "at", "parity", "parity2", "done"]
+    table = pa.table(dict(zip(names, ((word << 32) | size, doc, line, at.astype(np.int32), parity, parity2, done))))
+    for length in (1, 7, n):
+        got = [tuple(r.values()) for b in line_dedup._close_pairs(num, den)(iter(table.to_batches(length))) for r in b.to_pylist()]
+        assert expected and set(got) == expected
+
+
 def test_contamination_by_brute_force(spark):
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice(WORDS) for _ in range(n))) for k, n in enumerate([20, 15, 3, 1, 0, 13])] + [(7, None), (0, "W3 w4,w5")]
