@@ -158,6 +158,15 @@ def test_repeated_lines_odd(odd_docs, no_docs):
     assert cut.columns == odd_docs.columns and texts[2] == "" and texts[4] is None and texts[11].endswith("1\n")
 
 
+def test_word_counts_travel_in_small_batches():
+    batch = pa.record_batch([pa.array([1]), pa.array([" ".join(f"w{k}" for k in range(50_000))])], names=["doc_id", "text"])
+    counts = [len(c) for b in line_dedup._read(iter([batch])) for c in b.column(4).to_pylist() if c]
+    assert counts and max(counts) * 10_000 <= 16 << 20
+    rows = pa.record_batch([pa.array([3, 3], pa.int32()), pa.array([np.full(4, k, np.int32).tobytes() for k in (1, 0x7FFFFFFF)])], names=["slice", "counts"])
+    (summed,) = line_dedup._added(iter([rows]))
+    assert np.frombuffer(summed.column(1)[0].as_py(), np.int64).tolist() == [1 << 31] * 4
+
+
 def test_lines_of_a_word_meet_by_size_in_batches_of_any_length():
     rng = np.random.default_rng(5)
     n, num, den = 400, 80, 100
