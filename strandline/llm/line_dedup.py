@@ -23,9 +23,13 @@ SLICE = 1 << 8
 KEYS = 3
 #: Pairs of lines that a task looks at together.
 PAIRS = 1 << 18
+#: Prefix words of lines that a task passes on at once.
+MEMBERS = 1 << 16
 
 _MUL = tokens.mix(np.arange(77, 77 + 2 * KEYS, dtype=np.uint64)) | np.uint64(1)
 _FOUND = "doc_id long, line_no int, print long, slice int, counts binary"
+_PAIR = "doc_id long, line_no int, of_doc long, of_line int"
+_MEMBER = "key long, doc_id long, parity long, parity2 long, spot long"
 _LINE = "doc_id long, line_no int, size int, parity long, parity2 long, again boolean, whole long, keys array<long>, prefix array<int>"
 
 
@@ -223,31 +227,116 @@ def _describe(counts, copies, num: int, den: int):
     return run
 
 
-def _with_key(marks):
-    """One row per line and marked key; keys of a single line are mostly left out here."""
+def _heads(key: np.ndarray, held: tuple | None) -> np.ndarray:
+    """Per row of sorted keys the first row of its key in this batch; -1 if that came in a batch before."""
+    new = np.r_[held is None or key[0] != held[0], key[1:] != key[:-1]]
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+
+
+def _of_head(column: np.ndarray, head: np.ndarray, held) -> np.ndarray:
+    out = column[head]
+    if head[0] < 0:
+        out[head < 0] = held
+    return out
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, line_no`` of the rows that stand later than the first row of their key.
+
+    Rows come by key, doc_id and line_no; of a key only the first row is kept from batch to batch.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc, line = (c.to_numpy() for c in batch.columns)
+        head = _heads(key, held)
+        firsts = [_of_head(c, head, held and held[k]) for k, c in ((1, doc), (2, line))]
+        some = np.flatnonzero((doc != firsts[0]) | (line != firsts[1]))
+        held = (key[-1], *(f[-1] for f in firsts))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(line[some])], names=["doc_id", "line_no"])
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per line and key; ``spot`` is line number (high 32 bits) and size."""
+    for batch in batches:
+        doc, line, size, parity, parity2, keys = batch.columns
+        row = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+        spot = (line.to_numpy().astype(np.int64) << 32) | size.to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [keys.flatten(), *(pa.array(c[row]) for c in (doc.to_numpy(), spot, parity.to_numpy(), parity2.to_numpy()))],
+            names=["key", "doc_id", "spot", "parity", "parity2"],
+        )
+
+
+def _close_to_first(num: int, den: int):
+    """``(doc_id, line_no, of_doc, of_line)``: a line and the first line of its key, if they may be similar.
+
+    Rows come by key, doc_id and spot; of a key only the first row is kept from batch to batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(marks.value, np.uint64)
+        held = None
         for batch in batches:
-            *columns, keys = batch.columns
-            flat = keys.flatten().to_numpy()
-            some = np.flatnonzero(_has(words, np.mod(flat, MAP_BITS)))
-            row = pa.array(np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())[some])
+            if not batch.num_rows:
+                continue
+            key, *facts = (c.to_numpy() for c in batch.columns)
+            head = _heads(key, held)
+            firsts = [_of_head(c, head, held and held[k]) for k, c in enumerate(facts, 1)]
+            held = (key[-1], *(f[-1] for f in firsts))
+            doc, spot, parity, parity2 = facts
+            of, at, *parities = firsts
+            size, size2 = spot & 0xFFFFFFFF, at & 0xFFFFFFFF
+            apart = sum(np.bitwise_count((p ^ q).view(np.uint64)).astype(np.int64) for p, q in zip((parity, parity2), parities))
+            may = (np.minimum(size, size2) * den >= np.maximum(size, size2) * num) & (apart * (den + num) <= (size + size2) * (den - num))
+            some = np.flatnonzero(may & ((doc != of) | (spot >> 32 != at >> 32)))
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(row) for c in columns), pa.array(flat[some])], names=[*batch.schema.names[:-1], "key"]
+                [pa.array(doc[some]), pa.array((spot[some] >> 32).astype(np.int32)), pa.array(of[some]), pa.array((at[some] >> 32).astype(np.int32))],
+                names=["doc_id", "line_no", "of_doc", "of_line"],
             )
 
     return run
 
 
-def _flag(marks):
-    """The rows, and whether their line is marked."""
+def _maybe(marks):
+    """The rows whose line is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(marks.value, np.uint64)
+        for batch in batches:
+            yield batch.filter(pa.array(_is_marked(words, batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+
+    return run
+
+
+def _members(marks):
+    """One row per line and prefix word, of the lines that are not marked.
+
+    ``key`` is the word (high 32 bits) and the size, ``spot`` the line number (high 32 bits),
+    the word's place in the prefix and, in the lowest bit, whether the line is settled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(marks.value, np.uint64)
         for batch in batches:
-            maybe = _is_marked(words, batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], names=[*batch.schema.names, "maybe"])
+            batch = batch.filter(pa.array(~_is_marked(words, batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+            prefix = batch.column(5)
+            doc, line, size, parity, parity2 = (c.to_numpy() for c in batch.columns[:5])
+            flat, n = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy()
+            ends = np.cumsum(n, dtype=np.int64)
+            spot = line.astype(np.int64) << 32
+            a = 0
+            while a < len(n):
+                before = int(ends[a] - n[a])
+                b = max(a + 1, int(np.searchsorted(ends, before + MEMBERS, "right")))
+                row = np.repeat(np.arange(a, b), n[a:b])
+                at = np.arange(before, before + len(row)) - np.repeat(ends[a:b] - n[a:b], n[a:b])
+                word = flat[before : before + len(row)].astype(np.int64)
+                a = b
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((word << 32) | size[row]), *(pa.array(c[row]) for c in (doc, parity, parity2)), pa.array(spot[row] | (at << 1))],
+                    names=["key", "doc_id", "parity", "parity2", "spot"],
+                )
 
     return run
 
@@ -277,6 +366,18 @@ def _sets_of_marked(wanted):
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_members`` with line number, place and ``done`` in columns of their own."""
+    for batch in batches:
+        key, doc, parity, parity2, spot = batch.columns
+        spot = spot.to_numpy()
+        line, at = (spot >> 32).astype(np.int32), ((spot & 0xFFFFFFFF) >> 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [key, doc, pa.array(line), pa.array(at), parity, parity2, pa.array(spot & 1 == 1)],
+            names=["key", "doc_id", "line_no", "at", "parity", "parity2", "done"],
+        )
+
+
 def _close_pairs(num: int, den: int):
     """``(doc_id, line_no, of_doc, of_line)``: an open line and an earlier one that share a prefix word and may be similar.
 
@@ -337,6 +438,12 @@ def _close_pairs(num: int, den: int):
     return run
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
+        F.struct("doc_id", "line_no").alias("later"), F.struct(F.col("of_doc").alias("doc_id"), F.col("of_line").alias("line_no")).alias("earlier")
+    )
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """``(later, earlier)`` pairs of lines whose full word sets reach the similarity."""
     ends = pairs.select(F.explode(F.array("later", "earlier")).alias("x")).select("x.*").distinct()
@@ -369,11 +476,10 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
        the same words in the same order meet by fingerprint; only the first goes on.
     2. A line becomes one row: size, parity map of its set (128 bits), its rarest words (prefix). A bit
        map of fixed size tells lines that are no copy for certain; the others are looked
-       up in a join. Of equal sets of few words (1 to 4 at 0.8) only the first goes on, found
-       by a grouped minimum; sets that can only equal another (1 to 3 at 0.8) are then settled.
+       up in a join. Of equal sets of few words (1 to 4 at 0.8) only the first goes on; sets that can only equal another (1 to 3 at 0.8) are then settled.
     3. Lines that share a key of two minima are compared with the first of them,
-       which settles most near copies with pairs that are linear in the lines. A bit map
-       of fixed size leaves most keys of a single line out of the shuffle.
+       which settles most near copies with pairs that are linear in the lines. As in steps 1
+       and 2, the rows of a key are sorted by place and read in a stream, the first one held.
     4. Lines not settled yet meet all lines with a shared prefix word: those of a word come in
        the order of their sizes, so that each meets only sets of a size near its own, under
        the positional filter and the parity map (which rules out pairs for certain). Pairs are
@@ -390,27 +496,21 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
     )
     found = settled(rows.mapInArrow(_read, _FOUND), "lines")
     counts = spark.sparkContext.broadcast(word_counts(found))
-    place = F.struct("doc_id", "line_no").alias("place")
-    read = found.where("slice IS NULL").select("doc_id", "line_no", "print")
-    several = read.groupBy("print").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select("print", "place")
-    copies = settled(
-        read.join(several, "print").where(F.struct("doc_id", "line_no") > F.col("place")).select("doc_id", "line_no", F.col("place").alias("of")),
-        "copies",
-    )
+
+    def later_of(lines: DataFrame) -> DataFrame:
+        return lines.repartition("key").sortWithinPartitions("key", "doc_id", "line_no").mapInArrow(_later, "doc_id long, line_no int")
+
+    copies = settled(later_of(found.where("slice IS NULL").select(F.col("print").alias("key"), "doc_id", "line_no")), "copies")
     marks = spark.sparkContext.broadcast(_marks_of(copies))
     every = settled(rows.mapInArrow(_describe(counts, marks, num, den), _LINE), "described-lines")
     gone = copies.select("doc_id", "line_no")
+    # most lines need no look-up; what is left of the others is written, as several steps read it
     unsure = every.where("again").join(gone, ["doc_id", "line_no"], "left_anti")
-    first = every.where("NOT again").union(unsure.select(every.columns))
+    looked_up = settled(every.where("NOT again AND whole IS NOT NULL").union(unsure.select(every.columns)), "unsure-lines")
 
     # small sets: the first of each
-    small = first.where("whole IS NOT NULL").select("doc_id", "line_no", "whole")
-    several = small.groupBy("whole").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select("whole", "place")
-    same = settled(
-        small.join(several, "whole").where(F.struct("doc_id", "line_no") > F.col("place")).select("doc_id", "line_no"), "equal-sets"
-    )
-    # most lines need no look-up; what is left of the others is written, as several steps read it
-    looked_up = first.where("size(prefix) > 0 AND (again OR whole IS NOT NULL)")
+    same = settled(later_of(looked_up.where("whole IS NOT NULL").select(F.col("whole").alias("key"), "doc_id", "line_no")), "equal-sets")
+    looked_up = looked_up.where("size(prefix) > 0")
     kept = looked_up.where("whole IS NULL").union(
         looked_up.where("whole IS NOT NULL").join(same, ["doc_id", "line_no"], "left_anti").select(every.columns)
     )
@@ -418,47 +518,33 @@ def repeated_lines(docs: DataFrame, share: float = 0.8) -> DataFrame:
     first = every.where("NOT again AND whole IS NULL AND size(prefix) > 0").union(kept)
 
     # step 3: the first line of each key
-    apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in ("parity", "parity2")), F.lit(0))
-    total = F.col("x.size") + F.col("y.size")
-    may = (F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num) & (apart * (den + num) <= total * (den - num))
-    # (keys are counted alone first; a line goes on only under keys that others may have too)
-    shared = first.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
-    slot = F.pmod("key", F.lit(MAP_BITS).cast("long")).alias("slot")
-    marks = spark.sparkContext.broadcast(_bit_map(shared.select(slot)))
-    facts = ["doc_id", "line_no", "size", "parity", "parity2"]
-    drawn = settled(
-        first.select(*facts, "keys").mapInArrow(_with_key(marks), "doc_id long, line_no int, size int, parity long, parity2 long, key long"),
-        "drawn-lines",
-    ).select(F.struct(*facts).alias("x"), "key")
-    heads = drawn.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
     quick = (
-        drawn.join(heads, "key")
-        .where((F.col("x") != F.col("y")) & may)
-        .select(F.struct("x.doc_id", "x.line_no").alias("later"), F.struct("y.doc_id", "y.line_no").alias("earlier"))
-        .distinct()
+        first.select("doc_id", "line_no", "size", "parity", "parity2", "keys")
+        .mapInArrow(_drawn, "key long, doc_id long, spot long, parity long, parity2 long")
+        .repartition("key")
+        .sortWithinPartitions("key", "doc_id", "spot")
+        .mapInArrow(_close_to_first(num, den), _PAIR)
     )
-    done = settled(_similar(settled(quick, "quick-pairs"), rows, num, den).select("later.*").distinct(), "settled-lines")
+    done = settled(_similar(settled(_ends(quick.distinct()), "quick-pairs"), rows, num, den).select("later.*").distinct(), "settled-lines")
 
     # step 4: all lines by their prefix words; each word meets itself in one pass over its lines by size
     marks = spark.sparkContext.broadcast(_marks_of(done))
+    meet = _close_pairs(num, den)
     columns = ["doc_id", "line_no", "size", "parity", "parity2", "prefix"]
-    flagged = first.select(columns).mapInArrow(
-        _flag(marks), "doc_id long, line_no int, size int, parity long, parity2 long, prefix array<int>, maybe boolean"
-    )
-    looked_up = flagged.where("maybe").join(done.withColumn("done", F.lit(True)), ["doc_id", "line_no"], "left")
-    marked = flagged.where("NOT maybe").select(*columns, F.lit(False).alias("done")).union(
-        looked_up.select(*columns, F.coalesce("done", F.lit(False)))
-    )
-    member = marked.select("doc_id", "line_no", "size", "parity", "parity2", "done", F.posexplode("prefix").alias("at", "word"))
-    key = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.col("size").cast("long")).alias("key")
+    every_line = first.select(columns)
+    looked_up = every_line.mapInArrow(_maybe(marks), every_line.schema).join(done.withColumn("done", F.lit(True)), ["doc_id", "line_no"], "left")
+    looked_up = looked_up.select(*columns[:-1], F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("at", "word")).select(
+        F.expr("shiftleft(cast(word AS bigint), 32) | size").alias("key"), "doc_id", "parity", "parity2",
+        F.expr("shiftleft(cast(line_no AS bigint), 32) | shiftleft(cast(at AS bigint), 1) | cast(done AS bigint)").alias("spot"),
+    )
     close = (
-        member.repartition("word")
-        .select(key, "doc_id", "line_no", "at", "parity", "parity2", "done")
+        every_line.mapInArrow(_members(marks), _MEMBER)
+        .union(looked_up)
+        .repartition(F.shiftright("key", 32))
         .sortWithinPartitions("key")
-        .mapInArrow(_close_pairs(num, den), "doc_id long, line_no int, of_doc long, of_line int")
-        .distinct()
+        .mapInArrow(lambda batches: meet(_unpacked(batches)), _PAIR)
     )
-    pairs = close.select(F.struct("doc_id", "line_no").alias("later"), F.struct(F.col("of_doc").alias("doc_id"), F.col("of_line").alias("line_no")).alias("earlier"))
+    pairs = _ends(close.distinct())
     later = settled(_similar(settled(pairs, "line-pairs"), rows, num, den).select("later.*"), "later-lines")
     return gone.union(same).union(done).union(later).distinct()
 

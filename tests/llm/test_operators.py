@@ -194,6 +194,34 @@ def test_lines_of_a_word_meet_by_size_in_batches_of_any_length():
         assert expected and set(got) == expected
 
 
+def test_rows_of_a_key_meet_its_first_in_batches_of_any_length():
+    rng = np.random.default_rng(6)
+    n, num, den = 300, 80, 100
+    rows = sorted(zip(*(rng.integers(0, top, n).tolist() for top in (40, 9, 4))))
+    expected = []
+    for key, doc, line in rows:
+        first = next(r for r in rows if r[0] == key)
+        if (doc, line) != first[1:]:
+            expected.append((doc, line, *first[1:]))
+    key, doc, line = (np.array(c, np.int64) for c in zip(*rows))
+    zero = np.zeros(n, np.int64)
+    lines = pa.table({"key": key, "doc_id": doc, "line_no": line.astype(np.int32)})
+    drawn = pa.table({"key": key, "doc_id": doc, "spot": (line << 32) | 10, "parity": zero, "parity2": zero})
+    for length in (1, 7, n):
+        later = [tuple(r.values()) for b in line_dedup._later(iter(lines.to_batches(length))) for r in b.to_pylist()]
+        assert later == [e[:2] for e in expected] and later
+        pairs = [tuple(r.values()) for b in line_dedup._close_to_first(num, den)(iter(drawn.to_batches(length))) for r in b.to_pylist()]
+        assert pairs == expected
+
+
+def test_a_line_does_not_repeat_itself_in_rows_of_one_id(spark):
+    # two rows of one id: equal line numbers go together, so neither line stands before the other
+    words = [f"w{k}" for k in range(60)]
+    rows = [(5, " ".join(words)), (5, " ".join([*words[:-1], "other"])), (6, " ".join(words[1:]))]
+    gone = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in gone} == {(6, 0)}
+
+
 def test_contamination_by_brute_force(spark):
     rng = random.Random(9)
     items = [(k, " ".join(rng.choice(WORDS) for _ in range(n))) for k, n in enumerate([20, 15, 3, 1, 0, 13])] + [(7, None), (0, "W3 w4,w5")]
