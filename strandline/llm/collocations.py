@@ -36,6 +36,9 @@ BYTES_A_COUNTER, SMALLEST, LARGEST = 32, 20, 28
 #: Counters of one row of the table; words that are counted together in a task, and different
 #: windows that it holds before it passes them on.
 SLICE, WORDS, HELD = 1 << 16, 1 << 19, 1 << 19
+#: Bytes of text of a task that counts windows, unless that leaves cores idle. Each task passes on
+#: nearly every frequent phrase once, so small tasks multiply the rows.
+TASK_BYTES = 1 << 26
 
 _bytes = np.arange(256)
 _BREAK = np.isin(_bytes, list(b".,;:!?\n\x0b\x0c\r"))
@@ -161,10 +164,14 @@ def _sum_slots(least: int):
     return add
 
 
-def _frequent(texts: DataFrame, least: int, longest: int) -> list[tuple[Broadcast, int]]:
+def _in_large_tasks(texts: DataFrame, size: int) -> DataFrame:
+    """The texts (``size`` bytes) in tasks of about TASK_BYTES, in two tasks a core at least where there are as many."""
+    return texts.coalesce(max(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
+def _frequent(texts: DataFrame, size: int, least: int, longest: int) -> list[tuple[Broadcast, int]]:
     """Bit maps of the counters that reach ``least``, on every executor, each with its power of two."""
     spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     power = min(LARGEST, max(SMALLEST, int(size // BYTES_A_COUNTER).bit_length()))
     known: list[tuple[Broadcast, int]] = []
     for _ in range(_table_of(longest) + 1):
@@ -267,10 +274,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
         F.coalesce(F.col("lang").cast("string"), F.lit(UNDETERMINED)).alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    known = _frequent(texts, least, longest)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    known = _frequent(texts, size, least, longest)
     columns = _columns(longest)
     schema = "lang string, " + ", ".join(f"{c} string" for c in columns) + ", n long"
-    windows = texts.mapInArrow(_count_windows(known, longest), schema)
+    windows = _in_large_tasks(texts, size).mapInArrow(_count_windows(known, longest), schema)
     summed = windows.rollup("lang", *columns).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
     # a prefix of k words leaves out longest - k columns; a padded one repeats a shorter prefix
     words = F.filter(F.array(*columns), lambda w: w.isNotNull())

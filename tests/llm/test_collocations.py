@@ -78,3 +78,11 @@ def test_products_beyond_64_bits(spark):
     product = counts.withColumn("product", F.lit(1000).cast("decimal(4,0)") * (big("a") * big("total")))
     score = product.selectExpr("product div (cast(l AS decimal(18,0)) * cast(r AS decimal(18,0))) AS s").first().s
     assert score == 1000 * 3 * 10**13 * 9 * 10**13 // (4 * 10**13 * 5 * 10**13)
+
+
+def test_windows_are_counted_in_large_tasks(spark):
+    # small tasks each pass on nearly every frequent phrase
+    texts = spark.range(400).selectExpr("'en' AS lang", "'a b c' AS text").repartition(200)
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert collocations._in_large_tasks(texts, 1200).rdd.getNumPartitions() == min(200, least)
+    assert collocations._in_large_tasks(texts, 150 * collocations.TASK_BYTES).rdd.getNumPartitions() == max(150, min(200, least))
